@@ -80,7 +80,7 @@ def main() -> None:
 
     sf_dir, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     failed = 0

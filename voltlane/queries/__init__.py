@@ -1,6 +1,6 @@
 """All registered queries, by name."""
 
-from voltlane.queries import intervals  # noqa: F401
+from voltlane.queries import cleaning, intervals, sampling  # noqa: F401
 from voltlane.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
