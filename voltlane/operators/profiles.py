@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltlane.functions.columns import numeric_columns, unpivoted
 from voltlane.operators.cleaning import time_features
 from voltlane.plans.joins import scalar_join
-from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, with_count, with_index
+from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_count, with_index
 
 LABEL = "anomaly_label"
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -152,6 +152,9 @@ def fixed_width_histogram(
         (F.min(value) if low is None else F.lit(float(low))).alias("_low"),
         (F.max(value) if high is None else F.lit(float(high))).alias("_high"),
     )
+    # a single value gets bins of total width 1 around it
+    flat = F.when(F.col("_low") == F.col("_high"), 0.5).otherwise(0.0)
+    bounds = bounds.select((F.col("_low") - flat).alias("_low"), (F.col("_high") + flat).alias("_high"))
     inside = scalar_join(rows, bounds).where(F.col(value).between(F.col("_low"), F.col("_high")))
     slot = F.floor((F.col(value) - F.col("_low")) * bins / (F.col("_high") - F.col("_low")))
     counts = inside.groupBy(F.least(slot, F.lit(bins - 1)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
@@ -174,8 +177,7 @@ def box_stats(df: DataFrame, value: str, by: tuple[str, ...] = ("station",)) ->
     quart = quantiles(df, list(by), value, QUARTILES)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     fenced = quart.withColumns({"_lo": F.col("q1") - reach, "_hi": F.col("q3") + reach})
-    # quartiles are one row per group; the groups are a fixed small set such as stations or hours
-    joined = null_safe_join(df.select(*by, value), fenced, list(by), "inner")
+    joined = null_safe_join(df.select(*by, value), settled(fenced), list(by), "inner")
     v = F.col(value)
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_low"),
@@ -296,7 +298,7 @@ def workday_weekend_profile(df: DataFrame, target: str) -> DataFrame:
 
 def variation_by_hour(df: DataFrame, target: str) -> DataFrame:
     """Sample deviation over mean, per hour."""
-    return time_features(df).groupBy("hour").agg((F.stddev_samp(target) / F.avg(target)).alias("variation"))
+    return time_features(df).groupBy("hour").agg(F.try_divide(F.stddev_samp(target), F.avg(target)).alias("variation"))
 
 
 def periodicity_summary(df: DataFrame, target: str) -> DataFrame:
@@ -304,10 +306,10 @@ def periodicity_summary(df: DataFrame, target: str) -> DataFrame:
     t = F.col(target)
     base = df.agg(
         F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.min(t).alias("min"), F.max(t).alias("max"),
-        (F.stddev_samp(t) / F.avg(t)).alias("variation"),
+        F.try_divide(F.stddev_samp(t), F.avg(t)).alias("variation"),
     )
     week = time_features(df).groupBy("day_of_week", "hour").agg(F.sum(t).alias("_s"), F.count(t).alias("_n"))
-    mean = F.sum("_s") / F.sum("_n")
+    mean = F.try_divide(F.sum("_s"), F.sum("_n"))
     hours = week.groupBy("hour").agg(mean.alias("_m")).agg(
         F.max_by("hour", "_m").alias("peak_hour"), F.min_by("hour", "_m").alias("low_hour"),
         (F.max("_m") - F.min("_m")).alias("hour_spread"),
@@ -316,9 +318,9 @@ def periodicity_summary(df: DataFrame, target: str) -> DataFrame:
         F.max_by("day_of_week", "_m").alias("peak_day"), F.min_by("day_of_week", "_m").alias("low_day")
     )
     weekend = F.col("day_of_week") >= 5
-    mean_where = lambda c: F.sum(F.when(c, F.col("_s"))) / F.sum(F.when(c, F.col("_n")))
+    mean_where = lambda c: F.try_divide(F.sum(F.when(c, F.col("_s"))), F.sum(F.when(c, F.col("_n"))))
     halves = week.agg(mean_where(~weekend).alias("workday_mean"), mean_where(weekend).alias("weekend_mean"))
-    halves = halves.withColumn("workday_weekend_ratio", F.col("workday_mean") / F.col("weekend_mean"))
+    halves = halves.withColumn("workday_weekend_ratio", F.try_divide("workday_mean", "weekend_mean"))
     return scalar_join(scalar_join(scalar_join(base, hours), days), halves)
 
 

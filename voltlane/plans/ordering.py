@@ -28,6 +28,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A side table, written first so that the planner knows its true size.
+
+    It is broadcast when it is below ``spark.sql.autoBroadcastJoinThreshold``, and joined by shuffle beyond that;
+    either way the large side is not moved just to find out.
+    """
+    return materialise(df, "side")
+
+
 def chunked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Cut ``df`` into balanced contiguous chunks of its ``(part, order)`` sequence.
 
@@ -55,14 +64,14 @@ def with_index(cdf: DataFrame, part: Sequence[str], name: str = "idx") -> DataFr
     carry = carry.select(
         *part, CHUNK, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    joined = null_safe_join(cdf, carry, [*part, CHUNK], "inner")
+    joined = null_safe_join(cdf, settled(carry), [*part, CHUNK], "inner")
     return joined.withColumn(name, F.col(SLOT) + F.col("_shift")).drop("_shift")
 
 
 def with_count(cdf: DataFrame, part: Sequence[str], name: str = "n_rows") -> DataFrame:
     """Rows of the part, on every row."""
     totals = cdf.groupBy(*part).agg(F.count(F.lit(1)).alias(name))
-    return null_safe_join(cdf, totals, part, "inner")
+    return null_safe_join(cdf, settled(totals), part, "inner")
 
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -101,7 +110,7 @@ def with_running(
                 out = both(inner, F.col(f"_c_{name}"))
         outs.append(out.alias(name))
     carry = staged.groupBy(*part, CHUNK).agg(*aggregates).select(*part, CHUNK, *carried)
-    joined = null_safe_join(staged, carry, [*part, CHUNK], "inner")
+    joined = null_safe_join(staged, settled(carry), [*part, CHUNK], "inner")
     return joined.select(*cdf.columns, *outs)
 
 
@@ -113,7 +122,7 @@ def with_neighbour(cdf: DataFrame, part: Sequence[str], columns: dict[str, str],
     shift = F.lag if step < 0 else F.lead
     carry = cdf.groupBy(*part, CHUNK).agg(edge.alias("_edge"), limit.alias("_limit"))
     carry = carry.select(*part, CHUNK, "_limit", shift("_edge").over(_across(part)).alias("_edge"))
-    joined = null_safe_join(cdf, carry, [*part, CHUNK], "inner")
+    joined = null_safe_join(cdf, settled(carry), [*part, CHUNK], "inner")
     near = shift(struct).over(_inside(part))
     picked = joined.withColumn("_near", F.when(F.col(SLOT) == F.col("_limit"), F.col("_edge")).otherwise(near))
     return picked.select(*cdf.columns, *[F.col(f"_near.{name}").alias(name) for name in columns])
@@ -133,7 +142,7 @@ def segment_max(cdf: DataFrame, part: Sequence[str], segment: str, value: str, n
         edges, cdf.groupBy(*part, CHUNK, segment).agg(F.max(value).alias("_m")), [*part, CHUNK, segment], "inner"
     )
     whole = hits.groupBy(*part, segment).agg(F.max("_m").alias("_whole"))
-    joined = null_safe_join(staged, whole, [*part, segment], "left")
+    joined = null_safe_join(staged, settled(whole), [*part, segment], "left")
     return joined.withColumn(name, F.coalesce("_whole", "_local")).drop("_whole", "_local")
 
 
@@ -159,7 +168,7 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, shares: dict[str,
     cdf = chunked(counted, part, [value])
     run = with_running(cdf, part, {"_upto": ("sum", F.col("_n"))})
     totals = cdf.groupBy(*part).agg(F.sum("_n").alias("_total"))
-    run = null_safe_join(run, totals, part, "inner")
+    run = null_safe_join(run, settled(totals), part, "inner")
     covers = lambda pos: (pos >= F.col("_upto") - F.col("_n")) & (pos < F.col("_upto"))
     picks, finals = [], []
     for i, (name, share) in enumerate(shares.items()):

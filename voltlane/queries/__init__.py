@@ -1,6 +1,6 @@
 """All registered queries, by name."""
 
-from voltlane.queries import cleaning, intervals, profiles, sampling, sources  # noqa: F401
+from voltlane.queries import cleaning, intervals, profiles, sampling, series, sources  # noqa: F401
 from voltlane.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
