@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltlane.functions.columns import title_case
+from voltlane.functions import signals
 from voltlane.operators import cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
 from voltlane.plans.joins import interval_join
 
@@ -208,13 +209,13 @@ def test_flat_tops_count_once_at_their_middle(spark):
 
 def test_welch_and_window_functions_on_known_signals():
     x = np.sin(2 * np.pi * 0.25 * np.arange(64))
-    freq, density = spectra.welch(x, 16)
+    freq, density = signals.welch(x, 16)
     assert freq[density.argmax()] == 0.25 and len(freq) == 9
-    dominant, peak, flatness, _ = spectra.magnitude_features(x)
+    dominant, peak, flatness, _ = signals.magnitude_features(x)
     assert dominant == 0.25 and peak == pytest.approx(32) and 0 <= flatness < 0.01
-    assert spectra.magnitude_features(np.ones(3)) == (0.0, 0.0, 0.0, 0.0)
-    assert spectra.ks_distance(np.array([100.0, 200.0])) == pytest.approx(1.0)
-    assert spectra.ks_distance(np.array([0.0])) == pytest.approx(0.5)
+    assert signals.magnitude_features(np.ones(3)) == (0.0, 0.0, 0.0, 0.0)
+    assert signals.ks_distance(np.array([100.0, 200.0])) == pytest.approx(1.0)
+    assert signals.ks_distance(np.array([0.0])) == pytest.approx(0.5)
 
 
 def test_window_features_hold_the_single_statistics(spark):
