@@ -1,10 +1,12 @@
 """Ordering blocks: independence of the cut, skew, nulls, and exact quantiles."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voltlane.plans import ordering as o
+from voltlane.session import release, shared_path
 
 
 @pytest.fixture(scope="module")
@@ -76,15 +78,43 @@ def test_null_part_is_kept(spark):
     assert sorted((r["part"] or "", r["ts"], r["idx"]) for r in out.collect()) == [("", 1, 0), ("", 2, 1), ("x", 1, 0)]
 
 
-def test_segment_max_spans_chunks(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+@pytest.mark.parametrize("partitions", ["1", "8"])
+def test_run_max_spans_chunks(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        df = spark.range(800).select("id", F.lit(1).alias("label"), (F.col("id") == 799).cast("int").alias("hit"))
-        cdf = o.chunked(df, [], ["id"]).withColumn("seg", F.when(F.col("id") < 100, 0).otherwise(1))
-        out = o.segment_max(cdf, [], "seg", "hit", "m")
-        counts = {r["seg"]: (r["lo"], r["hi"]) for r in out.groupBy("seg").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).collect()}
+        rng = np.random.default_rng(9)
+        labels = [1] * 500 + [0] + list(rng.integers(0, 2, 60)) + [0] * 200 + [1] * 150
+        values = [int(v) for v in rng.integers(0, 50, len(labels))]
+        values[499] = 99
+        data = [(p, i, int(a), v) for p in ("x", "y") for i, (a, v) in enumerate(zip(labels, values))]
+        df = spark.createDataFrame(data, "part string, id int, label int, v int")
+        out = o.with_run_max(o.chunked(df, ["part"], ["id"]), ["part"], "label", "v", "m")
+        got = {(r["part"], r["id"]): r["m"] for r in out.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert counts == {0: (0, 0), 1: (1, 1)}
+    start = 0
+    for i in range(1, len(labels) + 1):
+        if i == len(labels) or labels[i] != labels[start]:
+            for part in ("x", "y"):
+                assert {got[part, j] for j in range(start, i)} == {max(values[start:i])}
+            start = i
+
+
+def test_quantiles_of_many_rows_keep_only_brackets(spark):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=60_000), np.full(30_000, 0.25), rng.integers(0, 5, 30_000)])
+    df = spark.createDataFrame(pd.DataFrame({"part": "a", "value": x}))
+    shares = {"q1": 0.25, "q5": 0.5, "q7": 0.6180339, "q99": 0.999, "q0": 0.0, "q10": 1.0}
+    kept = o._collapsed(df, ["part"], "value", list(shares.values()))
+    assert kept.count() < 2000 and kept.agg(F.sum("_n")).first()[0] == len(x)
+    got = o.quantiles(df, ["part"], "value", shares).first()
+    for name, share in shares.items():
+        assert got[name] == pytest.approx(np.percentile(x, share * 100), abs=1e-12)
+
+
+def test_release_deletes_a_written_table(spark):
+    path = shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert release(spark, path) and not release(spark, path)

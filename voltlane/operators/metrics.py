@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlane.plans.joins import scalar_join
-from voltlane.plans.ordering import chunked, plain, segment_max, settled, with_neighbour, with_running
+from voltlane.plans.ordering import chunked, plain, settled, with_index, with_run_max, with_running
 
 LABEL, SCORE, PREDICTED = "label", "score", "predicted"
 METRICS = ("f1", "precision", "recall", "accuracy")
@@ -48,7 +48,8 @@ def grouped_scores(df: DataFrame, score: str = SCORE, label: str = LABEL) -> Dat
     return full.withColumns({"fn": F.col("_p") - F.col("tp"), "tn": F.col("_q") - F.col("fp")})
 
 
-def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
+def threshold_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """Confusion counts and metrics at every distinct score."""
     return grouped_scores(df, score, label).withColumns(
         metric_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"))
     )
@@ -56,7 +57,7 @@ def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
     """Precision and recall at every distinct score."""
-    return _curve(df, score, label).select("threshold", "precision", "recall")
+    return threshold_curve(df, score, label).select("threshold", "precision", "recall")
 
 
 def _best(curve: DataFrame, value: Column, name: str) -> DataFrame:
@@ -68,11 +69,16 @@ def _best(curve: DataFrame, value: Column, name: str) -> DataFrame:
     )
 
 
-def threshold_all_scores(df: DataFrame, metric: str = "f1", score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """Best threshold among all distinct scores."""
+def best_threshold(curve: DataFrame, metric: str = "f1") -> DataFrame:
+    """Best threshold of a curve by one of its metrics."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
-    return _best(_curve(df, score, label), F.col(metric), metric)
+    return _best(curve, F.col(metric), metric)
+
+
+def threshold_all_scores(df: DataFrame, metric: str = "f1", score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """Best threshold among all distinct scores."""
+    return best_threshold(threshold_curve(df, score, label), metric)
 
 
 def threshold_pr_curve(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
@@ -133,20 +139,26 @@ def binary_metrics(df: DataFrame, label: str = LABEL, predicted: str = PREDICTED
     return matrix.withColumns(metric_columns(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
 
 
-def auroc(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
-    """Probability that a positive outscores a negative, ties one half; 0 with one class."""
-    rows = grouped_scores(df, score, label)
+def curve_areas(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """``auroc`` and ``average_precision`` from one pass over the grouped scores."""
     won = F.sum(F.col("_pos") * (F.col("tn") + F.col("_neg") / 2))
     pairs = F.max(F.col("_p").cast("double") * F.col("_q"))
-    return rows.agg(F.coalesce(F.when(pairs > 0, won / pairs), F.lit(0.0)).alias("auroc"))
+    area = F.sum(F.col("_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    total = F.max("_p")
+    return grouped_scores(df, score, label).agg(
+        F.coalesce(F.when(pairs > 0, won / pairs), F.lit(0.0)).alias("auroc"),
+        F.coalesce(F.when(total > 0, area / total), F.lit(0.0)).alias("average_precision"),
+    )
+
+
+def auroc(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
+    """Probability that a positive outscores a negative, ties one half; 0 with one class."""
+    return curve_areas(df, score, label).select("auroc")
 
 
 def average_precision(df: DataFrame, score: str = SCORE, label: str = LABEL) -> DataFrame:
     """``sum (R_n - R_{n-1}) P_n`` over the distinct scores, 0 without positives."""
-    rows = grouped_scores(df, score, label)
-    area = F.sum(F.col("_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    total = F.max("_p")
-    return rows.agg(F.coalesce(F.when(total > 0, area / total), F.lit(0.0)).alias("average_precision"))
+    return curve_areas(df, score, label).select("average_precision")
 
 
 def point_adjustment(
@@ -160,13 +172,11 @@ def point_adjustment(
     """
     keys = list(part)
     cdf = chunked(df, keys, order)
-    rows = with_neighbour(cdf, keys, {"_before": label})
-    fresh = F.when(F.col("_before") == F.col(label), 0).otherwise(1)
-    marked = with_running(rows.withColumn("_fresh", fresh), keys, {"_segment": ("sum", "_fresh")})
-    hit = segment_max(marked, keys, "_segment", predicted, "_hit")
+    hit = with_run_max(cdf, keys, label, predicted, "_hit")
     whole = F.when(F.col(label) == 1, F.col("_hit")).otherwise(F.col(predicted))
     if keep_first_row:
-        whole = F.when(F.col("_before").isNull(), F.col(predicted)).otherwise(whole)
+        hit = with_index(hit, keys, "_at")
+        whole = F.when(F.col("_at") == 0, F.col(predicted)).otherwise(whole)
     return plain(hit).select(*df.columns, whole.cast("int").alias(target))
 
 
@@ -192,5 +202,5 @@ def score_window_labels(windows: DataFrame, threshold: float = 0.5, labels: str
 def evaluation(df: DataFrame, threshold: float, score: str = SCORE, label: str = LABEL) -> DataFrame:
     """All summary metrics of a scored table in one row."""
     predicted = score_binary(df, threshold, score)
-    out = scalar_join(binary_metrics(predicted, label), auroc(df, score, label))
-    return scalar_join(out, average_precision(df, score, label)).withColumn("threshold", F.lit(float(threshold)))
+    out = scalar_join(binary_metrics(predicted, label), curve_areas(df, score, label))
+    return out.withColumn("threshold", F.lit(float(threshold)))

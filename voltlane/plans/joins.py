@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltlane.session import materialise
+
 BROADCAST_ROWS = 200_000
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a written table has at most ``max_rows`` rows; its files know their row counts."""
+    return df.count() <= max_rows
 
 
 def scalar_join(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -48,6 +50,7 @@ def interval_join(
         F.explode(F.sequence(time_bucket(F.col(start), bucket_seconds), time_bucket(F.col(end), bucket_seconds))),
     )
     left = points.withColumn("_pb", time_bucket(F.col(ts), bucket_seconds))
+    spread = materialise(spread, "spans")
     if small_enough(spread, max_broadcast_rows):
         right, extra = F.broadcast(spread), F.lit(True)
     else:

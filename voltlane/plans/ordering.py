@@ -128,22 +128,44 @@ def with_neighbour(cdf: DataFrame, part: Sequence[str], columns: dict[str, str],
     return picked.select(*cdf.columns, *[F.col(f"_near.{name}").alias(name) for name in columns])
 
 
-def segment_max(cdf: DataFrame, part: Sequence[str], segment: str, value: str, name: str) -> DataFrame:
-    """Max of ``value`` over each contiguous ``segment``, on every row, however long the segment is.
+def with_run_max(cdf: DataFrame, part: Sequence[str], run_of: str, value: str, name: str) -> DataFrame:
+    """Max of ``value`` over each run of equal ``run_of``, on every row, however many chunks a run spans.
 
-    Windows stay inside ``(part, chunk, segment)``; only segments that touch a chunk edge (two per chunk at most)
-    are combined through a small table.
+    Runs are numbered and folded inside their chunk, in the one shuffle of the rows. Only the first and last run of
+    a chunk can go on elsewhere; those are put together in a table with one row per ``(part, chunk)``.
     """
-    local = F.max(value).over(Window.partitionBy(*part, CHUNK, segment))
-    staged = cdf.withColumn("_local", local)
-    per_chunk = cdf.groupBy(*part, CHUNK).agg(F.min(segment).alias("_lo"), F.max(segment).alias("_hi"))
-    edges = per_chunk.select(*part, CHUNK, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias(segment))
-    hits = null_safe_join(
-        edges, cdf.groupBy(*part, CHUNK, segment).agg(F.max(value).alias("_m")), [*part, CHUNK, segment], "inner"
+    line = _inside(part)
+    change = F.coalesce((~F.col(run_of).eqNullSafe(F.lag(run_of).over(line))).cast("long"), F.lit(0))
+    change = F.when(F.row_number().over(line) == 1, 0).otherwise(change)
+    numbered = cdf.withColumn("_change", change).withColumn(
+        "_run", F.sum("_change").over(line.rowsBetween(Window.unboundedPreceding, 0))
     )
-    whole = hits.groupBy(*part, segment).agg(F.max("_m").alias("_whole"))
-    joined = null_safe_join(staged, settled(whole), [*part, segment], "left")
-    return joined.withColumn(name, F.coalesce("_whole", "_local")).drop("_whole", "_local")
+    local = F.max(value).over(Window.partitionBy(*part, CHUNK, "_run"))
+    staged = materialise(numbered.withColumn("_local", local).drop("_change"), "runs")
+    chunks = staged.groupBy(*part, CHUNK).agg(
+        F.min_by(run_of, SLOT).alias("_head"), F.max_by(run_of, SLOT).alias("_tail"), F.max("_run").alias("_last"),
+        F.min_by("_local", SLOT).alias("_first_max"), F.max_by("_local", SLOT).alias("_last_max"),
+    )
+    order = _across(part)
+    joins = F.lag("_tail").over(order).eqNullSafe(F.col("_head")) & (F.row_number().over(order) > 1)
+    # number of the chunk's first run along the whole part
+    chunks = chunks.withColumn("_step", F.when(joins, 0).otherwise(1))
+    ends = F.sum(F.col("_step") + F.col("_last")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    chunks = settled(chunks.withColumn("_end", ends).withColumn("_start", F.col("_end") - F.col("_last")))
+    pieces = chunks.select(*part, F.col("_start").alias("_id"), F.col("_first_max").alias("_m")).unionByName(
+        chunks.select(*part, F.col("_end").alias("_id"), F.col("_last_max").alias("_m"))
+    )
+    whole = pieces.groupBy(*part, "_id").agg(F.max("_m").alias("_whole"))
+    at = lambda column, out: whole.select(*part, F.col("_id").alias(column), F.col("_whole").alias(out))
+    chunks = null_safe_join(chunks, at("_start", "_first_whole"), [*part, "_start"])
+    chunks = null_safe_join(chunks, at("_end", "_last_whole"), [*part, "_end"])
+    table = settled(chunks.select(*part, CHUNK, "_last", "_first_whole", "_last_whole"))
+    joined = null_safe_join(staged, table, [*part, CHUNK], "inner")
+    found = (
+        F.when(F.col("_run") == 0, F.col("_first_whole")).when(F.col("_run") == F.col("_last"), F.col("_last_whole"))
+        .otherwise(F.col("_local"))
+    )
+    return joined.select(*cdf.columns, found.alias(name))
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -158,14 +180,44 @@ def ordered_index(
     return plain(with_index(chunked(df, part, order), part, name))
 
 
+SKETCH_ACCURACY, EXACT_BELOW = 10_000, 20_000
+
+
+def _collapsed(df: DataFrame, part: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """Counted values ``part, value, _n`` in which only the neighbourhoods of the wanted positions are kept apart.
+
+    A sketch with a guaranteed rank error gives a bracket around each position; values between two brackets become
+    one row with their count. Parts with few rows keep every value.
+    """
+    margin = 3.0 / SKETCH_ACCURACY  # twice the sketch error, and one rank of at least EXACT_BELOW
+    cuts = [x for s in shares for x in (max(s - margin, 0.0), min(s + margin, 1.0))]
+    v = F.col(value)
+    sketch = df.groupBy(*part).agg(
+        F.count(v).alias("_rows"), F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+        F.percentile_approx(v, cuts, SKETCH_ACCURACY).alias("_cuts"),
+    )
+    few = F.col("_rows") < EXACT_BELOW
+    ends = []
+    for i, share in enumerate(shares):
+        low = F.col("_lo") if share - margin <= 0 else F.get("_cuts", F.lit(2 * i))
+        high = F.col("_hi") if share + margin >= 1 else F.get("_cuts", F.lit(2 * i + 1))
+        ends += [F.when(few, F.col("_lo")).otherwise(low).alias(f"_a{i}"), F.when(few, F.col("_hi")).otherwise(high).alias(f"_b{i}")]
+    placed = null_safe_join(df, settled(sketch.select(*part, *ends)), part, "inner")
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(shares))])
+    # the number of brackets that lie entirely below a value tells the stretches between brackets apart
+    passed = reduce(lambda a, b: a + b, [(v > F.col(f"_b{i}")).cast("int") for i in range(len(shares))])
+    grouped = placed.groupBy(*part, F.when(inside, v).alias("_kept"), F.when(~inside, passed).alias("_stretch"))
+    return grouped.agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias(value)).drop("_kept", "_stretch")
+
+
 def quantiles(df: DataFrame, part: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact quantiles per part with linear interpolation at ``(n - 1) q``; nulls ignored.
 
-    Equal values are counted first, then the running count over the sorted distinct values finds the two
-    neighbours of each position. Nothing per part is gathered in one place.
+    Two scans with map-side aggregation find the few values near the wanted positions and how many rows lie below
+    them; a running count over those finds the two neighbours of each position. No part is gathered or sorted whole.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
-    cdf = chunked(counted, part, [value])
+    known = df.where(F.col(value).isNotNull()).select(*part, value)
+    cdf = chunked(_collapsed(known, part, value, list(shares.values())), part, [value])
     run = with_running(cdf, part, {"_upto": ("sum", F.col("_n"))})
     totals = cdf.groupBy(*part).agg(F.sum("_n").alias("_total"))
     run = null_safe_join(run, settled(totals), part, "inner")

@@ -121,8 +121,8 @@ def normal_points_buffered(spark, d):
 
 @query(
     "align_scores",
-    """WITH scores AS (SELECT event_type AS method, 'u' || (user_id % 50) AS feature, round(max(value), 6) AS score
-      FROM events WHERE NOT (event_type = 'view' AND user_id % 50 = 7) GROUP BY 1, 2)
+    """WITH scores AS (SELECT event_type AS method, 'u' || user_id AS feature, round(max(value), 6) AS score
+      FROM events WHERE value > 100 GROUP BY 1, 2)
     SELECT feature, max(score) FILTER (WHERE method = 'click') AS click,
       max(score) FILTER (WHERE method = 'view') AS "view", max(score) FILTER (WHERE method = 'signup') AS signup
     FROM scores GROUP BY feature""",
@@ -130,8 +130,8 @@ def normal_points_buffered(spark, d):
 def align_scores(spark, d):
     scores = (
         fx.events(spark, d)
-        .where("not (event_type = 'view' and user_id % 50 = 7)")
-        .groupBy(F.col("event_type").alias("method"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("feature"))
+        .where("value > 100")
+        .groupBy(F.col("event_type").alias("method"), F.concat(F.lit("u"), "user_id").alias("feature"))
         .agg(F.round(F.max("value"), 6).alias("score"))
     )
     return op.align_scores(scores, ["click", "view", "signup"])

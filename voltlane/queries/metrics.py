@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voltlane.operators import metrics as op
 from voltlane.operators import series
+from voltlane.plans.ordering import settled
 from voltlane.queries import fixtures as fx
 from voltlane.queries.registry import query, rounded
 
@@ -35,10 +36,10 @@ def pr_curve(spark, d):
     ),
 )
 def threshold_all_scores(spark, d):
-    rows = fx.scored(spark, d)
+    curve = settled(op.threshold_curve(fx.scored(spark, d)))
     out = None
     for m in op.METRICS:
-        one = op.threshold_all_scores(rows, m).select(F.lit(m).alias("metric"), "threshold", F.round(m, 6).alias("best"))
+        one = op.best_threshold(curve, m).select(F.lit(m).alias("metric"), "threshold", F.round(m, 6).alias("best"))
         out = one if out is None else out.unionByName(one)
     return out
 
