@@ -233,6 +233,37 @@ def test_window_features_hold_the_single_statistics(spark):
     assert list(table.anomaly_label) == [0, 1, 1]
 
 
+def test_huge_windows_give_the_same_features(spark):
+    rng = np.random.default_rng(12)
+    rows = [("a", T0 + timedelta(seconds=int(i)), float(v), int(i > 700)) for i, v in enumerate(rng.normal(size=1300))]
+    df = frame(spark, rows, "station string, ts timestamp, v double, anomaly_label int")
+    small, huge = series.SlidingWindows(600, 300), series.SlidingWindows(600, 300, max_rows=10)
+    a = spectra.window_features(df, small, ["v"]).orderBy("window_id").toPandas()
+    b = spectra.window_features(df, huge, ["v"]).orderBy("window_id").toPandas()
+    assert len(a) == 3
+    for column in a.columns:
+        if a[column].dtype == float:
+            np.testing.assert_allclose(a[column], b[column], rtol=1e-8, err_msg=column)
+        else:
+            assert list(a[column]) == list(b[column]), column
+
+
+def test_labels_by_order_equal_labels_by_join(spark):
+    points = spark.range(3000).select(
+        F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("station"), F.timestamp_seconds(F.col("id") * 30).alias("ts"), "id"
+    )
+    hour = timedelta(hours=1)
+    df = frame(
+        spark, [("a", datetime(1970, 1, 1) + h * hour, datetime(1970, 1, 1) + (h + 0.3) * hour) for h in range(24)]
+        + [("b", datetime(1970, 1, 1, 5), datetime(1970, 1, 1, 9)), ("b", datetime(1970, 1, 1, 8), datetime(1970, 1, 1, 8, 10))],
+        "station string, start_ts timestamp, end_ts timestamp",
+    )
+    joined = intervals.label_points_by_interval(points, df)
+    ordered = intervals.label_points_by_interval(points, df, max_broadcast_rows=0)
+    pick = lambda out: sorted((r["id"], r["anomaly_label"]) for r in out.collect())
+    assert pick(joined) == pick(ordered) and 0 < sum(v for _, v in pick(joined)) < 3000
+
+
 def test_silhouette_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 3))

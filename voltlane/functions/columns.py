@@ -37,6 +37,11 @@ def downtime_seconds(text: Column) -> Column:
     return F.when(F.size(parts) == 3, number(0) * 3600 + number(1) * 60 + number(2))
 
 
+def floor_to(value: Column, step: int) -> Column:
+    """Largest multiple of ``step`` at or below an integer; exact, also before 1970."""
+    return value - F.pmod(value, F.lit(step))
+
+
 def finite(column: Column) -> Column:
     """Neither null, NaN nor infinite."""
     return column.isNotNull() & ~F.isnan(column) & (F.abs(column) != F.lit(float("inf")))

@@ -11,7 +11,10 @@ from pyspark import cloudpickle
 # the kernels travel with the tasks that call them, so executors need numpy but not this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_NORMAL_CDF = np.vectorize(lambda x: 0.5 * (1.0 + erf(x / sqrt(2.0))), otypes=[float])
+
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    """Standard normal distribution function."""
+    return np.fromiter((0.5 * (1.0 + erf(v / sqrt(2.0))) for v in x), float, len(x))
 
 
 def ks_distance(values: np.ndarray, standardised: bool = False) -> float:
@@ -19,7 +22,7 @@ def ks_distance(values: np.ndarray, standardised: bool = False) -> float:
     x = np.sort(values)
     if standardised and x.std() > 0:
         x = (x - x.mean()) / x.std()
-    n, cdf = len(x), _NORMAL_CDF(x)
+    n, cdf = len(x), normal_cdf(x)
     ranks = np.arange(1, n + 1)
     return float(max((ranks / n - cdf).max(), (cdf - (ranks - 1) / n).max()))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlane.functions.columns import (
@@ -12,7 +12,7 @@ from voltlane.functions.columns import (
     title_case, unpivoted,
 )
 from voltlane.plans.joins import scalar_join
-from voltlane.plans.ordering import chunked, plain, with_running
+from voltlane.plans.ordering import chunked, null_safe_join, plain, settled, with_index, with_running
 from voltlane.session import shared_path
 
 
@@ -165,28 +165,20 @@ def interpolate_linear(
 ) -> DataFrame:
     """Linear in the row position inside each window, ends filled with the nearest value.
 
-    Windows with fewer than ``min_rows`` rows or no value are dropped. A window is bounded by its length in time.
+    Windows with fewer than ``min_rows`` rows or no value are dropped.
     """
-    line = Window.partitionBy(*window).orderBy(*order)
-    whole = Window.partitionBy(*window)
-    back = line.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = line.rowsBetween(0, Window.unboundedFollowing)
     value = F.col(column)
-    placed = df.withColumns(
-        {"_pos": F.row_number().over(line), "_n": F.count(F.lit(1)).over(whole), "_known": F.count(value).over(whole)}
-    ).where((F.col("_n") >= min_rows) & (F.col("_known") > 0))
-    at = F.when(value.isNotNull(), F.col("_pos"))
-    marked = placed.withColumns(
-        {
-            "_v0": F.last(value, ignorenulls=True).over(back),
-            "_p0": F.last(at, ignorenulls=True).over(back),
-            "_v1": F.first(value, ignorenulls=True).over(ahead),
-            "_p1": F.first(at, ignorenulls=True).over(ahead),
-        }
-    )
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_pos") - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
-    filled = F.coalesce(value, F.when(F.col("_p1") > F.col("_p0"), between), F.col("_v1"), F.col("_v0"))
-    return marked.select(*[c for c in df.columns if c != column], filled.alias(column))
+    sizes = df.groupBy(*window).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_known"))
+    usable = settled(sizes.where((F.col("_n") >= min_rows) & (F.col("_known") > 0)).select(*window))
+    cdf = chunked(null_safe_join(df, usable, window, "left_semi"), window, order)
+    known = F.when(value.isNotNull(), F.struct(value.alias("v"), F.col("_pos").alias("p")))
+    placed = with_index(cdf, window, "_pos")
+    placed = with_running(placed, window, {"_back": ("last", known)})
+    placed = with_running(placed, window, {"_ahead": ("last", known)}, backward=True)
+    v0, p0, v1, p1 = F.col("_back.v"), F.col("_back.p"), F.col("_ahead.v"), F.col("_ahead.p")
+    between = v0 + (v1 - v0) * (F.col("_pos") - p0) / (p1 - p0)
+    filled = F.coalesce(value, F.when(p1 > p0, between), v1, v0)
+    return placed.select(*[c for c in df.columns if c != column], filled.alias(column))
 
 
 def filter_station(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlane.plans.joins import interval_join
-from voltlane.plans.ordering import chunked, null_safe_join, plain, with_index, with_neighbour, with_running
+from voltlane.plans.joins import BROADCAST_ROWS, interval_join, small_enough
+from voltlane.plans.ordering import chunked, null_safe_join, plain, settled, with_index, with_neighbour, with_running
 
 STATION, START, END = "station", "start_ts", "end_ts"
 
@@ -71,15 +71,29 @@ def interval_durations(intervals: DataFrame, start: str = START, end: str = END)
 
 
 def label_points_by_interval(
-    points: DataFrame, intervals: DataFrame, label: str = "anomaly_label", *, merged: bool = False, **join: object
-) -> DataFrame:
+    points: DataFrame, intervals: DataFrame, label: str = "anomaly_label", *, merged: bool = False,
+    max_broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """1 where some interval of the station contains the point, both ends closed; else 0.
 
-    Merging first makes the intervals disjoint, so the outer join cannot repeat a point.
+    Merging first makes the intervals disjoint, so a point meets at most one. A table of intervals that is small
+    enough is joined without moving the points; a larger one is put in order with them.
     """
-    disjoint = intervals if merged else merge_intervals(intervals)
-    joined = interval_join(points, disjoint, "left", **join)
-    return joined.select(*points.columns, F.col(START).isNotNull().cast("int").alias(label))
+    disjoint = settled(intervals if merged else merge_intervals(intervals))
+    if small_enough(disjoint, max_broadcast_rows):
+        joined = interval_join(points, disjoint, "left", max_broadcast_rows=max_broadcast_rows)
+        return joined.select(*points.columns, F.col(START).isNotNull().cast("int").alias(label))
+    return _label_in_order(points, disjoint, label)
+
+
+def _label_in_order(points: DataFrame, disjoint: DataFrame, label: str) -> DataFrame:
+    """Label by the last interval that starts at or before the point: one balanced sort, whatever the skew."""
+    starts = disjoint.select(F.col(STATION), F.col(START).alias("ts"), F.col(END).alias("_end"), F.lit(0).alias("_kind"))
+    both = points.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    cdf = chunked(both, [STATION], ["ts", "_kind"])
+    seen = with_running(cdf, [STATION], {"_open": ("last", "_end")}).where("_kind = 1")
+    inside = F.coalesce(F.col("ts") <= F.col("_open"), F.lit(False))
+    return seen.select(*points.columns, inside.cast("int").alias(label))
 
 
 def readings_in_interval(points: DataFrame, intervals: DataFrame, **join: object) -> DataFrame:
@@ -135,9 +149,14 @@ def buffered(intervals: DataFrame, minutes: float = 10, start: str = START, end:
     )
 
 
-def normal_points_buffered(points: DataFrame, intervals: DataFrame, minutes: float = 10, **join: object) -> DataFrame:
+def normal_points_buffered(
+    points: DataFrame, intervals: DataFrame, minutes: float = 10, max_broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Points outside every widened interval."""
-    return interval_join(points, buffered(intervals, minutes), "left_anti", **join)
+    marked = label_points_by_interval(
+        points, buffered(intervals, minutes), "_inside", max_broadcast_rows=max_broadcast_rows
+    )
+    return marked.where("_inside = 0").drop("_inside")
 
 
 def align_scores(scores: DataFrame, methods: list[str], feature: str = "feature") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from voltlane.operators.cleaning import standardise
 from voltlane.operators.profiles import long_format
 from voltlane.plans.joins import scalar_join
-from voltlane.plans.ordering import null_safe_join, quantiles, settled
+from voltlane.plans.ordering import chunked, quantiles, settled, with_running
 
 LABEL = "label"
 
@@ -25,11 +28,10 @@ def mutual_information(df: DataFrame, features: list[str], label: str = LABEL, b
     rows = long_format(df, features, (label,)).where(F.col("value").isNotNull())
     shares = {f"_e{i}": i / bins for i in range(1, bins)}
     edges = quantiles(rows, ["column"], "value", shares)
-    wide = edges.agg(
-        *[F.max(F.when(F.col("column") == c, F.array(*shares))).alias(f"_edges_{c}") for c in features]
-    )
+    wide = edges.agg(*[F.max(F.when(F.col("column") == c, F.col(e))).alias(f"{e}_{c}") for c in features for e in shares])
     placed = scalar_join(df.select(label, *features), wide)
-    bin_of = {c: F.size(F.filter(F.col(f"_edges_{c}"), _below(F.col(c)))) for c in features}
+    # plain comparisons, which compile, where a function over an array of edges would be interpreted
+    bin_of = {c: reduce(add, [(F.col(c) > F.col(f"{e}_{c}")).cast("int") for e in shares]) for c in features}
     binned = placed.select(label, *[F.when(F.col(c).isNotNull(), b).alias(c) for c, b in bin_of.items()])
     cells = binned.unpivot([label], features, "feature", "_bin").where("_bin is not null")
     counts = cells.groupBy("feature", "_bin", label).agg(F.count(F.lit(1)).alias("_n"))
@@ -42,19 +44,16 @@ def mutual_information(df: DataFrame, features: list[str], label: str = LABEL, b
     return scores.withColumn("rank", F.rank().over(Window.orderBy(F.col("mutual_info").desc())))  # one row per feature
 
 
-def _below(value):
-    return lambda edge: edge < value
-
-
 def rank_and_mean_rank(scores: DataFrame, methods: list[str]) -> DataFrame:
     """``method, feature, score`` to one row per feature: score and rank per method, and the mean rank.
 
     Ranks are descending with ties sharing the average; a missing score has no rank.
     """
     known = scores.where(F.col("score").isNotNull())
-    line = Window.partitionBy("method").orderBy(F.col("score").desc())
-    same = Window.partitionBy("method", "score")
-    ranked = known.withColumn("rank", F.rank().over(line) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    ties = known.groupBy("method", "score").agg(F.count(F.lit(1)).alias("_n"))
+    run = with_running(chunked(ties, ["method"], [F.col("score").desc()]), ["method"], {"_upto": ("sum", "_n")})
+    places = settled(run.select("method", "score", (F.col("_upto") - (F.col("_n") - 1) / 2).alias("rank")))
+    ranked = known.join(places, ["method", "score"])
     pick = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
     columns = [x for m in methods for x in (pick(m, "score").alias(m), pick(m, "rank").alias(f"{m}_rank"))]
     return ranked.groupBy("feature").agg(*columns, F.avg("rank").alias("mean_rank")).orderBy("mean_rank", "feature")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlane.functions.columns import floor_to
 from voltlane.operators.intervals import seconds_between
 from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_count, with_index, with_neighbour
 
@@ -16,7 +17,7 @@ def downsample_time(
 ) -> DataFrame:
     """Mean of every channel per slot, labelled by its start; slots without any value are dropped."""
     step = seconds * 1_000_000
-    slot = F.timestamp_micros((F.floor(F.unix_micros(ts) / F.lit(step)) * step).cast("long")).alias(ts)
+    slot = F.timestamp_micros(floor_to(F.unix_micros(ts), step)).alias(ts)
     means = df.groupBy(station, slot).agg(*[F.avg(c).alias(c) for c in channels])
     return means.dropna("all", subset=channels)
 
@@ -43,7 +44,10 @@ def assign_windows(
 
 
 class SlidingWindows:
-    """Settings of a sliding-window table: sizes, the expected rows per window, and the order inside one."""
+    """Settings of a sliding-window table: sizes, the expected rows per window, and the order inside one.
+
+    Windows of up to ``max_rows`` rows may be put in order in one task; larger ones are always spread.
+    """
 
     def __init__(
         self,
@@ -54,8 +58,9 @@ class SlidingWindows:
         station: str = STATION,
         ts: str = TS,
         tie: tuple[str, ...] = (),
+        max_rows: int = 1_000_000,
     ) -> None:
-        self.size_seconds, self.step_seconds = size_seconds, step_seconds
+        self.size_seconds, self.step_seconds, self.max_rows = size_seconds, step_seconds, max_rows
         self.min_rows = int((size_seconds if expected is None else expected) * min_share)
         self.station, self.ts, self.tie = station, ts, tie
 
@@ -71,12 +76,27 @@ class SlidingWindows:
         out = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"), *columns)
         return out.where(F.col("_rows") >= self.min_rows).drop("_rows")
 
-    def in_order(self, rows: DataFrame, channels: list[str]) -> DataFrame:
-        """Add the row position and each channel's previous value; a window is bounded by its length in time."""
+    def usable(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of the windows with enough rows: those a task can hold, and those it cannot (None if there are none)."""
+        rows = self.rows(df)
+        counts = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"))
+        counts = settled(counts.where(F.col("_rows") >= self.min_rows))
+        chosen = lambda condition: null_safe_join(rows, counts.where(condition).select(*self.keys), self.keys, "left_semi")
+        huge = F.col("_rows") > self.max_rows
+        return chosen(~huge), None if counts.where(huge).isEmpty() else chosen(huge)
+
+    def in_order(self, df: DataFrame, channels: list[str]) -> DataFrame:
+        """Rows of the windows with their position and each channel's previous value."""
+        rows, huge = self.usable(df)
         line = Window.partitionBy(*self.keys).orderBy(self.ts, *self.tie)
         added = {"_pos": (F.row_number().over(line) - 1).cast("double")}
         added |= {f"_prev_{c}": F.lag(c).over(line) for c in channels}
-        return rows.withColumns(added)
+        out = rows.withColumns(added)
+        if huge is None:
+            return out
+        cdf = with_index(chunked(huge, self.keys, [self.ts, *self.tie]), self.keys, "_pos")
+        spread = with_neighbour(cdf, self.keys, {f"_prev_{c}": c for c in channels})
+        return out.unionByName(plain(spread).withColumn("_pos", F.col("_pos").cast("double")))
 
 
 def sliding_windows(df: DataFrame, spec: SlidingWindows) -> DataFrame:
@@ -135,7 +155,7 @@ def window_mean_std(df: DataFrame, spec: SlidingWindows, channels: list[str]) ->
 
 def window_change_point(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Largest absolute step between neighbouring rows."""
-    return spec.aggregate(spec.in_order(spec.rows(df), channels), *change_point_columns(channels))
+    return spec.aggregate(spec.in_order(df, channels), *change_point_columns(channels))
 
 
 def window_skew(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
@@ -145,7 +165,7 @@ def window_skew(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> Dat
 
 def window_trend_slope(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Least-squares slope over the row position, 0 for constant windows."""
-    return spec.aggregate(spec.in_order(spec.rows(df), channels), *slope_columns(channels))
+    return spec.aggregate(spec.in_order(df, channels), *slope_columns(channels))
 
 
 def blocks_with_halo(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.functions.signals import detrended, filled, ks_distance, magnitude_features, welch
+from voltlane.functions.signals import detrended, filled, ks_distance, magnitude_features, normal_cdf, welch
 from voltlane.operators.series import LABEL, SlidingWindows, change_point_columns, label_column, mean_std_columns, midpoint_column, skew_columns, slope_columns
 from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_index, with_neighbour, with_running
 
@@ -44,44 +44,117 @@ def _ordered_values(order: list[str], value: str) -> Column:
     return F.transform(pairs, lambda p: p.getField("_v"))
 
 
-def _window_arrays(df: DataFrame, spec: SlidingWindows, channels: list[str], *extra: Column) -> DataFrame:
-    rows = spec.rows(df)
-    order = [spec.ts, *spec.tie]
-    return spec.aggregate(rows, *[_ordered_values(order, c).alias(f"_a_{c}") for c in channels], *extra)
-
-
 def _expand(arrays: DataFrame, keep: list[str], channels: list[str], names: list[str], rate: float, standardised: bool) -> DataFrame:
     compute = _array_features(rate, standardised)
     staged = arrays.withColumns({f"_f_{c}": compute(f"_a_{c}") for c in channels})
     return staged.select(*keep, *[F.col(f"_f_{c}.{n}").alias(f"{c}_{n}") for c in channels for n in names])
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_cdf(x: pd.Series) -> pd.Series:
+    return pd.Series(normal_cdf(x.to_numpy()))
+
+
+def _spread_ks(rows: DataFrame, keys: list[str], c: str, standardised: bool) -> DataFrame:
+    """The distance to N(0, 1) of windows that no task can hold: ranks from chunks."""
+    x = rows.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_x"))
+    sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_d"))
+    ranked = null_safe_join(plain(with_index(chunked(x, keys, ["_x"]), keys, "_i")), settled(sizes), keys, "inner")
+    scaled = F.when(F.lit(standardised) & (F.col("_d") > 0), (F.col("_x") - F.col("_m")) / F.col("_d")).otherwise(F.col("_x"))
+    cdf = ranked.withColumn("_f", _normal_cdf(scaled))
+    n, f = F.col("_n"), F.col("_f")
+    return cdf.groupBy(*keys).agg(F.max(F.greatest((F.col("_i") + 1) / n - f, f - F.col("_i") / n)).alias(_FEATURES[0]))
+
+
+def _spread_magnitudes(rows: DataFrame, keys: list[str], order: list[str], c: str, rate: float) -> DataFrame:
+    """Magnitude features of windows that no task can hold, from the distributed transform."""
+    spectrum = series_fft(rows, c, order, tuple(keys))
+    positive = spectrum.where((F.col("k") >= 1) & (2 * F.col("k") < F.col("_len")))
+    unit = F.lit(rate) / F.col("_len")
+    top = F.floor((F.col("_len") - 1) / 2) * unit
+    f, m = F.col("_f"), F.col("_m")
+    bins = positive.select(*keys, (F.col("k") * unit).alias("_f"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("_m"), top.alias("_top"))
+    low, high = F.sum(F.when(f <= F.col("_top") / 3, m)), F.coalesce(F.sum(F.when(f > 2 * F.col("_top") / 3, m)), F.lit(0.0))
+    return bins.groupBy(*keys).agg(
+        F.max_by("_f", F.struct("_m", -f)).alias(_FEATURES[1]), F.max("_m").alias(_FEATURES[2]),
+        (F.exp(F.avg(F.log(m + 1e-10))) / (F.avg(m) + 1e-10)).alias(_FEATURES[3]), (low / (high + 1e-10)).alias(_FEATURES[4]),
+    )
+
+
+def _welch_udf(rate: float):
+    @F.pandas_udf("array<double>")
+    def compute(arrays: pd.Series) -> pd.Series:
+        return pd.Series([welch(np.asarray(a, dtype=float), len(a), rate)[1] for a in arrays])
+
+    return compute
+
+
+def _spread_welch(rows: DataFrame, keys: list[str], order: list[str], c: str, rate: float) -> DataFrame:
+    """Welch features of windows that no task can hold: segments of at most 256 rows are groups of their own."""
+    indexed = settled(_indexed(rows, c, order, keys))
+    sizes = settled(indexed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    placed = null_safe_join(indexed, sizes, keys, "inner")
+    length = F.least(F.floor(F.col("_n") / 2), F.lit(256)).cast("long")
+    placed = placed.withColumn("_l", length).withColumn("_s", (F.col("_l") - F.floor(F.col("_l") / 2)).cast("long"))
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - F.col("_l") + 1) / F.col("_s")).cast("long"))
+    last = F.least(F.floor(F.col("i") / F.col("_s")), F.floor((F.col("_n") - F.col("_l")) / F.col("_s"))).cast("long")
+    cut = placed.withColumns({"_a": first, "_b": last}).where("_b >= _a").withColumn("_g", F.explode(F.sequence("_a", "_b")))
+    segments = cut.groupBy(*keys, "_g").agg(_ordered_values(["i"], "x").alias("_values"))
+    density = segments.select(*keys, F.posexplode(_welch_udf(rate)("_values")).alias("_k", "_d"))
+    means = density.groupBy(*keys, "_k").agg(F.avg("_d").alias("_d"))
+    return means.groupBy(*keys).agg(F.max("_d").alias(_FEATURES[5]), F.sum("_d").alias(_FEATURES[6]))
+
+
+def _spread_features(rows: DataFrame, spec: SlidingWindows, channels: list[str], names: list[str], rate: float, standardised: bool) -> DataFrame:
+    keys, order, out = spec.keys, [spec.ts, *spec.tie], None
+    for c in channels:
+        pieces = []
+        if _FEATURES[0] in names:
+            pieces.append(_spread_ks(rows, keys, c, standardised))
+        if _FEATURES[1] in names:
+            pieces.append(_spread_magnitudes(rows, keys, order, c, rate))
+        if _FEATURES[5] in names:
+            pieces.append(_spread_welch(rows, keys, order, c, rate))
+        for piece in pieces:
+            named = piece.select(*keys, *[F.col(n).alias(f"{c}_{n}") for n in names if n in piece.columns])
+            out = named if out is None else null_safe_join(out, named, keys, "inner")
+    return out
+
+
+def _sampled_features(df: DataFrame, spec: SlidingWindows, channels: list[str], names: list[str], rate: float = 1.0, standardised: bool = False) -> DataFrame:
+    """Features of the ordered samples: arrays for windows a task can hold, spread work for the others."""
+    rows, huge = spec.usable(df)
+    order = [spec.ts, *spec.tie]
+    arrays = rows.groupBy(*spec.keys).agg(*[_ordered_values(order, c).alias(f"_a_{c}") for c in channels])
+    out = _expand(arrays, spec.keys, channels, names, rate, standardised)
+    return out if huge is None else out.unionByName(_spread_features(huge, spec, channels, names, rate, standardised))
+
+
 def window_ks_normal(df: DataFrame, spec: SlidingWindows, channels: list[str], standardised: bool = False) -> DataFrame:
     """Distance of each window's raw values to N(0, 1)."""
-    return _expand(_window_arrays(df, spec, channels), spec.keys, channels, _FEATURES[:1], 1.0, standardised)
+    return _sampled_features(df, spec, channels, _FEATURES[:1], standardised=standardised)
 
 
 def window_fft_features(df: DataFrame, spec: SlidingWindows, channels: list[str], rate: float = 1.0) -> DataFrame:
-    return _expand(_window_arrays(df, spec, channels), spec.keys, channels, _FEATURES[1:5], rate, False)
+    """Dominant frequency, peak, flatness and low/high ratio of each window."""
+    return _sampled_features(df, spec, channels, _FEATURES[1:5], rate)
 
 
 def window_welch_features(df: DataFrame, spec: SlidingWindows, channels: list[str], rate: float = 1.0) -> DataFrame:
-    return _expand(_window_arrays(df, spec, channels), spec.keys, channels, _FEATURES[5:], rate, False)
+    """Peak and total of each window's Welch density."""
+    return _sampled_features(df, spec, channels, _FEATURES[5:], rate)
 
 
 def window_features(
     df: DataFrame, spec: SlidingWindows, channels: list[str], label: str | None = LABEL, rate: float = 1.0
 ) -> DataFrame:
-    """All statistics of every window in one shuffle: native aggregates and the array features together."""
-    ordered = spec.in_order(spec.rows(df), channels)
-    order = [spec.ts, *spec.tie]
+    """All statistics of every window: native aggregates and the features of the ordered samples."""
     native = [*mean_std_columns(channels), *change_point_columns(channels), *skew_columns(channels), *slope_columns(channels)]
     native.append(midpoint_column(spec.ts))
     if label:
         native.append(label_column(label))
-    table = spec.aggregate(ordered, *native, *[_ordered_values(order, c).alias(f"_a_{c}") for c in channels])
-    keep = [c for c in table.columns if not c.startswith("_a_")]
-    return _expand(table, keep, channels, _FEATURES, rate, False)
+    table = spec.aggregate(spec.in_order(df, channels), *native)
+    return null_safe_join(table, _sampled_features(df, spec, channels, _FEATURES, rate), spec.keys, "inner")
 
 
 # --- spectra of selected windows -------------------------------------------------------------------------------

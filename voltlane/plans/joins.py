@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltlane.functions.columns import floor_to
 from voltlane.session import materialise
 
 BROADCAST_ROWS = 200_000
@@ -21,7 +22,8 @@ def scalar_join(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
+    step = seconds * 1_000_000
+    return (floor_to(F.unix_micros(ts), step) / step).cast("long")
 
 
 def interval_join(

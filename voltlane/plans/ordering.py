@@ -48,13 +48,13 @@ def chunked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column]) -
     return materialise(slotted.withColumn(CHUNK, F.shiftright(SLOT, 33).cast("int")), "chunks")
 
 
-def _inside(part: Sequence[str]) -> Window:
-    return Window.partitionBy(*part, CHUNK).orderBy(SLOT)
+def _inside(part: Sequence[str], backward: bool = False) -> Window:
+    return Window.partitionBy(*part, CHUNK).orderBy(F.col(SLOT).desc() if backward else SLOT)
 
 
-def _across(part: Sequence[str]) -> Window:
+def _across(part: Sequence[str], backward: bool = False) -> Window:
     # over the carry table only: one row per (part, chunk)
-    return Window.partitionBy(*part).orderBy(CHUNK)
+    return Window.partitionBy(*part).orderBy(F.col(CHUNK).desc() if backward else CHUNK)
 
 
 def with_index(cdf: DataFrame, part: Sequence[str], name: str = "idx") -> DataFrame:
@@ -78,23 +78,25 @@ _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def with_running(
-    cdf: DataFrame, part: Sequence[str], values: dict[str, tuple[str, Column | str]], inclusive: bool = True
+    cdf: DataFrame, part: Sequence[str], values: dict[str, tuple[str, Column | str]], inclusive: bool = True, backward: bool = False
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``min`` / ``last`` (last non-null) along the part.
 
-    ``values`` maps the new column to ``(kind, expression)``; ``inclusive=False`` leaves the current row out.
+    ``values`` maps the new column to ``(kind, expression)``; ``inclusive=False`` leaves the current row out, and
+    ``backward`` runs from the end of the part.
     """
     staged = cdf
     for name, (_, expr) in values.items():
         staged = staged.withColumn(f"_v_{name}", F.col(expr) if isinstance(expr, str) else expr)
     end = Window.currentRow if inclusive else -1
     aggregates, carried, outs = [], [], []
-    local = _inside(part).rowsBetween(Window.unboundedPreceding, end)
-    before = _across(part).rowsBetween(Window.unboundedPreceding, -1)
+    local = _inside(part, backward).rowsBetween(Window.unboundedPreceding, end)
+    before = _across(part, backward).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.min_by if backward else F.max_by
     for name, (kind, _) in values.items():
         value = F.col(f"_v_{name}")
         if kind == "last":
-            aggregates.append(F.max_by(value, F.when(value.isNotNull(), F.col(SLOT))).alias(f"_t_{name}"))
+            aggregates.append(nearest(value, F.when(value.isNotNull(), F.col(SLOT))).alias(f"_t_{name}"))
             carried.append(F.last(f"_t_{name}", ignorenulls=True).over(before).alias(f"_c_{name}"))
             out = F.coalesce(F.last(value, ignorenulls=True).over(local), F.col(f"_c_{name}"))
         else:
