@@ -18,6 +18,6 @@ def test_every_query_has_a_check():
     fits = {
         "fit_random_forest", "fit_boosted_trees", "forest_importance", "booster_importance", "permutation_importance",
         "search_parameters", "evaluate_saved_model", "save_load_model", "save_predictions", "standardised_pca_variance",
-        "pca_component_count", "pca_loadings", "pca_scores", "window_features",
+        "pca_component_count", "pca_loadings", "pca_scores",
     }
     assert set(QUERIES) - set(ORACLES) == fits

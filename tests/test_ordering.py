@@ -38,8 +38,7 @@ def test_index_running_and_neighbours(spark, rows, partitions):
         out = o.with_index(cdf, ["part"])
         out = o.with_running(out, ["part"], {"total": ("sum", "value"), "top": ("max", "value"), "seen": ("last", "value")})
         out = o.with_running(out, ["part"], {"low_before": ("min", "value")}, inclusive=False)
-        out = o.with_neighbour(out, ["part"], {"previous": "value", "previous_id": "id"})
-        out = o.with_neighbour(out, ["part"], {"next_id": "id"}, step=1)
+        out = o.with_neighbours(out, ["part"], {"previous": "value", "previous_id": "id"}, {"next_id": "id"})
         got = {r["id"]: r for r in out.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")

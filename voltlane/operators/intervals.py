@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlane.plans.joins import BROADCAST_ROWS, interval_join, small_enough
-from voltlane.plans.ordering import chunked, null_safe_join, plain, settled, with_index, with_neighbour, with_running
+from voltlane.plans.ordering import chunked, null_safe_join, plain, settled, with_index, with_neighbours, with_running
 
 STATION, START, END = "station", "start_ts", "end_ts"
 
@@ -39,7 +39,7 @@ def adjacent_overlaps(intervals: DataFrame, part: str = STATION, start: str = ST
     """Neighbours in start order whose ranges overlap or touch, with both ranges, positions and seconds."""
     cdf = chunked(intervals.select(part, start, end), [part], [start, end])
     rows = with_index(cdf, [part], "first_index")
-    rows = with_neighbour(rows, [part], {"second_start": start, "second_end": end}, step=1)
+    rows = with_neighbours(rows, [part], after={"second_start": start, "second_end": end})
     return rows.where(F.col(end) >= F.col("second_start")).select(
         part,
         "first_index",
@@ -55,7 +55,7 @@ def adjacent_overlaps(intervals: DataFrame, part: str = STATION, start: str = ST
 def overlap_summary(intervals: DataFrame, part: str = STATION, start: str = START, end: str = END) -> DataFrame:
     """Ranges, overlapping neighbours and summed overlap per station."""
     cdf = chunked(intervals.select(part, start, end), [part], [start, end])
-    rows = with_neighbour(cdf, [part], {"_next": start}, step=1)
+    rows = with_neighbours(cdf, [part], after={"_next": start})
     hit = F.col(end) >= F.col("_next")
     return rows.groupBy(part).agg(
         F.count(F.lit(1)).alias("total_ranges"),

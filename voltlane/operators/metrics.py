@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlane.plans.joins import scalar_join
-from voltlane.plans.ordering import chunked, plain, settled, with_index, with_run_max, with_running
+from voltlane.plans.ordering import chunked, plain, with_index, with_run_max, with_running
 
 LABEL, SCORE, PREDICTED = "label", "score", "predicted"
 METRICS = ("f1", "precision", "recall", "accuracy")
@@ -43,7 +43,7 @@ def grouped_scores(df: DataFrame, score: str = SCORE, label: str = LABEL) -> Dat
     )
     cdf = chunked(counts, [], [F.col("threshold").desc()])
     run = with_running(cdf, [], {"tp": ("sum", "_pos"), "fp": ("sum", "_neg")})
-    totals = settled(cdf.agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q")))
+    totals = cdf.agg(F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
     full = scalar_join(plain(run), totals)
     return full.withColumns({"fn": F.col("_p") - F.col("tp"), "tn": F.col("_q") - F.col("fp")})
 

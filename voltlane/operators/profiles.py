@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +115,7 @@ def duration_distribution(df: DataFrame, value: str, by: tuple[str, ...] = ("sta
         {"_single": F.col("_min") == F.col("_max"), "_edges": F.filter(edges, lambda e: (e <= F.col("_max")) | (e == 0))}
     )
     # edges below the value, counted without the per-group maximum: a value cannot exceed it
-    below = F.size(F.filter(edges, lambda e: e < F.col(value)))
+    below = reduce(add, [(F.col(value) > float(e)).cast("int") for e in DURATION_EDGES])
     counts = rows.groupBy(*by, below.alias("_bin")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*by).agg(
         F.sum("n").alias("_all"), F.coalesce(F.sum(F.when(F.col("_bin") == 0, F.col("n"))), F.lit(0)).alias("outside")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltlane.functions.columns import floor_to
 from voltlane.operators.intervals import seconds_between
-from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_count, with_index, with_neighbour
+from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_count, with_index, with_neighbours
 
 STATION, TS, LABEL = "station", "ts", "anomaly_label"
 
@@ -85,18 +85,23 @@ class SlidingWindows:
         huge = F.col("_rows") > self.max_rows
         return chosen(~huge), None if counts.where(huge).isEmpty() else chosen(huge)
 
+    def order_in_task(self, rows: DataFrame, channels: list[str]) -> DataFrame:
+        """Add the position and each channel's previous value; each window is sorted in one task."""
+        line = Window.partitionBy(*self.keys).orderBy(self.ts, *self.tie)
+        added = {"_pos": (F.row_number().over(line) - 1).cast("double")}
+        return rows.withColumns(added | {f"_prev_{c}": F.lag(c).over(line) for c in channels})
+
+    def order_spread(self, rows: DataFrame, channels: list[str]) -> DataFrame:
+        """The same from balanced chunks, for windows that no task can hold."""
+        cdf = with_index(chunked(rows, self.keys, [self.ts, *self.tie]), self.keys, "_pos")
+        spread = with_neighbours(cdf, self.keys, {f"_prev_{c}": c for c in channels})
+        return plain(spread).withColumn("_pos", F.col("_pos").cast("double"))
+
     def in_order(self, df: DataFrame, channels: list[str]) -> DataFrame:
         """Rows of the windows with their position and each channel's previous value."""
         rows, huge = self.usable(df)
-        line = Window.partitionBy(*self.keys).orderBy(self.ts, *self.tie)
-        added = {"_pos": (F.row_number().over(line) - 1).cast("double")}
-        added |= {f"_prev_{c}": F.lag(c).over(line) for c in channels}
-        out = rows.withColumns(added)
-        if huge is None:
-            return out
-        cdf = with_index(chunked(huge, self.keys, [self.ts, *self.tie]), self.keys, "_pos")
-        spread = with_neighbour(cdf, self.keys, {f"_prev_{c}": c for c in channels})
-        return out.unionByName(plain(spread).withColumn("_pos", F.col("_pos").cast("double")))
+        out = self.order_in_task(rows, channels)
+        return out if huge is None else out.unionByName(self.order_spread(huge, channels))
 
 
 def sliding_windows(df: DataFrame, spec: SlidingWindows) -> DataFrame:
@@ -243,7 +248,7 @@ def intervals_between_rows(
 ) -> DataFrame:
     """Each row's time, the previous one and the seconds between; null on the first row."""
     cdf = chunked(df.select(*part, ts, *tie), list(part), [ts, *tie])
-    rows = plain(with_neighbour(cdf, list(part), {"previous": ts}))
+    rows = plain(with_neighbours(cdf, list(part), {"previous": ts}))
     return rows.withColumn("gap_seconds", seconds_between("previous", ts))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from voltlane.functions.signals import detrended, filled, ks_distance, magnitude_features, normal_cdf, welch
 from voltlane.operators.series import LABEL, SlidingWindows, change_point_columns, label_column, mean_std_columns, midpoint_column, skew_columns, slope_columns
-from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_index, with_neighbour, with_running
+from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_index, with_neighbours, with_running
 
 _FEATURES = [
     "ks_test_statistic", "dominant_frequency", "spectral_peak", "spectral_flatness", "freq_energy_ratio_low_high",
@@ -148,13 +148,19 @@ def window_welch_features(df: DataFrame, spec: SlidingWindows, channels: list[st
 def window_features(
     df: DataFrame, spec: SlidingWindows, channels: list[str], label: str | None = LABEL, rate: float = 1.0
 ) -> DataFrame:
-    """All statistics of every window: native aggregates and the features of the ordered samples."""
+    """All statistics of every window, native aggregates and sample arrays, from one shuffle of the rows."""
     native = [*mean_std_columns(channels), *change_point_columns(channels), *skew_columns(channels), *slope_columns(channels)]
     native.append(midpoint_column(spec.ts))
     if label:
         native.append(label_column(label))
-    table = spec.aggregate(spec.in_order(df, channels), *native)
-    return null_safe_join(table, _sampled_features(df, spec, channels, _FEATURES, rate), spec.keys, "inner")
+    rows, huge = spec.usable(df)
+    arrays = [_ordered_values([spec.ts, *spec.tie], c).alias(f"_a_{c}") for c in channels]
+    table = spec.order_in_task(rows, channels).groupBy(*spec.keys).agg(*native, *arrays)
+    out = _expand(table, [c for c in table.columns if not c.startswith("_a_")], channels, _FEATURES, rate, False)
+    if huge is None:
+        return out
+    spread = spec.order_spread(huge, channels).groupBy(*spec.keys).agg(*native)
+    return out.unionByName(null_safe_join(spread, _spread_features(huge, spec, channels, _FEATURES, rate, False), spec.keys, "inner"))
 
 
 # --- spectra of selected windows -------------------------------------------------------------------------------
@@ -423,8 +429,7 @@ def local_maxima(df: DataFrame, value: str, position: str, part: tuple[str, ...]
     """Interior points above both neighbours; a flat top counts once, at its middle (rounded down)."""
     keys = list(part)
     cdf = chunked(df.select(*keys, position, value), keys, [position])
-    rows = with_neighbour(cdf, keys, {"_before": value})
-    rows = with_neighbour(rows, keys, {"_after": value}, step=1)
+    rows = with_neighbours(cdf, keys, {"_before": value}, {"_after": value})
     v = F.col(value)
     opens = F.col("_before").isNull() | (F.col("_before") != v)
     runs = with_running(rows, keys, {"_run": ("last", F.when(opens, F.col(position)))})
@@ -447,6 +452,7 @@ def spectral_peaks(
     hours: tuple[float, float] = (0.5, 168.0), top: int = 10,
 ) -> DataFrame:
     """Local maxima at or above the quantile, with a period in range, strongest first."""
+    spectrum = settled(spectrum)  # read three times below
     limits = quantiles(spectrum, list(part), "power", {"_limit": share})
     peaks = null_safe_join(local_maxima(spectrum, "power", "k", part), settled(limits), list(part), "inner")
     periods = spectrum.select(*part, "k", "period_hours")

@@ -71,6 +71,8 @@ def with_index(cdf: DataFrame, part: Sequence[str], name: str = "idx") -> DataFr
 def with_count(cdf: DataFrame, part: Sequence[str], name: str = "n_rows") -> DataFrame:
     """Rows of the part, on every row."""
     totals = cdf.groupBy(*part).agg(F.count(F.lit(1)).alias(name))
+    if not part:
+        return cdf.crossJoin(F.broadcast(totals))  # one row
     return null_safe_join(cdf, settled(totals), part, "inner")
 
 
@@ -116,18 +118,28 @@ def with_running(
     return joined.select(*cdf.columns, *outs)
 
 
-def with_neighbour(cdf: DataFrame, part: Sequence[str], columns: dict[str, str], step: int = -1) -> DataFrame:
-    """Value of the previous (``step=-1``) or next (``step=1``) row of the part; null at the end of the part."""
-    struct = F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
-    edge = F.max_by(struct, F.col(SLOT)) if step < 0 else F.min_by(struct, F.col(SLOT))
-    limit = F.max(SLOT) if step > 0 else F.min(SLOT)
-    shift = F.lag if step < 0 else F.lead
-    carry = cdf.groupBy(*part, CHUNK).agg(edge.alias("_edge"), limit.alias("_limit"))
-    carry = carry.select(*part, CHUNK, "_limit", shift("_edge").over(_across(part)).alias("_edge"))
+def with_neighbours(
+    cdf: DataFrame, part: Sequence[str], before: dict[str, str] | None = None, after: dict[str, str] | None = None
+) -> DataFrame:
+    """Values of the previous (``before``) and the next row (``after``) of the part; null at its ends.
+
+    Both map the new column to its source.
+    """
+    sides = [(name, sources, back) for name, sources, back in (("_b", before, True), ("_a", after, False)) if sources]
+    packed = {name: F.struct(*[F.col(c).alias(n) for n, c in sources.items()]) for name, sources, _ in sides}
+    edges, shifted = [F.min(SLOT).alias("_head"), F.max(SLOT).alias("_tail")], []
+    for name, _, back in sides:
+        edges.append((F.max_by if back else F.min_by)(packed[name], F.col(SLOT)).alias(f"_e{name}"))
+        shifted.append((F.lag if back else F.lead)(f"_e{name}").over(_across(part)).alias(f"_e{name}"))
+    carry = cdf.groupBy(*part, CHUNK).agg(*edges).select(*part, CHUNK, "_head", "_tail", *shifted)
     joined = null_safe_join(cdf, settled(carry), [*part, CHUNK], "inner")
-    near = shift(struct).over(_inside(part))
-    picked = joined.withColumn("_near", F.when(F.col(SLOT) == F.col("_limit"), F.col("_edge")).otherwise(near))
-    return picked.select(*cdf.columns, *[F.col(f"_near.{name}").alias(name) for name in columns])
+    outs = []
+    for name, sources, back in sides:
+        near = (F.lag if back else F.lead)(packed[name]).over(_inside(part))
+        at_edge = F.col(SLOT) == F.col("_head" if back else "_tail")
+        joined = joined.withColumn(f"_n{name}", F.when(at_edge, F.col(f"_e{name}")).otherwise(near))
+        outs += [F.col(f"_n{name}.{n}").alias(n) for n in sources]
+    return joined.select(*cdf.columns, *outs)
 
 
 def with_run_max(cdf: DataFrame, part: Sequence[str], run_of: str, value: str, name: str) -> DataFrame:
@@ -204,12 +216,13 @@ def _collapsed(df: DataFrame, part: Sequence[str], value: str, shares: Sequence[
         low = F.col("_lo") if share - margin <= 0 else F.get("_cuts", F.lit(2 * i))
         high = F.col("_hi") if share + margin >= 1 else F.get("_cuts", F.lit(2 * i + 1))
         ends += [F.when(few, F.col("_lo")).otherwise(low).alias(f"_a{i}"), F.when(few, F.col("_hi")).otherwise(high).alias(f"_b{i}")]
-    placed = null_safe_join(df, settled(sketch.select(*part, *ends)), part, "inner")
+    placed = null_safe_join(df, settled(sketch.select(*part, "_rows", *ends)), part, "inner")
     inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_a{i}"), F.col(f"_b{i}")) for i in range(len(shares))])
     # the number of brackets that lie entirely below a value tells the stretches between brackets apart
     passed = reduce(lambda a, b: a + b, [(v > F.col(f"_b{i}")).cast("int") for i in range(len(shares))])
     grouped = placed.groupBy(*part, F.when(inside, v).alias("_kept"), F.when(~inside, passed).alias("_stretch"))
-    return grouped.agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias(value)).drop("_kept", "_stretch")
+    counts = grouped.agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias(value), F.max("_rows").alias("_total"))
+    return counts.drop("_kept", "_stretch")
 
 
 def quantiles(df: DataFrame, part: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -221,8 +234,6 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, shares: dict[str,
     known = df.where(F.col(value).isNotNull()).select(*part, value)
     cdf = chunked(_collapsed(known, part, value, list(shares.values())), part, [value])
     run = with_running(cdf, part, {"_upto": ("sum", F.col("_n"))})
-    totals = cdf.groupBy(*part).agg(F.sum("_n").alias("_total"))
-    run = null_safe_join(run, settled(totals), part, "inner")
     covers = lambda pos: (pos >= F.col("_upto") - F.col("_n")) & (pos < F.col("_upto"))
     picks, finals = [], []
     for i, (name, share) in enumerate(shares.items()):

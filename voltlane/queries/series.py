@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voltlane.operators import cleaning, series as op
 from voltlane.operators import intervals as iv
+from voltlane.plans.ordering import settled
 from voltlane.queries import fixtures as fx
 from voltlane.queries.registry import query, rounded
 
@@ -29,16 +30,18 @@ _KEYS = "station, window_id, window_start"
 
 
 def hourly(spark, d):
-    return op.downsample_time(fx.readings(spark, d), fx.CHANNELS, 3600)
+    """The resampled table, written once as the window operators read it several times."""
+    return settled(op.downsample_time(fx.readings(spark, d), fx.CHANNELS, 3600))
 
 
 def hourly_labelled(spark, d):
-    return iv.label_points_by_interval(hourly(spark, d), fx.intervals(spark, d))
+    rows = op.downsample_time(fx.readings(spark, d), fx.CHANNELS, 3600)
+    return settled(iv.label_points_by_interval(rows, fx.intervals(spark, d)))
 
 
-@query("downsample_time", f"WITH {HOURLY} SELECT station, ts, round(value, 5) AS value, round(k, 5) AS k FROM hourly")
+@query("downsample_time", f"WITH {HOURLY} SELECT station, ts, round(value, 7) AS value, round(k, 7) AS k FROM hourly")
 def downsample_time(spark, d):
-    return rounded(hourly(spark, d), 5)
+    return rounded(op.downsample_time(fx.readings(spark, d), fx.CHANNELS, 3600), 7)
 
 
 @query(
@@ -71,9 +74,9 @@ def _per_channel(template: str) -> str:
     return f"WITH {WINDOWED} SELECT {_KEYS}, " + ", ".join(template.format(c=c) for c in fx.CHANNELS) + f" FROM win GROUP BY {_KEYS}"
 
 
-@query("window_mean_std", _per_channel("round(avg({c}), 7) AS {c}_mean, round(stddev_pop({c}), 7) AS {c}_std"))
+@query("window_mean_std", _per_channel("round(avg({c}), 9) AS {c}_mean, round(stddev_pop({c}), 9) AS {c}_std"))
 def window_mean_std(spark, d):
-    return rounded(op.window_mean_std(hourly(spark, d), SPEC, fx.CHANNELS), 7)
+    return rounded(op.window_mean_std(hourly(spark, d), SPEC, fx.CHANNELS), 9)
 
 
 @query(
@@ -82,11 +85,11 @@ def window_mean_std(spark, d):
     + ", ".join(f"abs({c} - lag({c}) OVER w) AS d_{c}" for c in fx.CHANNELS)
     + " FROM win WINDOW w AS (PARTITION BY station, window_id ORDER BY ts)) SELECT "
     + f"{_KEYS}, "
-    + ", ".join(f"round(coalesce(max(d_{c}), 0.0), 5) AS {c}_change_point_score" for c in fx.CHANNELS)
+    + ", ".join(f"round(coalesce(max(d_{c}), 0.0), 7) AS {c}_change_point_score" for c in fx.CHANNELS)
     + f" FROM steps GROUP BY {_KEYS}",
 )
 def window_change_point(spark, d):
-    return rounded(op.window_change_point(hourly(spark, d), SPEC, fx.CHANNELS), 5)
+    return rounded(op.window_change_point(hourly(spark, d), SPEC, fx.CHANNELS), 7)
 
 
 @query(
@@ -237,7 +240,7 @@ _PARTS = f"""WITH {REGULAR}, trended AS (SELECT *, CASE WHEN slot >= 12 AND slot
 
 
 def regular(spark, d):
-    return cleaning.regularise_ffill(fx.readings(spark, d), ["value"], 3600)
+    return settled(cleaning.regularise_ffill(fx.readings(spark, d), ["value"], 3600))
 
 
 @query(

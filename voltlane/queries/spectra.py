@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voltlane.operators import spectra as op
 from voltlane.operators import window_samples as ws
 from voltlane.queries import fixtures as fx
-from voltlane.queries.registry import query, rounded
+from voltlane.queries.registry import ORACLES, query, rounded
 from voltlane.queries.series import REGULAR, SPEC, WINDOWED, hourly, hourly_labelled, regular
 
 _LONG = (
@@ -78,9 +78,21 @@ def window_welch_features(spark, d):
     return rounded(op.window_welch_features(hourly(spark, d), SPEC, fx.CHANNELS))
 
 
-@query("window_features")
+_SINGLE = [
+    "window_mean_std", "window_change_point", "window_skew", "window_trend_slope", "window_label", "window_midpoint",
+    "window_ks_normal", "window_fft_features", "window_welch_features",
+]
+_DIGITS = {"_mean": 9, "_std": 9, "_change_point_score": 7, "_skew": 5, "_trend_slope": 5}
+
+
+@query(
+    "window_features",
+    "SELECT * FROM " + " JOIN ".join(f"({ORACLES[n]}) {'' if i == 0 else 'USING (' + _WKEYS + ')'}" for i, n in enumerate(_SINGLE)),
+)
 def window_features(spark, d):
-    return rounded(op.window_features(hourly_labelled(spark, d), SPEC, fx.CHANNELS))
+    out = op.window_features(hourly_labelled(spark, d), SPEC, fx.CHANNELS)
+    digits = lambda c: next((n for end, n in _DIGITS.items() if c.endswith(end)), 6)
+    return out.withColumns({c: F.round(c, digits(c)) for c, t in out.dtypes if t == "double"})
 
 
 RATE = 1 / 3600

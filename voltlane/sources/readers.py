@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from voltlane.functions.columns import column_intersection
 from voltlane.operators.cleaning import missing_report, require_columns
+from voltlane.plans.ordering import settled
 
 # fixed values: month names in the file names of the energy data
 MONTH_NAMES = [
@@ -68,7 +69,7 @@ def scan_parquet_tree(spark: SparkSession, root: str, column: str | None = None)
     if column is None:
         return df
     marked = df.select("*", F.col("_metadata.file_path").alias("_file"))
-    usable = marked.where(F.col(column).isNotNull()).select("_file").distinct()
+    usable = settled(marked.where(F.col(column).isNotNull()).select("_file").distinct())  # one row per file
     return marked.join(usable, "_file", "left_semi").drop("_file")
 
 
@@ -83,7 +84,7 @@ def _folder_of_file(df: DataFrame) -> DataFrame:
 
 def _one_folder(df: DataFrame, station: str, pick) -> DataFrame:
     marked = _folder_of_file(df)
-    chosen = marked.groupBy(station).agg(pick("_folder").alias("_folder"))
+    chosen = settled(marked.groupBy(station).agg(pick("_folder").alias("_folder")))  # one row per station
     return marked.join(chosen, [station, "_folder"], "left_semi").drop("_folder")
 
 

@@ -46,7 +46,7 @@ def sink_interval_table(intervals: DataFrame, path: str) -> DataFrame:
 
 def unknown_stations(wanted: DataFrame, intervals: DataFrame) -> DataFrame:
     """Stations that the interval table does not know."""
-    return wanted.select("station").distinct().join(intervals.select("station"), "station", "left_anti")
+    return wanted.select("station").distinct().join(intervals.select("station").distinct(), "station", "left_anti")
 
 
 def as_text(df: DataFrame) -> DataFrame:
