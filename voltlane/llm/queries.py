@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlane.llm import exact, mixing, quality
+from voltlane.llm import bpe, exact, mixing, packing, quality
 from voltlane.llm.common import documents
 
 
@@ -22,8 +22,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.write_and_read(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_quality, op5_exact_dedup, op6_mixing)
+    q.__name__: q for q in (op1_quality, op5_exact_dedup, op6_mixing, op8_bpe, op10_token_files)
 }
 
 ORACLES: dict[str, str] = {
