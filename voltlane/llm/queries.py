@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlane.llm import bpe, exact, mixing, packing, quality
+from voltlane.llm import bpe, exact, mixing, packing, pii, quality, rollups, secrets
 from voltlane.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_measures(documents(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
 
@@ -22,16 +26,26 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
 
+def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.maintained_totals(documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.write_and_read(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_quality, op5_exact_dedup, op6_mixing, op8_bpe, op10_token_files)
+    q.__name__: q for q in (
+        op1_quality, op4_personal_data, op5_exact_dedup, op6_mixing, op7_token_rollups, op8_bpe, op9_secrets, op10_token_files,
+    )
 }
 
 ORACLES: dict[str, str] = {

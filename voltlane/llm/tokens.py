@@ -11,6 +11,7 @@ import re
 import sys
 from collections.abc import Callable
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark import cloudpickle
@@ -31,18 +32,19 @@ def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Vocabulary:
-    """What tasks need of a vocabulary file: its bytes, the special tokens, and the character classes."""
+def vocabulary(path: str | None = None) -> SimpleNamespace:
+    """What tasks need of a vocabulary file: its bytes, the special tokens, and the character classes.
 
-    def __init__(self, path: str | None):
-        self.raw = Path(path or public_vocabulary()).read_bytes()
-        self.specials = [(t["content"].encode(), t["id"]) for t in json.loads(self.raw)["added_tokens"]]
-        self.classes = character_classes()
+    Plain values only: broadcasts are unpickled by executors that may lack this package.
+    """
+    raw = Path(path or public_vocabulary()).read_bytes()
+    specials = [(t["content"].encode(), t["id"]) for t in json.loads(raw)["added_tokens"]]
+    return SimpleNamespace(raw=raw, specials=specials, classes=character_classes())
 
 
 def ship_vocabulary(spark: SparkSession, path: str | None):
     """The vocabulary, a few MB whatever the input, for every executor; ``path`` is the driver's."""
-    return spark.sparkContext.broadcast(Vocabulary(path))
+    return spark.sparkContext.broadcast(vocabulary(path))
 
 
 def byte_alphabet() -> list[str]:
@@ -81,7 +83,7 @@ def special_spans(data: np.ndarray, offsets: np.ndarray, specials: list[tuple[by
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, offsets: np.ndarray, vocabulary: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the words of the splitting pattern, and for each document where its words begin.
 
     Special tokens in the text are words, and what stands between them is split as a text of its own.
@@ -162,7 +164,7 @@ def distinct_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 class WordCache:
     """Ids of words met before, by hash and length, in sorted arrays of bounded size."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = CACHED_WORDS):
+    def __init__(self, vocabulary: SimpleNamespace, limit: int = CACHED_WORDS):
         self.limit, self.vocabulary = limit, vocabulary
         self._empty()
 
