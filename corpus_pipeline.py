@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlane.llm import exact, mixing, quality
+from voltlane.llm import bpe, exact, mixing, near, quality
 from voltlane.session import materialise
 
 
@@ -18,14 +18,27 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_exact(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every group of near duplicates."""
+    return near.keep_one(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("exact dedup", drop_copies), ("mixing", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, ids``: the token ids of every document of the mix."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources),
+    ("BPE encoding", encode),
+]
 
-#: stages 3 to 5 cannot be stated in SQL
+#: SQL can't state near dedup by signatures, the dealt mix and the encoding; a brute-force version tests each
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlane.llm import bpe, exact, mixing, near, packing, pii, quality, rollups, secrets
+from voltlane.llm import bpe, exact, mixing, near, packing, pii, quality, repeats, rollups, secrets
 from voltlane.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_groups(documents(spark, sf_dir))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_digests(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
-        op1_quality, op2_near_dedup, op4_personal_data, op5_exact_dedup, op6_mixing, op7_token_rollups, op8_bpe, op9_secrets, op10_token_files,
+        op1_quality, op2_near_dedup, op3_repeats, op4_personal_data, op5_exact_dedup, op6_mixing, op7_token_rollups, op8_bpe, op9_secrets, op10_token_files,
     )
 }
 
