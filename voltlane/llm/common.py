@@ -143,9 +143,23 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def size_hint(df: DataFrame) -> int:
-    """Bytes of the plan's input as the planner knows them from its files; never an extra scan."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def size_hint(df: DataFrame, column: str = "text") -> int:
+    """Bytes of the plan's input as the planner knows them from its files; where it doesn't, those of ``column``, counted."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 52:
+        return size
+    return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
 
 
 def parts_for(df: DataFrame, target: int, least: int = 1) -> int:

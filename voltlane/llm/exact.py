@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import flat, mix
+from voltlane.llm.common import flat, fresh, mix
 from voltlane.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -233,8 +233,9 @@ def keep_exact(docs: DataFrame, *, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay."""
     digests = materialise(content_digests(docs), "digests")
     n_shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-digests.count() // shard_keys))
-    entries = materialise(build_index(digests, n_shards), "index").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
+    key, keep, place = fresh(docs, "_digest", "_keep", "_place")
+    entries = materialise(build_index(digests, n_shards), "index").select(F.col("digest").alias(key), F.col("keep_id").alias(keep))
     digest = F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256))
-    staying = docs.join(entries, (digest == F.col("_digest")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")))
-    one = F.row_number().over(Window.partitionBy("_digest").orderBy("doc_id"))
-    return staying.withColumn("_n", one).where("_n = 1").select(*[f"`{c}`" for c in docs.columns])
+    staying = docs.join(entries, (digest == F.col(key)) & docs["doc_id"].cast("long").eqNullSafe(F.col(keep)))
+    one = F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))
+    return staying.withColumn(place, one).where(F.col(place) == 1).select(*[f"`{c}`" for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import count_words, mix
+from voltlane.llm.common import count_words, fresh, mix
 from voltlane.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -154,9 +154,10 @@ def mix_sources(docs: DataFrame, **settings) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Rows are numbered and written once to keep equal rows apart."""
-    staged = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mixed")
-    sized = materialise(_sized(staged, F.col("_row")), "sizes")
+    row, times, copy = fresh(docs, "_row", "_times", "_copy")
+    staged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    sized = materialise(_sized(staged, F.col(row)), "sizes")
     taken, _ = copies(sized, **settings)
-    times = taken.where("n > 0").select(F.col("row").alias("_row"), F.col("n").cast("int").alias("_n"))
-    repeated = staged.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    often = taken.where("n > 0").select(F.col("row").alias(row), F.col("n").cast("int").alias(times))
+    repeated = staged.join(often, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])

@@ -8,9 +8,10 @@ number of shingles plus the number of darts, whatever the weights.
 
 Equal shingle multisets become one class first. Classes that agree on a band are compared: all of them in small
 buckets, in large ones each with the bucket's least, which is linear. Large buckets that stay apart then compare
-neighbours by weight, and what is not with the least is split by a second band and compared again. Each class is first
-compared with one other only, and pairs that are by then in one group are never compared. A pair passes on the exact
-similarity of its shingles. Groups are connected components, found by stars that shrink, so no group is gathered.
+all members with a few more of them, and what is with none of these is split by further bands and compared again. Each
+class is first compared with one other only, and pairs that are by then in one group are never compared. A pair
+passes on the exact similarity of its shingles. Groups are connected components, found by stars that shrink, so no group
+is gathered.
 """
 
 from __future__ import annotations
@@ -24,14 +25,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import flat, mix, owner, pieces, prefix_hash, slice_hash, word_bounds
+from voltlane.llm.common import flat, fresh, mix, owner, pieces, prefix_hash, slice_hash, word_bounds
 from voltlane.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET = 5, 0.8, 20, 4, 16
-#: members of a large bucket that one window holds
-SPLIT = 2_000
+SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET, HUBS = 5, 0.8, 20, 4, 16, 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +250,48 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _with(links: DataFrame, found: DataFrame) -> DataFrame:
     """Components after more links; what was found stands for the links before."""
+    links = materialise(links, "links")
+    if not links.take(1):
+        return found
     return materialise(components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
 
 
-def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int) -> tuple[DataFrame, DataFrame]:
+def _settle_large(keys: DataFrame, members: DataFrame, found: DataFrame, check, small: int, hubs: int) -> DataFrame:
+    """Components after more comparisons in large buckets whose members are still apart.
+
+    Some further hubs, each the least member outside the components of the hubs before, meet the whole bucket. Members that
+    are then outside all of them meet those that share one, then two more bands.
+    """
+    members = members.withColumn("done", F.lit(False))
+    for turn in range(hubs):
+        named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        hub = named.where("NOT done").groupBy("key").agg(F.min(F.struct("node", "component")).alias("hub"))
+        named = named.join(hub, "key").withColumn("own", F.col("component") == F.col("hub.component"))
+        # a bucket in which all are with the hub is settled
+        apart = named.groupBy("key").agg(F.min("own").alias("all")).where("NOT all").select("key")
+        named = materialise(named.join(apart, "key"), "members")
+        if not named.take(1):
+            return found
+        if turn:  # the first hubs have met their buckets already
+            pairs = named.where("NOT own").select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
+            found = _with(check(pairs), found)
+        members = named.select("key", "node", "weight", "band", (F.col("done") | F.col("own")).alias("done"))
+    left = members.where("NOT done").drop("done")
+    others = keys.select("node", F.col("key").alias("next"), F.col("band").alias("more"))
+    for _ in range(2):
+        finer = left.join(others, "node").where("more > band").select("node", "weight", F.col("more").alias("band"), F.xxhash64("key", "next").alias("key"))
+        finer = materialise(finer, "members")
+        pairs, large = bucket_pairs(finer, small)
+        found = _with(check(_apart(pairs, found)), found)
+        named = finer.join(materialise(large, "large"), "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        hub = found.select(F.col("node").alias("hub"), F.col("component").alias("with"))
+        left = materialise(named.join(hub, "hub", "left").where(F.col("component") != F.coalesce("with", "hub")).select("node", "weight", "band", "key"), "members")
+        if not left.take(1):
+            break
+    return found
+
+
+def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int, hubs: int) -> tuple[DataFrame, DataFrame]:
     """The classes ``digest, node`` and the ``node, component`` rows of nodes that have a partner."""
     usable = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
@@ -269,25 +306,11 @@ def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity
     pairs, large = materialise(pairs, "pairs"), materialise(large, "large")
     found = materialise(components(check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))), "components")
     found = _with(check(_apart(pairs, found)), found)
-    members = keys.join(large, "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    members = members.join(found.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
-    members = members.withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
-    members = materialise(members.select("node", "weight", "band", "key", "n", "component", "outside"), "members")
-    if members.where("outside").take(1):
-        salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPLIT))
-        line = Window.partitionBy("key", salt).orderBy("weight", "node")
-        near = members.select("node", *[F.lag(F.struct("node", "component"), i).over(line).alias(f"p{i}") for i in (1, 2)], "component")
-        near = near.select("node", "component", F.explode(F.array_compact(F.array("p1", "p2"))).alias("p")).where("p.component <> component")
-        near = near.select(*_ordered(F.col("node"), F.col("p.node")))
-        second = keys.select("node", F.col("key").alias("other"), F.col("band").alias("second"))
-        split = members.where("outside").select("node", "key", "band").join(second, "node").where("second <> band")
-        finer, _ = bucket_pairs(split.select(F.xxhash64("key", "other").alias("key"), "node").distinct(), small)
-        more = near.unionByName(finer).distinct().join(pairs, ["a", "b"], "left_anti")
-        found = _with(check(_apart(more, found)), found)
+    found = _settle_large(keys, materialise(keys.join(large.select("key"), "key"), "members"), found, check, small, hubs)
     return classes, found
 
 
-def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
+def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, hubs: int = HUBS) -> DataFrame:
     """One row per document: ``doc_id, class_id, group_id, group_size, kept``.
 
     ``class_id`` is the least id with the same shingles, ``group_id`` the least id of the near-duplicate group, which stays.
@@ -295,7 +318,7 @@ def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float
     own. Rows with a null id are kept and left out of grouping. An empty table gives no rows.
     """
     marked = materialise(signature_bands(docs, size=size, bands=bands, rows=rows), "bands")
-    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small)
+    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small, hubs=hubs)
     named = classes.join(found, "node", "left").select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
     known = F.col("doc_id").isNotNull()
     grouped = marked.select("doc_id", "digest").join(named, "digest", "left").select(
@@ -309,5 +332,6 @@ def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, with all columns, of which each near-duplicate group keeps one."""
-    dropped = near_groups(docs, **settings).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    (gone,) = fresh(docs, "_gone")
+    dropped = near_groups(docs, **settings).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col(gone), "left_anti")
