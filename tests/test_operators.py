@@ -4,6 +4,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,47 @@ def test_huge_windows_give_the_same_features(spark):
             assert list(a[column]) == list(b[column]), column
 
 
+def test_nulls_in_windows_are_left_out_on_both_paths(spark):
+    rng = np.random.default_rng(13)
+    values = [None if i % 7 == 3 or 600 <= i < 1200 else float("nan") if i % 50 == 1 else float(round(v, 1)) for i, v in enumerate(rng.normal(size=2500))]
+    values[1800:2395] = [None] * 595  # a window with a handful of samples
+    rows = [("a", T0 + timedelta(seconds=i), v, 1.0 * i) for i, v in enumerate(values)]
+    df = frame(spark, rows, "station string, ts timestamp, v double, w double")
+    for feature in (spectra.window_ks_normal, spectra.window_fft_features, spectra.window_welch_features):
+        a, b = (feature(df, series.SlidingWindows(600, 600, max_rows=m), ["v", "w"]).orderBy("window_id").toPandas() for m in (10_000, 10))
+        assert len(a) == 4
+        for column in a.columns[3:]:
+            np.testing.assert_allclose(a[column], b[column], rtol=1e-8, atol=1e-12, err_msg=column)
+        assert a.filter(like="v_").iloc[1].isna().all() and a.filter(like="v_").iloc[0].notna().all()
+
+
+def test_labels_ignore_broken_intervals_on_both_paths(spark):
+    minute = timedelta(minutes=1)
+    points = frame(spark, [(s, T0 + i * minute, i) for s in ("a", "b", None) for i in range(10)], "station string, ts timestamp, id int")
+    broken = [("a", T0, T0 + 3 * minute), (None, T0, T0 + 9 * minute), ("b", T0 + 5 * minute, T0 + 2 * minute), ("b", None, T0), ("a", T0 + 2 * minute, None)]
+    df = frame(spark, broken, "station string, start_ts timestamp, end_ts timestamp")
+    for limit in (0, 1000):
+        rows = intervals.label_points_by_interval(points, df, max_broadcast_rows=limit).collect()
+        assert sorted((r.station, r.id) for r in rows if r.anomaly_label) == [("a", i) for i in range(4)] and len(rows) == 30
+
+
+def test_wide_correlations(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 372))
+    x[:, 5] = x[:, 4] * 2 + 1
+    x[rng.random(x.shape) < 0.05] = np.nan
+    names = [f"f{i}" for i in range(372)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).replace(float("nan"), None)
+    got = profiles.correlation_matrix(df, names).toPandas().pivot(index="a", columns="b", values="r").loc[names, names]
+    np.testing.assert_allclose(got.to_numpy(), pd.DataFrame(x).corr().to_numpy(), atol=1e-9)
+
+
+def test_principal_components_keep_every_row(spark):
+    df = frame(spark, [(i, float(i), float(i % 3) if i % 4 else None) for i in range(20)], "id int, x double, y double")
+    assert ranking.pca_scores(df, ["x", "y"], 2, ["id"]).count() == 20
+    assert ranking.finite(df, ["y"], "zero").where("id = 4").first().y == 0.0
+
+
 def test_labels_by_order_equal_labels_by_join(spark):
     points = spark.range(3000).select(
         F.when(F.col("id") % 5 == 0, "a").otherwise("b").alias("station"), F.timestamp_seconds(F.col("id") * 30).alias("ts"), "id"

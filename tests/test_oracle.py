@@ -6,18 +6,15 @@ from tests.oracle import compare
 from voltlane.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: queries whose result on the smallest tables is rightly empty
+EMPTY: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     problem = compare(name, spark, SF)
-    assert problem in (None, "no rows"), problem
+    assert problem is None or (problem == "no rows" and name in EMPTY), problem
 
 
 def test_every_query_has_a_check():
-    fits = {
-        "fit_random_forest", "fit_boosted_trees", "forest_importance", "booster_importance", "permutation_importance",
-        "search_parameters", "evaluate_saved_model", "save_load_model", "save_predictions", "standardised_pca_variance",
-        "pca_component_count", "pca_loadings", "pca_scores",
-    }
-    assert set(QUERIES) - set(ORACLES) == fits
+    assert set(QUERIES) == set(ORACLES)

@@ -77,10 +77,12 @@ def label_points_by_interval(
     """1 where some interval of the station contains the point, both ends closed; else 0.
 
     Merging first makes the intervals disjoint, so a point meets at most one. A table of intervals that is small
-    enough is joined without moving the points; a larger one is put in order with them.
+    enough is joined without moving the points; a larger one is put in order with them, or, where the points are a
+    stream, joined by buckets. Intervals without a station or a bound, or that end before they start, hold no point.
     """
-    disjoint = settled(intervals if merged else merge_intervals(intervals))
-    if small_enough(disjoint, max_broadcast_rows):
+    whole = intervals.where(F.col(STATION).isNotNull() & (F.col(START) <= F.col(END)))
+    disjoint = settled(whole if merged else merge_intervals(whole))
+    if points.isStreaming or small_enough(disjoint, max_broadcast_rows):
         joined = interval_join(points, disjoint, "left", max_broadcast_rows=max_broadcast_rows)
         return joined.select(*points.columns, F.col(START).isNotNull().cast("int").alias(label))
     return _label_in_order(points, disjoint, label)

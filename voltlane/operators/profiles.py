@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations_with_replacement
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -326,15 +328,41 @@ def periodicity_summary(df: DataFrame, target: str) -> DataFrame:
     return scalar_join(scalar_join(scalar_join(base, hours), days), halves)
 
 
+def _cross_sums(features: list[str]):
+    """Sums over the rows of a batch for every pair of features, each pair over the rows that have both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, total = len(features), None
+        for batch in batches:
+            x = np.stack([np.asarray(batch.column(i).cast(pa.float64()).fill_null(np.nan)) for i in range(p)], 1) if p else np.zeros((0, 0))
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = sums if total is None else total + sums
+        if total is not None:
+            for i in range(p):  # one row per feature: a task's result has a fixed size
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([row.tolist()], pa.list_(pa.float64())) for row in total[:, i]]], ["i", "n", "sa", "sb", "qa", "qb", "ab"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson matrix as ``a, b, r`` rows, from one pass over the data."""
-    pairs = list(combinations_with_replacement(features, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for x, y in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"r{i}").alias("r")))
-    return row.select(F.inline(F.array(*cells)))
+    """Pearson matrix as ``a, b, r`` rows, from two passes over the data however many features there are.
+
+    Each pair uses the rows that have both features. Features are centred on their means first, so sums of products
+    stay exact enough; tasks add up matrix products and send one row per feature.
+    """
+    means = df.agg(*[F.avg(f).cast("double").alias(f"_mean_{i}") for i, f in enumerate(features)])
+    centred = scalar_join(df.select(*features), means).select(*[(F.col(f).cast("double") - F.col(f"_mean_{i}")).alias(f) for i, f in enumerate(features)])
+    names = ["n", "sa", "sb", "qa", "qb", "ab"]
+    parts = centred.mapInArrow(_cross_sums(features), "i int, " + ", ".join(f"{c} array<double>" for c in names))
+    cells = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "z")).groupBy("i", "j").agg(*[F.sum(f"z.{c}").alias(c) for c in names])
+    n = F.col("n")
+    cross = F.col("ab") - F.col("sa") * F.col("sb") / n
+    spread = (F.col("qa") - F.col("sa") ** 2 / n) * (F.col("qb") - F.col("sb") ** 2 / n)
+    r = F.when(n > 1, F.when(spread > 0, cross / F.sqrt(spread)).otherwise(F.lit(float("nan"))))
+    name = F.array(*[F.lit(f) for f in features])
+    return cells.select(F.get(name, F.col("i")).alias("a"), F.get(name, F.col("j")).alias("b"), r.alias("r"))
 
 
 def high_correlations(matrix: DataFrame, features: list[str], limit: float = 0.8) -> DataFrame:

@@ -67,9 +67,19 @@ def normalised_importance(summary: DataFrame, methods: list[str], top: int = 15)
     return long.withColumn("normalised", F.when(peak > 0, F.col("importance") / peak))
 
 
-def fit_pca(df: DataFrame, features: list[str], k: int | None = None):
-    """Principal components of standardised features: the fitted model and the table with its input vector."""
-    ready = standardise(df.dropna(subset=features), features)
+def finite(df: DataFrame, features: list[str], missing: str = "mean") -> DataFrame:
+    """Every row, with missing and non-finite features replaced by the mean of the others (``mean``) or by 0 (``zero``)."""
+    known = {f: F.when(~F.isnan(f) & (F.abs(f) != F.lit(float("inf"))), F.col(f).cast("double")) for f in features}
+    if missing == "zero":
+        return df.withColumns({f: F.coalesce(v, F.lit(0.0)) for f, v in known.items()})
+    means = df.agg(*[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"_mean_{f}") for f, v in known.items()])
+    filled = scalar_join(df, means).withColumns({f: F.coalesce(v, F.col(f"_mean_{f}")) for f, v in known.items()})
+    return filled.select(*df.columns)
+
+
+def fit_pca(df: DataFrame, features: list[str], k: int | None = None, missing: str = "mean"):
+    """Principal components of standardised features: the fitted model and the table, with all its rows and the input vector."""
+    ready = standardise(finite(df, features, missing), features)
     vectors = VectorAssembler(inputCols=features, outputCol="_vector").transform(ready)
     return PCA(k=k or len(features), inputCol="_vector", outputCol="_pc").fit(vectors), vectors
 
@@ -91,7 +101,7 @@ def pca_component_count(variance: DataFrame, share: float = 0.95, at_least: int
 def pca_loadings(df: DataFrame, features: list[str]) -> DataFrame:
     """``feature, component, loading``; the sign of a component is arbitrary."""
     model = fit_pca(df, features)[0]
-    n = df.dropna(subset=features).count()
+    n = df.count()
     variance = model.explainedVariance.toArray() * len(features) * n / max(n - 1, 1)
     loadings = model.pc.toArray() * np.sqrt(variance)
     rows = [(f, j + 1, float(loadings[i, j])) for i, f in enumerate(features) for j in range(loadings.shape[1])]

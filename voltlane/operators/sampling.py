@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions.columns import column_intersection
@@ -89,13 +89,18 @@ def balance_training(
     return rows.where((F.col(label) == 1) | untouched | (F.col("_pos") < keep)).select(*df.columns)
 
 
+def _first_of_class(df: DataFrame, key: list[str], label: str, value: int, n: int, seed: int) -> DataFrame:
+    """The first ``n`` rows of a class in hash order: a top-k, not a sort of the table."""
+    return random_sample(df.where(F.col(label) == value), key, n, seed)
+
+
 def balanced_sample(
     df: DataFrame, key: list[str], size: int, ratio: float = 0.5, label: str = LABEL, seed: int = 42
 ) -> DataFrame:
-    """``int(size r)`` anomalies and the rest normals, each capped at what the class has."""
+    """``int(size r)`` anomalies and the rest normals, each capped at what the class has; rows of no class are left out."""
     anomalies = int(size * ratio)
-    quota = F.when(F.col(label) == 1, anomalies).otherwise(size - anomalies)
-    return class_positions(df, key, label, seed).where(F.col("_pos") < quota).select(*df.columns)
+    taken = _first_of_class(df, key, label, 1, anomalies, seed)
+    return taken.unionByName(_first_of_class(df, key, label, 0, size - anomalies, seed))
 
 
 def minority_equal_sample(df: DataFrame, key: list[str], label: str = LABEL, seed: int = 42) -> DataFrame:
@@ -119,13 +124,13 @@ def balanced_oversample(
     if strategy != "balanced":
         return random_sample(df, key, size, seed).withColumn("copy", F.lit(0).cast("long"))
     half = size // 2
-    rows = class_positions(df, key, label, seed)
+    anomalies = _first_of_class(df, key, label, 1, half, seed).withColumn("_hash", hash_key(*key, seed=seed))
+    placed = anomalies.withColumn("_pos", F.row_number().over(Window.orderBy("_hash", *key)) - 1)  # at most ``half`` rows
+    placed = placed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy()))
     # position p is taken for p, p + n, p + 2n, … below half
     copies = F.floor((F.lit(half - 1) - F.col("_pos")) / F.col("_size")).cast("long")
-    last = F.when(F.col(label) == 1, copies).otherwise(F.lit(0).cast("long"))
-    taken = rows.where(F.col("_pos") < half)
-    zero = F.lit(0).cast("long")
-    return taken.withColumn("copy", F.explode(F.sequence(zero, last))).select(*df.columns, "copy")
+    repeated = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies))).select(*df.columns, "copy")
+    return repeated.unionByName(_first_of_class(df, key, label, 0, half, seed).withColumn("copy", F.lit(0).cast("long")))
 
 
 def union_all(first: DataFrame, *rest: DataFrame) -> DataFrame:

@@ -28,6 +28,10 @@ def _array_features(rate: float, standardised: bool):
         rows = []
         for array in arrays:
             x = np.asarray(array, dtype=float)
+            x = x[~np.isnan(x)]  # null samples are left out, here as where windows are spread
+            if not len(x):
+                rows.append((None,) * len(_FEATURES))
+                continue
             peak = total = 0.0
             if len(x) >= 8:
                 density = welch(x, min(len(x) // 2, 256), rate)[1]
@@ -59,11 +63,14 @@ def _spread_ks(rows: DataFrame, keys: list[str], c: str, standardised: bool) ->
     """The distance to N(0, 1) of windows that no task can hold: ranks from chunks."""
     x = rows.where(F.col(c).isNotNull()).select(*keys, F.col(c).alias("_x"))
     sizes = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_d"))
-    ranked = null_safe_join(plain(with_index(chunked(x, keys, ["_x"]), keys, "_i")), settled(sizes), keys, "inner")
+    # equal values are counted before they are put in order: of a run of equal ranks only the ends matter
+    counted = x.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    run = plain(with_running(chunked(counted, keys, ["_x"]), keys, {"_upto": ("sum", "_c")}))
+    ranked = null_safe_join(run, settled(sizes), keys, "inner")
     scaled = F.when(F.lit(standardised) & (F.col("_d") > 0), (F.col("_x") - F.col("_m")) / F.col("_d")).otherwise(F.col("_x"))
     cdf = ranked.withColumn("_f", _normal_cdf(scaled))
     n, f = F.col("_n"), F.col("_f")
-    return cdf.groupBy(*keys).agg(F.max(F.greatest((F.col("_i") + 1) / n - f, f - F.col("_i") / n)).alias(_FEATURES[0]))
+    return cdf.groupBy(*keys).agg(F.max(F.greatest(F.col("_upto") / n - f, f - (F.col("_upto") - F.col("_c")) / n)).alias(_FEATURES[0]))
 
 
 def _spread_magnitudes(rows: DataFrame, keys: list[str], order: list[str], c: str, rate: float) -> DataFrame:
@@ -74,7 +81,7 @@ def _spread_magnitudes(rows: DataFrame, keys: list[str], order: list[str], c: st
     top = F.floor((F.col("_len") - 1) / 2) * unit
     f, m = F.col("_f"), F.col("_m")
     bins = positive.select(*keys, (F.col("k") * unit).alias("_f"), F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("_m"), top.alias("_top"))
-    low, high = F.sum(F.when(f <= F.col("_top") / 3, m)), F.coalesce(F.sum(F.when(f > 2 * F.col("_top") / 3, m)), F.lit(0.0))
+    low, high = (F.coalesce(F.sum(F.when(c, m)), F.lit(0.0)) for c in (f <= F.col("_top") / 3, f > 2 * F.col("_top") / 3))
     return bins.groupBy(*keys).agg(
         F.max_by("_f", F.struct("_m", -f)).alias(_FEATURES[1]), F.max("_m").alias(_FEATURES[2]),
         (F.exp(F.avg(F.log(m + 1e-10))) / (F.avg(m) + 1e-10)).alias(_FEATURES[3]), (low / (high + 1e-10)).alias(_FEATURES[4]),
@@ -106,7 +113,11 @@ def _spread_welch(rows: DataFrame, keys: list[str], order: list[str], c: str, ra
 
 
 def _spread_features(rows: DataFrame, spec: SlidingWindows, channels: list[str], names: list[str], rate: float, standardised: bool) -> DataFrame:
-    keys, order, out = spec.keys, [spec.ts, *spec.tie], None
+    """The features of windows that no task can hold, in the terms of ``_array_features``: nulls left out, zeros for few samples."""
+    keys, order = spec.keys, [spec.ts, *spec.tie]
+    rows = rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in channels})
+    out = settled(rows.groupBy(*keys).agg(*[F.count(c).alias(f"_n_{c}") for c in channels]))
+    least = dict.fromkeys(_FEATURES[1:5], 4) | dict.fromkeys(_FEATURES[5:], 8)
     for c in channels:
         pieces = []
         if _FEATURES[0] in names:
@@ -115,10 +126,14 @@ def _spread_features(rows: DataFrame, spec: SlidingWindows, channels: list[str],
             pieces.append(_spread_magnitudes(rows, keys, order, c, rate))
         if _FEATURES[5] in names:
             pieces.append(_spread_welch(rows, keys, order, c, rate))
+        n = F.col(f"_n_{c}")
         for piece in pieces:
-            named = piece.select(*keys, *[F.col(n).alias(f"{c}_{n}") for n in names if n in piece.columns])
-            out = named if out is None else null_safe_join(out, named, keys, "inner")
-    return out
+            named = piece.select(*keys, *[F.col(n).alias(f"_f_{n}") for n in names if n in piece.columns])
+            out = null_safe_join(out, named, keys, "left")
+            for f in [f for f in names if f in piece.columns]:
+                value = F.when((n > 0) & (n < least.get(f, 0)), 0.0).otherwise(F.col(f"_f_{f}"))
+                out = out.withColumn(f"{c}_{f}", value).drop(f"_f_{f}")
+    return out.drop(*[f"_n_{c}" for c in channels])
 
 
 def _sampled_features(df: DataFrame, spec: SlidingWindows, channels: list[str], names: list[str], rate: float = 1.0, standardised: bool = False) -> DataFrame:

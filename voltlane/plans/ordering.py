@@ -3,7 +3,7 @@
 ``chunked`` range-partitions a table by *all* its ordering columns, so Spark samples balanced bounds no matter
 how the partition key or the time column is skewed, sorts each range, and writes the result once. A chunk is one
 such range. Every sequence operation is then a window inside ``(part, chunk)`` plus a carry table with one row per
-``(part, chunk)``, i.e. at most ``shuffle partitions + distinct parts`` rows.
+``(part, chunk)``, i.e. at most ``chunks + distinct parts`` rows. The number of chunks follows the input's size.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from voltlane.session import materialise
 
 CHUNK, SLOT = "_chunk", "_slot"
+CHUNK_BYTES = 128 << 20
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -37,13 +38,26 @@ def settled(df: DataFrame) -> DataFrame:
     return materialise(df, "side")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables below a plan, as far as the planner knows them; joins and filters are not guessed at."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)  # more means that a leaf has no size
+
+
+def chunk_count(df: DataFrame) -> int:
+    """Chunks of about ``CHUNK_BYTES`` of input, at least as many as there are shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-input_bytes(df) // CHUNK_BYTES))
+
+
 def chunked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Cut ``df`` into balanced contiguous chunks of its ``(part, order)`` sequence.
 
     ``order`` should end in tie-breakers that make rows distinct; equal rows share a chunk.
     """
     keys = [*part, *order]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(chunk_count(df), *keys).sortWithinPartitions(*keys)
     slotted = ranged.withColumn(SLOT, F.monotonically_increasing_id())
     return materialise(slotted.withColumn(CHUNK, F.shiftright(SLOT, 33).cast("int")), "chunks")
 

@@ -14,6 +14,8 @@ _OVERLAPS = f"""WITH {fx.INTERVALS}, ordered AS (
 
 STATION_MAP = {"S0": "S0", "S1": "S2"}
 
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
 
 @query("merge_intervals", f"WITH {fx.MERGED} SELECT * FROM merged")
 def merge_intervals(spark, d):
@@ -122,16 +124,13 @@ def normal_points_buffered(spark, d):
 @query(
     "align_scores",
     """WITH scores AS (SELECT event_type AS method, 'u' || user_id AS feature, round(max(value), 6) AS score
-      FROM events WHERE value > 100 GROUP BY 1, 2)
-    SELECT feature, max(score) FILTER (WHERE method = 'click') AS click,
-      max(score) FILTER (WHERE method = 'view') AS "view", max(score) FILTER (WHERE method = 'signup') AS signup
-    FROM scores GROUP BY feature""",
+      FROM events GROUP BY 1, 2)
+    SELECT feature, """ + ", ".join(f"max(score) FILTER (WHERE method = '{m}') AS \"{m}\"" for m in _EVENT_TYPES) + " FROM scores GROUP BY feature",
 )
 def align_scores(spark, d):
     scores = (
         fx.events(spark, d)
-        .where("value > 100")
         .groupBy(F.col("event_type").alias("method"), F.concat(F.lit("u"), "user_id").alias("feature"))
         .agg(F.round(F.max("value"), 6).alias("score"))
     )
-    return op.align_scores(scores, ["click", "view", "signup"])
+    return op.align_scores(scores, _EVENT_TYPES)

@@ -1,5 +1,9 @@
-"""Queries of the model operators. Fits have no SQL; their invariants are tested."""
+"""Queries of the model operators. Fits have no SQL of their own; it states the rows and what holds for any fit."""
 
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlane.operators import models as op
@@ -8,8 +12,12 @@ from voltlane.queries import fixtures as fx
 from voltlane.queries.registry import query
 from voltlane.session import materialise, shared_path
 
-FOREST = {"numTrees": 10, "maxDepth": 5}
-BOOST = {"maxIter": 8, "maxDepth": 3}
+FOREST = {"numTrees": 100, "maxDepth": 10}
+BOOST = {"maxIter": 50, "maxDepth": 6}
+
+_SPLIT = f"""WITH {fx.FEATURE_ROWS}, placed AS (SELECT *, row_number() OVER (ORDER BY {fx.SORT_SQL}) - 1 AS idx, count(*) OVER () AS n
+    FROM feature_rows), test AS (SELECT CAST(idx AS BIGINT) AS idx, label FROM placed WHERE idx >= floor(n * 0.85::DOUBLE))"""
+_FEATURES = " UNION ALL ".join(f"SELECT '{f}' AS feature" for f in fx.FEATURES)
 
 
 def _split(spark, d):
@@ -28,62 +36,77 @@ def _booster(rows):
     return op.fit_boosted_trees(_part(rows, "train"), fx.FEATURES, _part(rows, "val"), positive_weight=2.0, **BOOST)
 
 
-@query("fit_random_forest")
+def _checked(scored):
+    """Row, label, and whether the score is a probability: what holds for any fit."""
+    return scored.select("idx", "label", F.col("score").between(0, 1).alias("valid"))
+
+
+@query("fit_random_forest", _SPLIT + " SELECT idx, label, TRUE AS valid FROM test")
 def fit_random_forest(spark, d):
     rows = _split(spark, d)
-    scored = op.predict(_forest(rows), _part(rows, "test"), fx.FEATURES)
-    return scored.select("idx", "label", F.round("score", 6).alias("score"))
+    return _checked(op.predict(_forest(rows), _part(rows, "test"), fx.FEATURES))
 
 
-@query("fit_boosted_trees")
+@query("fit_boosted_trees", _SPLIT + " SELECT idx, label, TRUE AS valid FROM test")
 def fit_boosted_trees(spark, d):
     rows = _split(spark, d)
-    scored = op.predict(_booster(rows), _part(rows, "test"), fx.FEATURES)
-    return scored.select("idx", "label", F.round("score", 6).alias("score"))
+    return _checked(op.predict(_booster(rows), _part(rows, "test"), fx.FEATURES))
+
+
+def _shares(importance):
+    """Feature names, and whether the importances are shares that add up to 1."""
+    total = F.sum("importance").over(Window.partitionBy())  # one row per feature
+    return importance.select("feature", F.col("importance").between(0, 1).alias("valid"), (F.abs(total - 1) < 1e-6).alias("complete"))
 
 
-@query("forest_importance")
+@query("forest_importance", f"SELECT feature, TRUE AS valid, TRUE AS complete FROM ({_FEATURES})")
 def forest_importance(spark, d):
-    return op.forest_importance(_forest(_split(spark, d)), fx.FEATURES, spark)
+    return _shares(op.forest_importance(_forest(_split(spark, d)), fx.FEATURES, spark))
 
 
-@query("booster_importance")
+@query("booster_importance", f"SELECT feature, TRUE AS valid, TRUE AS complete FROM ({_FEATURES})")
 def booster_importance(spark, d):
-    return op.booster_importance(_booster(_split(spark, d)), fx.FEATURES, spark)
+    return _shares(op.booster_importance(_booster(_split(spark, d)), fx.FEATURES, spark))
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"SELECT feature, TRUE AS valid FROM ({_FEATURES})")
 def permutation_importance(spark, d):
     rows = _split(spark, d)
-    test = _part(rows, "test")
-    return op.permutation_importance(_forest(rows), test, fx.FEATURES, ["idx"], repeats=3)
+    found = op.permutation_importance(_forest(rows), _part(rows, "test"), fx.FEATURES, ["idx"])
+    return found.select("feature", (F.col("importance").between(-1, 1) & (F.col("std") >= 0)).alias("valid"))
 
 
-@query("search_parameters")
+@query("search_parameters", "SELECT CAST(trial AS INTEGER) AS trial, TRUE AS valid FROM range(2) t(trial)")
 def search_parameters(spark, d):
     rows = _split(spark, d)
-    space = {"numTrees": ("int", 5, 15), "maxDepth": ("int", 3, 6), "featureSubsetStrategy": ("choice", ["sqrt", "all"])}
-    return op.search_parameters(_part(rows, "train"), _part(rows, "val"), fx.FEATURES, ["idx"], space, 2)[0]
+    space = {"numTrees": ("int", 50, 150), "maxDepth": ("int", 3, 10), "featureSubsetStrategy": ("choice", ["sqrt", "all"])}
+    trials = op.search_parameters(_part(rows, "train"), _part(rows, "val"), fx.FEATURES, ["idx"], space, 2)[0]
+    shares = [F.col(c).between(0, 1) for c in ("value", "threshold", "f1", "adj_f1", "average_precision", "auroc")]
+    return trials.select("trial", (reduce(and_, shares) & (F.col("adj_f1") >= F.col("f1") - 1e-9)).alias("valid"))
 
 
-@query("evaluate_saved_model")
+@query("evaluate_saved_model", "SELECT TRUE AS valid")
 def evaluate_saved_model(spark, d):
     rows = _split(spark, d)
     path = op.save_model(_forest(rows), shared_path(spark, "model"), fx.FEATURES, 0.5, FOREST, spark)
-    return op.evaluate_saved_model(path, fx.features(spark, d), fx.SORT)
+    found = op.evaluate_saved_model(path, fx.features(spark, d), fx.SORT)
+    return found.select((F.col("auroc").between(0, 1) & F.col("f1").between(0, 1) & (F.col("adj_f1") >= F.col("f1") - 1e-9)).alias("valid"))
 
 
-@query("save_load_model")
+@query("save_load_model", _SPLIT + " SELECT idx, TRUE AS equal, 0.4::DOUBLE AS threshold FROM test")
 def save_load_model(spark, d):
     rows = _split(spark, d)
-    path = op.save_model(_booster(rows), shared_path(spark, "model"), fx.FEATURES, 0.4, BOOST, spark)
+    fitted, test = _booster(rows), _part(rows, "test")
+    path = op.save_model(fitted, shared_path(spark, "model"), fx.FEATURES, 0.4, BOOST, spark)
     model, meta = op.load_model(path, spark)
-    scored = op.predict(model, _part(rows, "test"), meta["features"])
-    return scored.select("idx", F.round("score", 6).alias("score"), F.lit(meta["threshold"]).alias("threshold"))
+    both = op.predict(fitted, op.predict(model, test, meta["features"]), fx.FEATURES, "before")
+    return both.select("idx", (F.col("score") == F.col("before")).alias("equal"), F.lit(float(meta["threshold"])).alias("threshold"))
 
 
-@query("save_predictions")
+@query("save_predictions", _SPLIT + " SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS idx, label AS true_label, TRUE AS valid FROM test")
 def save_predictions(spark, d):
     rows = _split(spark, d)
     scored = op.predict(_forest(rows), _part(rows, "test"), fx.FEATURES)
-    return op.save_predictions(scored, 0.5, ["idx"], shared_path(spark, "predictions"))
+    saved = op.save_predictions(scored, 0.5, ["idx"], shared_path(spark, "predictions"))
+    p = F.col("predicted_probability")
+    return saved.select("idx", "true_label", (p.between(0, 1) & (F.col("predicted_label") == (p >= 0.5).cast("int"))).alias("valid"))

@@ -1,8 +1,10 @@
 """Queries of feature ranking, principal components, attributions and class separation."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlane.operators import ranking as op
+from voltlane.plans.joins import scalar_join
 from voltlane.queries import fixtures as fx
 from voltlane.queries.registry import query, rounded
 
@@ -73,24 +75,59 @@ def normalised_importance(spark, d):
     return op.normalised_importance(_summary(spark, d), _METHODS).withColumn("normalised", F.round("normalised", 6))
 
 
-@query("standardised_pca_variance")
+# the sum of squared shares of the components is that of the squared correlations over the squared number of features
+_SQUARES = " + ".join(f"corr({a}, {b}) ** 2" for a in fx.FEATURES for b in fx.FEATURES)
+_COMPONENTS = f"SELECT unnest(range(1, {len(fx.FEATURES) + 1}))::INTEGER AS component"
+
+
+@query(
+    "standardised_pca_variance",
+    f"""WITH {fx.FEATURE_ROWS} SELECT component, 1.0::DOUBLE AS total, TRUE AS ordered,
+    (SELECT round(({_SQUARES}) / {len(fx.FEATURES) ** 2}, 6) FROM feature_rows) AS squares FROM ({_COMPONENTS})""",
+)
 def standardised_pca_variance(spark, d):
-    return rounded(op.standardised_pca_variance(fx.features(spark, d), fx.FEATURES))
+    found = op.standardised_pca_variance(fx.features(spark, d), fx.FEATURES)
+    every = Window.partitionBy()  # one row per component
+    ordered = F.col("ratio") <= F.coalesce(F.lag("ratio").over(Window.orderBy("component")), F.lit(1.0))
+    return rounded(
+        found.select("component", F.max("cumulative").over(every).alias("total"), ordered.alias("ordered"), F.sum(F.col("ratio") ** 2).over(every).alias("squares"))
+    )
 
 
-@query("pca_component_count")
+@query("pca_component_count", f"SELECT {len(fx.FEATURES)}::INTEGER AS components")
 def pca_component_count(spark, d):
-    return op.pca_component_count(op.standardised_pca_variance(fx.features(spark, d), fx.FEATURES), at_least=2)
+    """Of all variance, which takes every component of features that do not determine each other."""
+    return op.pca_component_count(op.standardised_pca_variance(fx.features(spark, d), fx.FEATURES), share=1.0, at_least=2)
 
 
-@query("pca_loadings")
+# loadings are correlations of features and components: times their transpose they give the correlation matrix
+@query(
+    "pca_loadings",
+    f"WITH {fx.FEATURE_ROWS} "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0.0 AS product FROM feature_rows" for a in fx.FEATURES for b in fx.FEATURES if a <= b
+    ),
+)
 def pca_loadings(spark, d):
-    return rounded(op.pca_importance(op.pca_loadings(fx.features(spark, d), fx.FEATURES)))
+    loadings = op.pca_loadings(fx.features(spark, d), fx.FEATURES)
+    n = fx.features(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    left, right = (loadings.select(F.col("feature").alias(x), "component", F.col("loading").alias(f"l{x}")) for x in "ab")
+    products = left.join(right, "component").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("la") * F.col("lb")).alias("p"))
+    # the features are scaled by the deviation of the rows, the variances are those of a sample
+    return scalar_join(products, n).select("a", "b", (F.round(F.col("p") * (F.col("n") - 1) / F.col("n"), 4) + 0.0).alias("product"))
 
 
-@query("pca_scores")
+@query(
+    "pca_scores",
+    f"WITH {fx.FEATURE_ROWS} SELECT count(*) AS rows, 0.0::DOUBLE AS mean_1, 0.0::DOUBLE AS mean_2, 0.0::DOUBLE AS covariance, TRUE AS ordered FROM feature_rows",
+)
 def pca_scores(spark, d):
-    return rounded(op.pca_scores(fx.features(spark, d), fx.FEATURES, 2, [*fx.ROW_KEY, "ts", "label"]))
+    scores = op.pca_scores(fx.features(spark, d), fx.FEATURES, 2, [*fx.ROW_KEY, "ts", "label"])
+    zero = lambda c: F.abs(F.round(c, 6))
+    return scores.agg(
+        F.count(F.lit(1)).alias("rows"), zero(F.avg("PC1")).alias("mean_1"), zero(F.avg("PC2")).alias("mean_2"),
+        zero(F.covar_pop("PC1", "PC2")).alias("covariance"), (F.var_pop("PC1") >= F.var_pop("PC2")).alias("ordered"),
+    )
 
 
 WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": -0.00001, "l_discount": 3.5, "l_tax": -2.0}
