@@ -12,6 +12,8 @@ from voltlane.functions.columns import title_case
 from voltlane.functions import signals
 from voltlane.operators import cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
 from voltlane.plans.joins import interval_join
+from voltlane.sources import readers
+from voltlane.streaming import operators as streaming
 
 T0 = datetime(2024, 1, 1)
 
@@ -273,6 +275,33 @@ def test_labels_ignore_broken_intervals_on_both_paths(spark):
         assert sorted((r.station, r.id) for r in rows if r.anomaly_label) == [("a", i) for i in range(4)] and len(rows) == 30
 
 
+def test_files_are_chosen_by_their_schema(spark, tmp_path):
+    root = str(tmp_path / "tree")
+    frame(spark, [(1, None), (2, None)], "id int, kw double").write.parquet(f"{root}/nulls")
+    frame(spark, [(3, 1.0)], "id int, kw double").write.parquet(f"{root}/a/b")
+    frame(spark, [(4, "x")], "id int, other string").write.parquet(f"{root}/lacks")
+    assert sorted(r.id for r in readers.scan_parquet_tree(spark, root, "kw").collect()) == [1, 2, 3]
+    assert readers.scan_parquet_tree(spark, root, "absent").count() == 0
+
+
+def test_streams_are_labelled_beyond_the_broadcast_limit(spark, tmp_path):
+    points = frame(spark, [("a", T0 + timedelta(minutes=i), i) for i in range(10)], "station string, ts timestamp, id int")
+    points.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(points.schema).parquet(str(tmp_path / "in"))
+    labelled = intervals.label_points_by_interval(stream, spans(spark, [("a", 2, 4), ("a", 3, 6)]), max_broadcast_rows=0)
+    out = streaming.run_available(labelled, str(tmp_path / "out"))
+    assert sorted(r.id for r in out.where("anomaly_label = 1").collect()) == [2, 3, 4, 5, 6] and out.count() == 10
+
+
+def test_balanced_samples_take_the_first_of_each_class(spark):
+    df = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, 1).when(F.col("id") % 10 < 9, 0).alias("label"))
+    taken = sampling.balanced_sample(df, ["id"], 30, 0.2).groupBy("label").count().collect()
+    assert {r.label: r["count"] for r in taken} == {1: 6, 0: 24}
+    repeated = sampling.balanced_oversample(df, ["id"], 50)
+    assert repeated.where("label = 1").count() == 25 and repeated.where("label = 1").select("id").distinct().count() == 10
+    assert repeated.where("label = 1").select("id", "copy").distinct().count() == 25 and repeated.where("label = 0").count() == 25
+
+
 def test_wide_correlations(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 372))

@@ -117,20 +117,28 @@ def latest_snapshot(spark, d):
     return rd.latest_snapshot(_daily(spark, d)).select("event_id", "station", "value")
 
 
+_MONTHS = ", ".join(f"'{m}'" for m in rd.MONTH_NAMES)
+
+
 @query(
     "month_partition_lookup",
-    """WITH events_in AS (SELECT min(l_shipdate) AS start_ts FROM lineitem GROUP BY l_suppkey)
-    SELECT e.start_ts, CAST(year(start_ts) AS INTEGER) AS year, CAST(month(start_ts) AS INTEGER) AS month,
-      ['Januar','Februar','März','April','Mai','Juni','Juli','August','September','Oktober','November','Dezember'][month(start_ts)]
-      || '_' || year(start_ts) AS file, o_orderkey
-    FROM events_in e JOIN orders o ON year(o_orderdate) = year(e.start_ts) AND month(o_orderdate) = month(e.start_ts)""",
+    f"""WITH events_in AS (SELECT l_suppkey AS station, min(l_shipdate) AS start_ts FROM lineitem
+      GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate))
+    SELECT e.station, e.start_ts, CAST(year(start_ts) AS INTEGER) AS year, CAST(month(start_ts) AS INTEGER) AS month,
+      [{_MONTHS}][month(start_ts)] || '_' || year(start_ts) AS file, o_orderkey
+    FROM events_in e JOIN orders o ON o_custkey = e.station AND year(o_orderdate) = year(e.start_ts) AND month(o_orderdate) = month(e.start_ts)
+      AND o_orderdate BETWEEN e.start_ts AND e.start_ts + INTERVAL 20 DAY""",
 )
 def month_partition_lookup(spark, d):
-    orders = fx.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
+    """Preview of events: the readings of the event's station and range from the month file of its start."""
+    orders = fx.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("station"), "o_orderkey", F.col("o_orderdate").alias("ts"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")
+    )
     monthly = rd.scan_parquet(spark, wr.sink_parquet(orders, shared_path(spark, "months"), ("year", "month")))
-    rows = fx.table(spark, d, "lineitem").groupBy("l_suppkey")
-    starts = rows.agg(F.min("l_shipdate").alias("start_ts")).drop("l_suppkey")
-    return rd.month_partition_lookup(starts, monthly).select("start_ts", "year", "month", "file", "o_orderkey")
+    rows = fx.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station"), F.year("l_shipdate"), F.month("l_shipdate"))
+    starts = rows.agg(F.min("l_shipdate").alias("start_ts")).select("station", "start_ts", (F.col("start_ts") + F.expr("INTERVAL 20 DAYS")).alias("end_ts"))
+    found = rd.month_partition_lookup(starts, monthly, on=("station",), end="end_ts")
+    return found.select("station", "start_ts", "year", "month", "file", "o_orderkey")
 
 
 _REPORT = """WITH report AS (SELECT 'part_' || l_partkey AS feature, count(*) AS n FROM lineitem GROUP BY l_partkey)"""

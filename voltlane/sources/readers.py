@@ -63,14 +63,15 @@ def scan_parquet_footer_intersect(
 def scan_parquet_tree(spark: SparkSession, root: str, column: str | None = None) -> DataFrame:
     """All parquet files below ``root`` with a merged schema.
 
-    With ``column``, only files that hold a value in it: files without the column add nothing.
+    With ``column``, only files whose schema has it: footers are looked at, no rows, and the other files are not read.
     """
-    df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(root)
+    reader = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true")
+    df = reader.parquet(root)
     if column is None:
         return df
-    marked = df.select("*", F.col("_metadata.file_path").alias("_file"))
-    usable = settled(marked.where(F.col(column).isNotNull()).select("_file").distinct())  # one row per file
-    return marked.join(usable, "_file", "left_semi").drop("_file")
+    # one footer per file; the listing is the planner's own
+    chosen = [f for f in df.inputFiles() if column in spark.read.parquet(f).columns]
+    return spark.read.option("mergeSchema", "true").parquet(*chosen) if chosen else df.where("false")
 
 
 def scan_parquet_file_or_dir(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
@@ -102,15 +103,18 @@ def month_name(month: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), month)
 
 
-def month_partition_lookup(events: DataFrame, monthly: DataFrame, start: str = "start_ts", on: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of the month file of each event's start.
+def month_partition_lookup(
+    events: DataFrame, monthly: DataFrame, start: str = "start_ts", on: tuple[str, ...] = (), end: str | None = None, ts: str = "ts"
+) -> DataFrame:
+    """Rows of the month file of each event's start; with ``end`` those between start and end only, as a preview shows them.
 
     ``monthly`` is partitioned by ``year, month`` (and ``on``, e.g. the station), so the event side prunes the
     folders that are read. The file name follows the month, e.g. ``Januar_2024``.
     """
     keyed = events.withColumns({"year": F.year(start), "month": F.month(start)})
     named = keyed.withColumn("file", F.concat_ws("_", month_name(F.col("month")), F.col("year")))
-    return named.join(monthly, [*on, "year", "month"])
+    joined = named.join(monthly, [*on, "year", "month"])
+    return joined if end is None else joined.where(F.col(ts).between(F.col(start), F.col(end)))
 
 
 def scan_feature_list(spark: SparkSession, path: str) -> DataFrame:
