@@ -218,6 +218,25 @@ class Group:
         return np.cumsum(edge)[:-1] > 0
 
 
+    def occurrences(self, answers: dict[int, bytes]) -> pa.Table:
+        """``repeat, length, doc_id, start`` of every occurrence in this group, from the shards' answers."""
+        out = []
+        order = np.argsort(self.which, kind="stable")
+        sorted_which = self.which[order]
+        for shard, part in self.by_shard(self.keys[self.first]):
+            rows = np.frombuffer(answers[shard], np.int64).reshape(-1, 4)
+            cls = part[rows[:, 1]]
+            low = np.searchsorted(sorted_which, cls)
+            n = np.searchsorted(sorted_which, cls, side="right") - low
+            pick = np.repeat(np.arange(len(rows)), n)
+            run = order[np.repeat(low, n) + np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)]
+            at = self.starts[run] + rows[pick, 2]
+            out.append(np.stack([rows[pick, 0], rows[pick, 3], self.doc_ids[run], at - self.offsets[owner(at, self.offsets)]], 1))
+        found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        ids = pa.array(found[:, 2], mask=found[:, 2] == NO_ID)
+        return pa.table([found[:, 0], found[:, 1], ids, found[:, 3]], names=["repeat", "length", "doc_id", "start"])
+
+
 def mark_fingerprints(prints: np.ndarray, multiple: np.ndarray, hot: int) -> np.ndarray:
     """1 for fingerprints of two documents or groups at least, 2 for those of ``hot`` groups at least, else 0."""
     order = np.argsort(prints, kind="stable")
@@ -330,6 +349,34 @@ class Shard:
                     out.append((int(cls[i]), int(place[i]), int(place[i]) + tree[k][2]))
         return out
 
+    def groups(self, owners: np.ndarray, shard: int) -> Iterator[tuple[int, bytes]]:
+        """For each group of documents its stretches' repeats: number, place among its stretches, start, length.
+
+        A repeat is an interval that is not always extended by one byte to the left, with all its suffixes, or a class of
+        equal stretches.
+        """
+        n = np.diff(self.cut)[self.first]
+        found, number, alone = [], len(n), np.ones(len(n), bool)
+        for cls, place, before, tree in self.repeats():
+            for a, b, length, _ in tree:
+                part = cls[a : b + 1]
+                alone[part[(place[a : b + 1] == 0) & (n[part] == length)]] = False  # the interval has these as well
+                if before[a] < 0 or (before[a : b + 1] != before[a]).any():
+                    part = np.stack([np.full(b - a + 1, number), cls[a : b + 1], place[a : b + 1], np.full(b - a + 1, length)], 1)
+                    found.append(part)
+                    number += 1
+        own = np.flatnonzero(alone)
+        found.append(np.stack([own, own, np.zeros(len(own), np.int64), n[own]], 1))
+        rows = np.concatenate(found)
+        rows = rows[np.argsort(rows[:, 1], kind="stable")]
+        low = np.searchsorted(rows[:, 1], self.which)
+        n = np.searchsorted(rows[:, 1], self.which, side="right") - low
+        order = np.argsort(owners, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(owners[order])) + 1) if len(order) else []:
+            own = np.repeat(np.arange(len(part)), n[part])
+            pick = np.repeat(low[part], n[part]) + np.arange(len(own)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            yield int(owners[part[0]]), np.stack([rows[pick, 0] + (shard << 40), own, rows[pick, 2], rows[pick, 3]], 1).tobytes()
+
     def answers(self, owners: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
         """For each group whose stretches these are: which are covered in all its documents, and spans of the others."""
         spans = np.array(sorted(self.covered_heads()), np.int64).reshape(-1, 3)
@@ -354,7 +401,7 @@ SIDE = [("group", pa.int64()), ("shard", pa.int64()), ("kind", pa.int32()), ("a"
 SIDE_SCHEMA = "group long, shard long, kind int, a binary, b binary"
 
 
-def _shipments(docs: DataFrame, length: int, group_bytes: int | None, shard_bytes: int, hot: int) -> tuple[DataFrame, DataFrame, int]:
+def _shipments(docs: DataFrame, length: int, group_bytes: int | None, shard_bytes: int, hot: int, groups: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """The grouped documents, and what each group gets back: marks of its fingerprints and answers to its stretches."""
     size, seed = size_hint(docs), SEED_BYTES * length // LENGTH
     per_group = group_bytes or min(max(size // 1000, GROUP_BYTES[0]), GROUP_BYTES[1])
@@ -389,6 +436,8 @@ def _shipments(docs: DataFrame, length: int, group_bytes: int | None, shard_byte
         data = np.frombuffer(b"".join(expand(x) for x in table["text"].to_pylist()), np.uint8)
         owners = np.repeat(np.asarray(table["group"]), [len(x) for x in lengths])
         shard = Shard(data, np.concatenate(lengths), ids, length)
+        if groups:
+            return _emit([(g, key[0].as_py(), 1, a, b"") for g, a in shard.groups(owners, key[0].as_py())], SIDE)
         return _emit([(g, key[0].as_py(), 1, a, b) for g, a, b in shard.answers(owners, ids)], SIDE)
 
     marks = grouped.groupBy("group").applyInArrow(fingerprints, "shard long, group long, a binary, b binary")
@@ -397,9 +446,9 @@ def _shipments(docs: DataFrame, length: int, group_bytes: int | None, shard_byte
     return grouped, marks.unionByName(shipped.groupBy("shard").applyInArrow(answer, SIDE_SCHEMA)), n_shards
 
 
-def _with_cover(docs: DataFrame, schema: str, rows, *, length: int, group_bytes: int | None, shard_bytes: int, hot: int) -> DataFrame:
-    """Rows that ``rows(group, covered)`` makes of each group of documents."""
-    grouped, side, n_shards = _shipments(docs, length, group_bytes, shard_bytes, hot)
+def _with_answers(docs: DataFrame, schema: str, rows, *, length: int, group_bytes: int | None, shard_bytes: int, hot: int, groups: bool = False) -> DataFrame:
+    """Rows that ``rows(group, answers)`` makes of each group of documents."""
+    grouped, side, n_shards = _shipments(docs, length, group_bytes, shard_bytes, hot, groups)
     seed = SEED_BYTES * length // LENGTH
 
     def run(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
@@ -411,7 +460,7 @@ def _with_cover(docs: DataFrame, schema: str, rows, *, length: int, group_bytes:
             else:
                 marks[shard] = a
         group.select(marks)
-        return rows(group, group.covered(answers))
+        return rows(group, answers)
 
     return grouped.groupBy("group").cogroup(side.groupBy("group")).applyInArrow(run, schema)
 
@@ -424,8 +473,8 @@ def removal_digests(docs: DataFrame, *, length: int = LENGTH, group_bytes: int |
     ignored; an empty table gives no rows.
     """
 
-    def rows(group: Group, covered: np.ndarray) -> pa.Table:
-        offsets = group.offsets
+    def rows(group: Group, answers: dict[int, tuple[bytes, bytes]]) -> pa.Table:
+        covered, offsets = group.covered(answers), group.offsets
         begin = covered.copy()
         begin[1:] &= ~covered[:-1]
         inner = offsets[:-1][(offsets[:-1] > 0) & (offsets[:-1] < len(covered))]
@@ -436,13 +485,14 @@ def removal_digests(docs: DataFrame, *, length: int = LENGTH, group_bytes: int |
         return pa.table([ids, pa.array(np.diff(offsets)), pa.array(sums(covered, offsets)), pa.array(sums(begin, offsets)), pa.array(coded, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_cover(docs, schema, rows, length=length, group_bytes=group_bytes, shard_bytes=shard_bytes, hot=hot)
+    return _with_answers(docs, schema, rows, length=length, group_bytes=group_bytes, shard_bytes=shard_bytes, hot=hot)
 
 
 def repeated_spans(docs: DataFrame, *, length: int = LENGTH, group_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, hot: int = HOT_GROUPS) -> DataFrame:
     """The removed runs themselves: ``doc_id, start, end, passage`` in bytes, in the terms of ``removal_digests``."""
 
-    def rows(group: Group, covered: np.ndarray) -> pa.Table:
+    def rows(group: Group, answers: dict[int, tuple[bytes, bytes]]) -> pa.Table:
+        covered = group.covered(answers)
         edge = np.zeros(len(covered) + 1, bool)
         edge[group.offsets] = True
         first = np.flatnonzero(covered & (edge[:-1] | ~np.concatenate([[False], covered[:-1]])[: len(covered)]))
@@ -452,4 +502,19 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, group_bytes: int |
         text = [group.data[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
         return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(first - group.offsets[doc]), pa.array(last - group.offsets[doc]), pa.array(text, pa.binary())], names=["doc_id", "start", "end", "passage"])
 
-    return _with_cover(docs, "doc_id long, start long, end long, passage binary", rows, length=length, group_bytes=group_bytes, shard_bytes=shard_bytes, hot=hot)
+    return _with_answers(docs, "doc_id long, start long, end long, passage binary", rows, length=length, group_bytes=group_bytes, shard_bytes=shard_bytes, hot=hot)
+
+
+def maximal_repeats(docs: DataFrame, *, length: int = LENGTH, group_bytes: int | None = None, shard_bytes: int = SHARD_BYTES, hot: int = HOT_GROUPS) -> DataFrame:
+    """Repeat groups with all their occurrences: ``repeat, length, n_docs, doc_id, start`` in bytes.
+
+    Each group has at least two different documents, and its occurrences have the same ``length`` bytes. A passage
+    longer than a stretch (up to ``2 * length`` bytes) shows as overlapping groups with the same documents, which
+    ``repeated_spans`` unites; periodic text is cut into stretches by its place. Nulls, empty texts and repeated rows are as in ``removal_digests``.
+    """
+    rows = lambda group, answers: group.occurrences({s: a for s, (a, _) in answers.items()})
+    schema = "repeat long, length long, doc_id long, start long"
+    found = _with_answers(docs, schema, rows, length=length, group_bytes=group_bytes, shard_bytes=shard_bytes, hot=hot, groups=True)
+    # documents of a group are counted before occurrences meet their count
+    docs_of = found.select("repeat", "doc_id").distinct().groupBy("repeat").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return found.join(docs_of, "repeat").select("repeat", "length", "n_docs", "doc_id", "start")
