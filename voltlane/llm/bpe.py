@@ -15,12 +15,12 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.llm.common import binary_array, flat, pieces, worker_store
 from voltlane.llm.tokens import Merges, Ragged, WordCache, distinct_words, encode_piece, gather, merges, ship_vocabulary, split_words
-from voltlane.session import shared_path
+from voltlane.session import materialise, shared_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame, shipped) -> DataFrame:
     """``word, n`` for every word of the splitting pattern over all documents; each piece sends its distinct words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, limit=8 << 20):
+        for piece in pieces(batches):
             data, offsets = flat(piece.column(0))
             bounds, _ = split_words(data, offsets, shipped.value)
             if len(bounds) < 2:
@@ -153,9 +153,17 @@ def word_counts(docs: DataFrame, shipped) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, shipped, size: int = LEXICON_WORDS) -> str:
-    """Compile the ``size`` most frequent words into a file for all executors; its name. Ties go by the word's bytes."""
+    """Compile the most frequent words, ``size`` at most, into a file for all executors; its name.
+
+    The least count comes from the number of words of each count, so that no more than the lexicon reaches the driver;
+    words of one count are taken all or none. Words that occur once are never frequent.
+    """
     spark = docs.sparkSession
-    top = word_counts(docs, shipped).orderBy(F.col("n").desc(), "word").limit(size).select("word").collect()  # ``size`` words at most
+    counts = materialise(word_counts(docs, shipped).where("n > 1"), "words")
+    steps = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))  # one row per different count
+    upto = F.sum("words").over(Window.orderBy(F.col("n").desc()))
+    least = steps.withColumn("upto", upto).where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= least).select("word").collect() if least is not None else []  # ``size`` words at most
     specials = {s for s, _ in shipped.value.specials}
     words = sorted({bytes(r.word) for r in top} - specials)
     data = np.frombuffer(b"".join(words), np.uint8)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # kernels travel with the tasks that call them: executors need numpy and pyarrow but not this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 

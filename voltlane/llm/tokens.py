@@ -332,8 +332,8 @@ class Merges:
         for width in (2, 4, 6, 8, 10, 12, 16, 24, 32, wide):
             group = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            for at in range(0, len(group), 50_000):
-                g = group[at : at + 50_000]
+            for at in range(0, len(group), 10_000):
+                g = group[at : at + 10_000]
                 index = starts[g, None] + np.arange(width)
                 inside = np.arange(width) < lengths[g, None]
                 s = np.where(inside, self.byte_ids[data[np.where(inside, index, 0)]], -1).astype(np.int32)
