@@ -7,11 +7,11 @@ two documents agree on a coordinate with the probability of their weighted Jacca
 number of shingles plus the number of darts, whatever the weights.
 
 Equal shingle multisets become one class first. Classes that agree on a band are compared: all of them in small
-buckets, in large ones each with the bucket's least, which is linear. Large buckets that stay apart then compare
-all members with a few more of them, and what is with none of these is split by further bands and compared again. Each
-class is first compared with one other only, and pairs that are by then in one group are never compared. A pair
-passes on the exact similarity of its shingles. Groups are connected components, found by stars that shrink, so no group
-is gathered.
+buckets, in large ones each with the bucket's least, which is linear. Large buckets that stay apart are split by a second
+band, and there those that are not with the least meet all others by their sketches, in blocks; the most alike are
+compared. Each class is first compared with one other only, and pairs that are by then in one group are never
+compared. A pair passes on the exact similarity of its shingles. Groups are connected components, found by stars that
+shrink, so no group is gathered.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from voltlane.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET, HUBS = 5, 0.8, 20, 4, 16, 4
+SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET = 5, 0.8, 20, 4, 16
+#: rounds over large buckets, second bands that split them in one round, members that one part compares, and partners tried per member
+TURNS, SECOND, SPLIT, NEAREST = 1, 4, 20_000, 3
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,23 +176,17 @@ def likely(pairs: DataFrame, heads: DataFrame, similarity: float, coordinates: i
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Pairs ``a, b`` whose weighted Jaccard similarity, computed from their shingles, reaches the threshold.
-
-    Shingles are made anew, of the documents that occur in pairs only.
-    """
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(shingle_sets(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), size), "sets")
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` whose weighted Jaccard similarity, computed from their shingle sets, reaches the threshold."""
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"), F.col("counts").alias("cb"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                ea, eb = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (2, 4))
+                ea, eb = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in (2, 4))
                 ca, cb = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32).astype(np.int64) for c in (3, 5))
                 ca, cb = (np.ones(len(e), np.int64) if not len(c) else c for e, c in ((ea, ca), (eb, cb)))
                 _, ia, ib = np.intersect1d(ea, eb, assume_unique=True, return_indices=True)
@@ -202,43 +198,51 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
     return both.select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, elements, counts``: each document's distinct shingles in order and how often they occur (all once: empty)."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``node, elements, counts`` for the wanted nodes: their distinct shingles, hashed to 32 bits, in order, and how
+    often each occurs (empty: once). Of rows with one id but different texts the same one is always taken.
+
+    The one place where texts are moved: by sorting, however few are wanted, so the plan is the same at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            doc, element, weight = weighted(*shingles(*flat(piece.column(1)), size))
+            hashes, ends = shingles(*flat(piece.column(1)), size)
+            doc, element, weight = weighted(hashes >> np.uint64(32), ends)
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=piece.num_rows))]).tolist()
-            cells = [element[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+            cells = [element[a:b].astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
             counts = [weight[a:b].astype(np.uint32).tobytes() if (weight[a:b] > 1).any() else b"" for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["node", "elements", "counts"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, elements binary, counts binary")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL").join(wanted.hint("merge"), "node", "left_semi")
+    sets = chosen.mapInArrow(run, "node long, elements binary, counts binary")
+    return sets.groupBy("node").agg(F.min(F.struct("elements", "counts")).alias("s")).select("node", "s.*")
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether ``a < b`` links are stars: every ``b`` has one ``a``, which is no ``b`` itself."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))).alias("e"))
+    roles = ends.groupBy("e.node").agg(F.sum("e.leaf").alias("parents"), F.min("e.leaf").alias("role"))
+    return not roles.where("parents > 1 OR (parents = 1 AND role = 0)").take(1)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, component`` for the nodes of ``a, b`` edges; the component is its smallest node.
+    """``node, component`` for the nodes of ``a, b`` edges other than the components' smallest nodes, which name them.
 
-    Large-star and small-star steps in turn: every node is linked to the least node it knows of, until nothing changes.
+    Large-star and small-star steps in turn: every node is linked to the least node it knows of, until only stars are left.
     """
-    links = materialise(edges.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
+    links = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     for _ in range(rounds):
+        if _settled(links):
+            return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
         sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = sides.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        large = materialise(large, "links")
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = materialise(large, "links").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("b")).where("x <> b").select(F.col("x").alias("a"), "b").distinct()
-        links = materialise(small, "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    return links.select(F.col("b").alias("node"), F.col("a").alias("component"))
+        small = down.join(lowest, "a").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b")
+        links = materialise(small.select(F.col("m").alias("a"), "b").distinct(), "links")
+    raise RuntimeError("components did not settle")
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -249,68 +253,97 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _with(links: DataFrame, found: DataFrame) -> DataFrame:
-    """Components after more links; what was found stands for the links before."""
+    """Components after more links between nodes that were apart: the links join components as wholes."""
     links = materialise(links, "links")
     if not links.take(1):
         return found
-    return materialise(components(links.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
-
-
-def _settle_large(keys: DataFrame, members: DataFrame, found: DataFrame, check, small: int, hubs: int) -> DataFrame:
+    side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
+    whole = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(whole)  # of components, none of which is a node of ``found``
+    moved = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    return materialise(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined), "components")
+
+
+def _nearest_outsiders(least: int, best: int, block: int = 256):
+    """Pairs of a group's outsiders with the members of other components whose sketches agree most, a block at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, component = np.asarray(table["node"]), np.asarray(table["component"])
+        sketch = flat(table["sketch"])[0].reshape(len(node), -1)
+        outside = np.flatnonzero(np.asarray(table["outside"].combine_chunks().cast(pa.int8())))
+        a, b = [], []
+        for p in range(0, len(outside), block):
+            rows = outside[p : p + block]
+            agree = np.zeros((len(rows), len(node)), np.int16)
+            for c in range(sketch.shape[1]):
+                agree += sketch[rows, c, None] == sketch[None, :, c]
+            agree[component[rows, None] == component[None, :]] = -1
+            top = np.argsort(-agree, axis=1, kind="stable")[:, :best]
+            ok = np.take_along_axis(agree, top, 1) >= least
+            a.append(node[np.repeat(rows, ok.sum(1))])
+            b.append(node[top[ok]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
+
+    return run
+
+
+def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, check, *, similarity: float, bands: int, rows: int, turns: int) -> DataFrame:
     """Components after more comparisons in large buckets whose members are still apart.
 
-    Some further hubs, each the least member outside the components of the hubs before, meet the whole bucket. Members that
-    are then outside all of them meet those that share one, then two more bands.
+    Such a bucket is split by a second band, each of the ``SECOND`` next ones and further ones in the next turn, so that a link
+    of the similarity is together in many parts. In each part the members outside the component of the bucket's least meet, by sketches and in
+    blocks, all others, and the ones most alike are compared. Parts of more than ``SPLIT`` members are cut by a third band.
     """
-    members = members.withColumn("done", F.lit(False))
-    for turn in range(hubs):
-        named = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        hub = named.where("NOT done").groupBy("key").agg(F.min(F.struct("node", "component")).alias("hub"))
-        named = named.join(hub, "key").withColumn("own", F.col("component") == F.col("hub.component"))
-        # a bucket in which all are with the hub is settled
-        apart = named.groupBy("key").agg(F.min("own").alias("all")).where("NOT all").select("key")
-        named = materialise(named.join(apart, "key"), "members")
+    least = int(similarity * bands * rows - 6 * np.sqrt(similarity * (1 - similarity) * bands * rows))
+    hubs = large.select("key", "hub")
+    members = heads.select("node", "sketch", "bands", F.posexplode("bands").alias("band", "key")).join(hubs, "key")
+    members = materialise(members, "members")
+    for turn in range(turns):
+        side = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
+        named = members.join(side("node", "component"), "node", "left").join(side("hub", "with"), "hub", "left")
+        named = named.withColumns({"component": F.coalesce("component", "node"), "with": F.coalesce("with", "hub")})
+        named = named.withColumn("outside", F.col("component") != F.col("with"))
+        apart = named.where("outside").select("key").distinct()
+        named = materialise(named.join(apart, "key").select("node", "sketch", "bands", "band", "key", "component", "outside"), "apart")
         if not named.take(1):
-            return found
-        if turn:  # the first hubs have met their buckets already
-            pairs = named.where("NOT own").select(*_ordered(F.col("node"), F.col("hub.node"))).distinct()
-            found = _with(check(pairs), found)
-        members = named.select("key", "node", "weight", "band", (F.col("done") | F.col("own")).alias("done"))
-    left = members.where("NOT done").drop("done")
-    others = keys.select("node", F.col("key").alias("next"), F.col("band").alias("more"))
-    for _ in range(2):
-        finer = left.join(others, "node").where("more > band").select("node", "weight", F.col("more").alias("band"), F.xxhash64("key", "next").alias("key"))
-        finer = materialise(finer, "members")
-        pairs, large = bucket_pairs(finer, small)
-        found = _with(check(_apart(pairs, found)), found)
-        named = finer.join(materialise(large, "large"), "key").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        hub = found.select(F.col("node").alias("hub"), F.col("component").alias("with"))
-        left = materialise(named.join(hub, "hub", "left").where(F.col("component") != F.coalesce("with", "hub")).select("node", "weight", "band", "key"), "members")
-        if not left.take(1):
+            break
+        second = F.transform(F.sequence(F.lit(turn * SECOND + 1), F.lit(turn * SECOND + SECOND)), lambda j: F.xxhash64("key", F.get("bands", (F.col("band") + j) % bands)))
+        parts = materialise(named.select("node", "sketch", "bands", "component", "outside", F.explode(second).alias("part")), "parts")
+        sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("any")).where("n > 1 AND any"), "sizes")
+        third = F.when(F.col("n") > SPLIT, F.xxhash64("part", F.get("bands", F.pmod("part", F.lit(bands)).cast("int")))).otherwise(F.col("part"))
+        cut = parts.join(sizes, "part").select("node", "sketch", "component", "outside", third.alias("part"))
+        pairs = cut.groupBy("part").applyInArrow(_nearest_outsiders(least, NEAREST), "a long, b long").distinct()
+        before, found = found, _with(check(pairs), found)
+        if found is before:
             break
     return found
 
 
-def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int, turns: int) -> tuple[DataFrame, DataFrame]:
     """The classes ``digest, node`` and the ``node, component`` rows of nodes that have a partner."""
     usable = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     of_class = (usable["digest"] == classes["digest"]) & (usable["doc_id"] == classes["node"])
     heads = usable.join(classes, of_class).select("node", "weight", "sketch", "bands").dropDuplicates(["node"])
     heads = materialise(heads, "heads")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node IS NOT NULL")
-    check = lambda pairs: verified(likely(pairs, heads, similarity, bands * rows), texts, similarity, size)
-
     keys = heads.select("node", "weight", F.posexplode("bands").alias("band", "key"))
     pairs, large = bucket_pairs(keys, small)
-    pairs, large = materialise(pairs, "pairs"), materialise(large, "large")
-    found = materialise(components(check(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))), "components")
-    found = _with(check(_apart(pairs, found)), found)
-    found = _settle_large(keys, materialise(keys.join(large.select("key"), "key"), "members"), found, check, small, hubs)
+    pairs = materialise(likely(pairs, heads, similarity, bands * rows), "pairs")
+    large = materialise(large, "large")
+    gathered = keys.join(large.select("key"), "key").select("node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(gathered).distinct()
+    sets = materialise(shingle_sets(docs, wanted, size), "sets")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = materialise(components(verified(first, sets, similarity)), "components")
+    found = _with(verified(_apart(pairs, found), sets, similarity), found)
+    check = lambda more: verified(likely(more, heads, similarity, bands * rows), sets, similarity)
+    found = _settle_large(heads, large, found, check, similarity=similarity, bands=bands, rows=rows, turns=turns)
     return classes, found
 
 
-def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, hubs: int = HUBS) -> DataFrame:
+def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, turns: int = TURNS) -> DataFrame:
     """One row per document: ``doc_id, class_id, group_id, group_size, kept``.
 
     ``class_id`` is the least id with the same shingles, ``group_id`` the least id of the near-duplicate group, which stays.
@@ -318,7 +351,7 @@ def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float
     own. Rows with a null id are kept and left out of grouping. An empty table gives no rows.
     """
     marked = materialise(signature_bands(docs, size=size, bands=bands, rows=rows), "bands")
-    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small, hubs=hubs)
+    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small, turns=turns)
     named = classes.join(found, "node", "left").select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
     known = F.col("doc_id").isNotNull()
     grouped = marked.select("doc_id", "digest").join(named, "digest", "left").select(
