@@ -142,6 +142,20 @@ def test_near_groups_in_large_buckets(spark):
     equal(got, ["doc_id", "group_id"], [(i, truth[i]) for i, _ in rows])
 
 
+def variants(pairs):
+    """Pairs of texts at 0.81 within a pair and 0.78 across, all with one long passage."""
+    core = " ".join(f"c{i}" for i in range(104))
+    return [(i, f"{core} " + " ".join([f"p{i // 2}.{k}" for k in range(2)] + [f"q{i}.{k}" for k in range(12)])) for i in range(2 * pairs)]
+
+
+def test_near_groups_finds_partners_among_many_variants(spark):
+    rows = variants(150)
+    truth = near_truth(rows)
+    assert len(set(truth.values())) == 150
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), small=3)
+    equal(got, ["doc_id", "group_id"], [(i, truth[i]) for i, _ in rows])
+
+
 def test_dart_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     element, k = np.arange(300, dtype=np.uint64), 4096

@@ -7,11 +7,10 @@ two documents agree on a coordinate with the probability of their weighted Jacca
 number of shingles plus the number of darts, whatever the weights.
 
 Equal shingle multisets become one class first. Classes that agree on a band are compared: all of them in small
-buckets, in large ones each with the bucket's least, which is linear. Large buckets that stay apart are split by a second
-band, and there those that are not with the least meet all others by their sketches, in blocks; the most alike are
-compared. Each class is first compared with one other only, and pairs that are by then in one group are never
-compared. A pair passes on the exact similarity of its shingles. Groups are connected components, found by stars that
-shrink, so no group is gathered.
+buckets, in large ones each with the bucket's least first, which is linear. In large buckets that stay apart those that are
+not with the least then meet all others, a block with a block, by their sketches and then by their shingles. Each class is
+first compared with one other only, and pairs that are by then in one group are never compared. A pair passes on the
+exact similarity of its shingles. Groups are connected components, found by stars that shrink, so no group is gathered.
 """
 
 from __future__ import annotations
@@ -25,14 +24,16 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import flat, fresh, mix, owner, pieces, prefix_hash, slice_hash, word_bounds
+from voltlane.llm.common import flat, fresh, mix, owner, pieces, prefix_hash, slice_hash, sums, word_bounds
 from voltlane.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET = 5, 0.8, 20, 4, 16
-#: rounds over large buckets, second bands that split them in one round, members that one part compares, and partners tried per member
-TURNS, SECOND, SPLIT, NEAREST = 1, 4, 20_000, 3
+#: second bands that split large buckets
+SECOND = 4
+#: members above which a part is cut by a third band
+SPLIT = 20_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,63 +265,136 @@ def _with(links: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(joined), "components")
 
 
-def _nearest_outsiders(least: int, best: int, block: int = 256):
-    """Pairs of a group's outsiders with the members of other components whose sketches agree most, a block at a time."""
+def _open_pairs(table: pa.Table, similarity: float, least: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and a mask of the pairs of two blocks to compare, in pieces of about ``cells``: in different components, of weights and
+    sketches that allow the similarity, and without an earlier band in common, in whose bucket they meet as well.
+    """
+    component, weight, block = (np.asarray(table[c]) for c in ("component", "weight", "block"))
+    sketch, earlier = (flat(table[c])[0] for c in ("sketch", "earlier"))
+    sketch = sketch.reshape(table.num_rows, -1)
+    earlier = earlier.view(np.int64).reshape(table.num_rows, -1)
+    x, y = table["x"][0].as_py(), table["y"][0].as_py()
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    step = max(1, cells // max(len(right), 1))
+    for p in range(0, len(left), step):
+        rows = left[p : p + step]
+        cols = right if x != y else right[p:]
+        mask = component[rows, None] != component[None, cols]
+        if x == y:
+            mask &= rows[:, None] < cols[None, :]
+        mask &= np.minimum(weight[rows, None], weight[None, cols]) >= similarity * np.maximum(weight[rows, None], weight[None, cols]) - 1e-9
+        for c in range(earlier.shape[1]):
+            mask &= earlier[rows, c, None] != earlier[None, cols, c]
+        some, any_ = mask.any(1), mask.any(0)
+        rows, cols, mask = rows[some], cols[any_], mask[np.ix_(some, any_)]
+        if not len(rows):
+            continue
+        agree = np.zeros(mask.shape, np.uint8 if sketch.shape[1] < 256 else np.uint16)
+        for c in range(sketch.shape[1]):
+            agree += sketch[rows, c, None] == sketch[None, cols, c]
+        mask &= agree >= least
+        if mask.any():
+            yield rows, cols, mask
+
+
+def _likely_members(similarity: float, least: int):
+    """Members of two blocks that have a pair to compare there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keep = np.zeros(table.num_rows, bool)
+        for rows, cols, mask in _open_pairs(table, similarity, least):
+            keep[rows[mask.any(1)]] = True
+            keep[cols[mask.any(0)]] = True
+        return table.select(["key", "x", "y", "block", "band", "node", "component"]).filter(pa.array(keep))
+
+    return run
+
+
+def _block_links(similarity: float, least: int):
+    """Links between two blocks, by the exact similarity of every pair to compare that no link found before joins."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, component = np.asarray(table["node"]), np.asarray(table["component"])
-        sketch = flat(table["sketch"])[0].reshape(len(node), -1)
-        outside = np.flatnonzero(np.asarray(table["outside"].combine_chunks().cast(pa.int8())))
+        node, n = np.asarray(table["node"]), table.num_rows
+        label = np.unique(np.asarray(table["component"]), return_inverse=True)[1]
+        data, ends = flat(table["elements"])
+        element, ends = data.view(np.uint32), ends // 4
+        times, stops = flat(table["counts"])
+        count = np.ones(len(element), np.int64)
+        count[np.repeat(np.diff(stops) > 0, np.diff(ends))] = times.view(np.uint32)
+        # the k-th occurrence of an element is a token of its own, so the common ones are the sum of the lesser counts
+        turn = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        token = np.unique(np.repeat(element, count).astype(np.uint64) | turn.astype(np.uint64) << np.uint64(32), return_inverse=True)[1].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(count)])[ends]
+        length = np.diff(ends)
+        mine = np.zeros(int(token.max(initial=-1)) + 1, bool)
+
+        def tokens_of(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            offsets = np.concatenate([[0], np.cumsum(length[which])])
+            return token[np.repeat(ends[which] - offsets[:-1], length[which]) + np.arange(offsets[-1])], offsets
+
         a, b = [], []
-        for p in range(0, len(outside), block):
-            rows = outside[p : p + block]
-            agree = np.zeros((len(rows), len(node)), np.int16)
-            for c in range(sketch.shape[1]):
-                agree += sketch[rows, c, None] == sketch[None, :, c]
-            agree[component[rows, None] == component[None, :]] = -1
-            top = np.argsort(-agree, axis=1, kind="stable")[:, :best]
-            ok = np.take_along_axis(agree, top, 1) >= least
-            a.append(node[np.repeat(rows, ok.sum(1))])
-            b.append(node[top[ok]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        for rows, cols, mask in _open_pairs(table, similarity, least):
+            whole = tokens_of(cols)
+            for r, row in enumerate(rows):
+                at = np.flatnonzero(mask[r] & (label[cols] != label[row]))
+                if not len(at):
+                    continue
+                mine[token[ends[row] : ends[row + 1]]] = True
+                if 4 * len(at) > len(cols):
+                    common = sums(mine[whole[0]], whole[1])[at]
+                else:
+                    listed, offsets = tokens_of(cols[at])
+                    common = sums(mine[listed], offsets)
+                mine[token[ends[row] : ends[row + 1]]] = False
+                for c in cols[at[common >= similarity * (length[row] + length[cols[at]] - common) - 1e-9]]:
+                    if label[c] != label[row]:
+                        a.append(node[row])
+                        b.append(node[c])
+                        label[label == label[c]] = label[row]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
 
     return run
 
 
-def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, check, *, similarity: float, bands: int, rows: int, turns: int) -> DataFrame:
-    """Components after more comparisons in large buckets whose members are still apart.
+def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, *, similarity: float, bands: int, rows: int) -> DataFrame:
+    """Components after all pairs of large buckets whose members are still apart are compared.
 
-    Such a bucket is split by a second band, each of the ``SECOND`` next ones and further ones in the next turn, so that a link
-    of the similarity is together in many parts. In each part the members outside the component of the bucket's least meet, by sketches and in
-    blocks, all others, and the ones most alike are compared. Parts of more than ``SPLIT`` members are cut by a third band.
+    All members of a part meet there. Parts of more than ``SPLIT`` members are cut by a third band. Buckets are split by the ``SECOND`` next bands
+    first. Sketches go first, alone; the shingles of members that have a likely pair follow.
     """
     least = int(similarity * bands * rows - 6 * np.sqrt(similarity * (1 - similarity) * bands * rows))
-    hubs = large.select("key", "hub")
-    members = heads.select("node", "sketch", "bands", F.posexplode("bands").alias("band", "key")).join(hubs, "key")
-    members = materialise(members, "members")
-    for turn in range(turns):
-        side = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
-        named = members.join(side("node", "component"), "node", "left").join(side("hub", "with"), "hub", "left")
-        named = named.withColumns({"component": F.coalesce("component", "node"), "with": F.coalesce("with", "hub")})
-        named = named.withColumn("outside", F.col("component") != F.col("with"))
-        apart = named.where("outside").select("key").distinct()
-        named = materialise(named.join(apart, "key").select("node", "sketch", "bands", "band", "key", "component", "outside"), "apart")
-        if not named.take(1):
-            break
-        second = F.transform(F.sequence(F.lit(turn * SECOND + 1), F.lit(turn * SECOND + SECOND)), lambda j: F.xxhash64("key", F.get("bands", (F.col("band") + j) % bands)))
-        parts = materialise(named.select("node", "sketch", "bands", "component", "outside", F.explode(second).alias("part")), "parts")
-        sizes = materialise(parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("any")).where("n > 1 AND any"), "sizes")
-        third = F.when(F.col("n") > SPLIT, F.xxhash64("part", F.get("bands", F.pmod("part", F.lit(bands)).cast("int")))).otherwise(F.col("part"))
-        cut = parts.join(sizes, "part").select("node", "sketch", "component", "outside", third.alias("part"))
-        pairs = cut.groupBy("part").applyInArrow(_nearest_outsiders(least, NEAREST), "a long, b long").distinct()
-        before, found = found, _with(check(pairs), found)
-        if found is before:
-            break
-    return found
-
-
-def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int, turns: int) -> tuple[DataFrame, DataFrame]:
+    side = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
+    members = heads.select("node", "weight", F.posexplode("bands").alias("band", "key")).join(large.select("key", "hub"), "key")
+    named = members.join(side("node", "component"), "node", "left").join(side("hub", "with"), "hub", "left")
+    named = named.withColumns({"component": F.coalesce("component", "node"), "with": F.coalesce("with", "hub")})
+    named = named.select("key", "node", "weight", "band", "component", (F.col("component") != F.col("with")).alias("outside"))
+    second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64("key", F.get("bands", (F.col("band") + j) % bands)))
+    named = named.join(heads.select("node", "bands"), "node").withColumns({"key": F.explode(second), "band": F.lit(0)}).drop("bands")
+    named = materialise(named, "parts")
+    hot = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT)
+    third = F.when(F.col("n").isNotNull(), F.xxhash64("key", F.get("bands", F.pmod("key", F.lit(bands)).cast("int")))).otherwise(F.col("key"))
+    named = named.join(hot, "key", "left").join(heads.select("node", "bands"), "node").withColumn("key", third).drop("n", "bands")
+    named = materialise(named, "members")
+
+    sizes = named.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 AND n > 1").select("key", F.lit(1).alias("o"), F.lit(0).alias("i"))
+    dealt = named.join(materialise(sizes, "sizes"), "key")
+    dealt = dealt.withColumn("block", F.expr("0"))
+    meets = F.expr("transform(array(0), m -> struct(least(m, block) AS x, greatest(m, block) AS y))")
+    dealt = dealt.select("key", F.explode(meets).alias("of"), "block", "band", "node", "component").select("key", "of.*", "block", "band", "node", "component")
+
+    packed = heads.select("node", "weight", "sketch", "bands")
+    earlier = F.expr("unhex(concat_ws('', transform(slice(bands, 1, band), k -> lpad(hex(k), 16, '0'))))").alias("earlier")
+    columns = ("key", "x", "y", "block", "band", "node", "component")
+    full = dealt.join(packed, "node").select(*columns, "weight", "sketch", earlier)
+    schema = "key long, x int, y int, block int, band int, node long, component long"
+    some = materialise(full.groupBy("key", "x", "y").applyInArrow(_likely_members(similarity, least), schema), "likely")
+    full = some.join(packed, "node").hint("merge").join(sets, "node").select(*columns, "weight", "sketch", earlier, "elements", "counts")
+    links = full.groupBy("key", "x", "y").applyInArrow(_block_links(similarity, least), "a long, b long")
+    return _with(links.distinct(), found)
+
+
+def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity: float, bands: int, rows: int, small: int) -> tuple[DataFrame, DataFrame]:
     """The classes ``digest, node`` and the ``node, component`` rows of nodes that have a partner."""
     usable = marked.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
@@ -338,12 +412,11 @@ def near_components(docs: DataFrame, marked: DataFrame, *, size: int, similarity
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = materialise(components(verified(first, sets, similarity)), "components")
     found = _with(verified(_apart(pairs, found), sets, similarity), found)
-    check = lambda more: verified(likely(more, heads, similarity, bands * rows), sets, similarity)
-    found = _settle_large(heads, large, found, check, similarity=similarity, bands=bands, rows=rows, turns=turns)
+    found = _settle_large(heads, large, found, sets, similarity=similarity, bands=bands, rows=rows)
     return classes, found
 
 
-def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET, turns: int = TURNS) -> DataFrame:
+def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, small: int = SMALL_BUCKET) -> DataFrame:
     """One row per document: ``doc_id, class_id, group_id, group_size, kept``.
 
     ``class_id`` is the least id with the same shingles, ``group_id`` the least id of the near-duplicate group, which stays.
@@ -351,7 +424,7 @@ def near_groups(docs: DataFrame, *, size: int = SHINGLE_WORDS, similarity: float
     own. Rows with a null id are kept and left out of grouping. An empty table gives no rows.
     """
     marked = materialise(signature_bands(docs, size=size, bands=bands, rows=rows), "bands")
-    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small, turns=turns)
+    classes, found = near_components(docs, marked, size=size, similarity=similarity, bands=bands, rows=rows, small=small)
     named = classes.join(found, "node", "left").select("digest", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("group_id"))
     known = F.col("doc_id").isNotNull()
     grouped = marked.select("doc_id", "digest").join(named, "digest", "left").select(
