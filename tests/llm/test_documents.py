@@ -156,6 +156,14 @@ def test_near_groups_finds_partners_among_many_variants(spark):
     equal(got, ["doc_id", "group_id"], [(i, truth[i]) for i, _ in rows])
 
 
+def test_near_groups_in_many_blocks(spark, monkeypatch):
+    for name in ("SPLIT", "BLOCK_ROWS"):
+        monkeypatch.setattr(near, name, 20, raising=False)
+    rows = variants(60)
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), small=3)
+    equal(got, ["doc_id", "group_id"], [(i, i - i % 2) for i, _ in rows])
+
+
 def test_dart_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     element, k = np.arange(300, dtype=np.uint64), 4096

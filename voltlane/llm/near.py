@@ -30,10 +30,10 @@ from voltlane.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET = 5, 0.8, 20, 4, 16
+#: members and shingles, about, of one block of a large bucket
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 21
 #: second bands that split large buckets
 SECOND = 4
-#: members above which a part is cut by a third band
-SPLIT = 20_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +360,8 @@ def _block_links(similarity: float, least: int):
 def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, *, similarity: float, bands: int, rows: int) -> DataFrame:
     """Components after all pairs of large buckets whose members are still apart are compared.
 
-    All members of a part meet there. Parts of more than ``SPLIT`` members are cut by a third band. Buckets are split by the ``SECOND`` next bands
+    The members outside the component of the bucket's least, and those in it, are dealt to blocks of bounded rows and shingles. Every
+    block of outsiders meets every block, itself included, in a group of its own. Buckets are split by the ``SECOND`` next bands
     first. Sketches go first, alone; the shingles of members that have a likely pair follow.
     """
     least = int(similarity * bands * rows - 6 * np.sqrt(similarity * (1 - similarity) * bands * rows))
@@ -371,16 +372,13 @@ def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, sets: Da
     named = named.select("key", "node", "weight", "band", "component", (F.col("component") != F.col("with")).alias("outside"))
     second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64("key", F.get("bands", (F.col("band") + j) % bands)))
     named = named.join(heads.select("node", "bands"), "node").withColumns({"key": F.explode(second), "band": F.lit(0)}).drop("bands")
-    named = materialise(named, "parts")
-    hot = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT)
-    third = F.when(F.col("n").isNotNull(), F.xxhash64("key", F.get("bands", F.pmod("key", F.lit(bands)).cast("int")))).otherwise(F.col("key"))
-    named = named.join(hot, "key", "left").join(heads.select("node", "bands"), "node").withColumn("key", third).drop("n", "bands")
     named = materialise(named, "members")
 
-    sizes = named.groupBy("key").agg(F.count_if("outside").alias("o"), F.count(F.lit(1)).alias("n")).where("o > 0 AND n > 1").select("key", F.lit(1).alias("o"), F.lit(0).alias("i"))
+    blocks = lambda where: F.greatest(F.ceil(F.count_if(where) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(where, F.col("weight"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = named.groupBy("key").agg(blocks(F.col("outside")).alias("o"), blocks(~F.col("outside")).alias("i")).where("o > 0")
     dealt = named.join(materialise(sizes, "sizes"), "key")
-    dealt = dealt.withColumn("block", F.expr("0"))
-    meets = F.expr("transform(array(0), m -> struct(least(m, block) AS x, greatest(m, block) AS y))")
+    dealt = dealt.withColumn("block", F.expr("CAST(IF(outside, pmod(xxhash64(node), o), o + pmod(xxhash64(node), i)) AS INT)"))
+    meets = F.expr("transform(sequence(0, IF(outside, o + i, o) - 1), m -> struct(least(m, block) AS x, greatest(m, block) AS y))")
     dealt = dealt.select("key", F.explode(meets).alias("of"), "block", "band", "node", "component").select("key", "of.*", "block", "band", "node", "component")
 
     packed = heads.select("node", "weight", "sketch", "bands")
