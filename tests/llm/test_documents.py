@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltlane.llm import bpe, exact, mixing, near, packing, pii, quality, repeats, rollups, secrets
 from voltlane.llm.tokens import public_vocabulary
@@ -164,6 +165,20 @@ def test_near_groups_in_many_blocks(spark, monkeypatch):
     equal(got, ["doc_id", "group_id"], [(i, i - i % 2) for i, _ in rows])
 
 
+def test_near_groups_with_common_bands_far_apart(spark, monkeypatch):
+    plain = near.signature_bands
+
+    def spread(docs, **settings):  # all texts agree on the first and the eleventh band, on no other
+        key = lambda j: F.when(F.lit(j % 10 == 0), F.lit(j)).otherwise(F.xxhash64("doc_id", F.lit(j)))
+        return plain(docs, **settings).withColumn("bands", F.array(*[key(j) for j in range(20)]))
+
+    monkeypatch.setattr(near, "signature_bands", spread)
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(40))) for i in range(6)]
+    rows += [(10 + i, " ".join(f"w{k}" for k in range(60)) + f" end{i}") for i in range(2)]
+    got = near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), small=3)
+    equal(got, ["doc_id", "group_id"], [(i, min(i, 10)) for i, _ in rows])
+
+
 def test_dart_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     element, k = np.arange(300, dtype=np.uint64), 4096

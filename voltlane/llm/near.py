@@ -32,8 +32,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE_WORDS, SIMILARITY, BANDS, ROWS, SMALL_BUCKET = 5, 0.8, 20, 4, 16
 #: members and shingles, about, of one block of a large bucket
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 21
-#: second bands that split large buckets
-SECOND = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -361,8 +359,8 @@ def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, sets: Da
     """Components after all pairs of large buckets whose members are still apart are compared.
 
     The members outside the component of the bucket's least, and those in it, are dealt to blocks of bounded rows and shingles. Every
-    block of outsiders meets every block, itself included, in a group of its own. Buckets are split by the ``SECOND`` next bands
-    first. Sketches go first, alone; the shingles of members that have a likely pair follow.
+    block of outsiders meets every block, itself included, in a group of its own. A pair is compared in its first common bucket
+    only. Sketches go first, alone; the shingles of members that have a likely pair follow.
     """
     least = int(similarity * bands * rows - 6 * np.sqrt(similarity * (1 - similarity) * bands * rows))
     side = lambda n, c: found.select(F.col("node").alias(n), F.col("component").alias(c))
@@ -370,8 +368,6 @@ def _settle_large(heads: DataFrame, large: DataFrame, found: DataFrame, sets: Da
     named = members.join(side("node", "component"), "node", "left").join(side("hub", "with"), "hub", "left")
     named = named.withColumns({"component": F.coalesce("component", "node"), "with": F.coalesce("with", "hub")})
     named = named.select("key", "node", "weight", "band", "component", (F.col("component") != F.col("with")).alias("outside"))
-    second = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64("key", F.get("bands", (F.col("band") + j) % bands)))
-    named = named.join(heads.select("node", "bands"), "node").withColumns({"key": F.explode(second), "band": F.lit(0)}).drop("bands")
     named = materialise(named, "members")
 
     blocks = lambda where: F.greatest(F.ceil(F.count_if(where) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(where, F.col("weight"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
