@@ -51,13 +51,16 @@ def chunk_count(df: DataFrame) -> int:
     return max(least, -(-input_bytes(df) // CHUNK_BYTES))
 
 
-def chunked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def chunked(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], keep: dict[str, Column] | None = None) -> DataFrame:
     """Cut ``df`` into balanced contiguous chunks of its ``(part, order)`` sequence.
 
-    ``order`` should end in tie-breakers that make rows distinct; equal rows share a chunk.
+    ``order`` should end in tie-breakers that make rows distinct; equal rows share a chunk. ``keep`` names what is written
+    of a row, where the columns that order it are not all needed later.
     """
     keys = [*part, *order]
     ranged = df.repartitionByRange(chunk_count(df), *keys).sortWithinPartitions(*keys)
+    if keep:
+        ranged = ranged.select(*[expr.alias(name) for name, expr in keep.items()])
     slotted = ranged.withColumn(SLOT, F.monotonically_increasing_id())
     return materialise(slotted.withColumn(CHUNK, F.shiftright(SLOT, 33).cast("int")), "chunks")
 
