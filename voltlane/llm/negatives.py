@@ -77,7 +77,10 @@ class InvertedIndex:
         # dimensions from here on are not listed: alone they stay below every threshold
         listed = (self.rest[:-1] * longest >= lowest).sum(0) if lowest > 0 else np.full(len(self.values), len(self.segments))
         live = np.flatnonzero(listed > 0)
-        partial, alive = np.zeros((len(queries), len(live))), np.zeros((0, 0), bool)
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if not len(live) or not len(queries):
+            return nothing
+        partial = np.zeros((len(queries), len(live)))
         for s, (a, b) in enumerate(self.segments):
             here = listed[live] > s
             if here.all():
@@ -103,7 +106,7 @@ class InvertedIndex:
                 q, at = np.nonzero(partial >= least[:, None])
                 return q, live[at], partial[q, at]
         if not len(live):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return nothing
         q, at = np.nonzero(alive)
         score = np.empty(len(q))
         for begin in range(0, len(q), 1 << 16):  # all dimensions again: surviving pairs are few

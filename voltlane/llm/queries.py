@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm import bpe, exact, mixing, near, negatives, packing, pii, quality, repeats, rollups, secrets, trie
+from voltlane.llm import bpe, exact, forest, mixing, near, negatives, packing, pii, quality, repeats, rollups, secrets, trie
 from voltlane.llm.common import documents
 
 
@@ -62,10 +62,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_quality, op2_near_dedup, op3_repeats, op4_personal_data, op5_exact_dedup, op6_mixing, op7_token_rollups, op8_bpe, op9_secrets, op10_token_files,
-        op11_hard_negatives, op12_conversation_trie,
+        op11_hard_negatives, op12_conversation_trie, op13_embedding_dedup,
     )
 }
 
@@ -126,4 +130,19 @@ ORACLES: dict[str, str] = {
                n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
         FROM v JOIN s ON s.conv_id = v.conv_id AND s.depth = v.depth
     """,
+    "op13_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS n, vec_id, label, embedding::DOUBLE[] AS e,
+                   vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+            FROM embeddings),
+        l AS (
+            SELECT a.n AS a, b.n AS b, b.vec_id FROM v a JOIN v b ON a.label = b.label AND a.n <> b.n
+            WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        r(n, vec_id) AS (SELECT n, vec_id FROM v UNION SELECT l.b, r.vec_id FROM r JOIN l ON l.a = r.n),
+        c AS (SELECT n, min(vec_id) AS component_id FROM r GROUP BY n),
+        d AS (SELECT a AS n, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+        FROM v JOIN c USING (n) LEFT JOIN d USING (n)
+    """,
 }
