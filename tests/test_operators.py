@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from voltlane.functions.columns import title_case
 from voltlane.functions import signals
 from voltlane.operators import cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
-from voltlane.plans.joins import interval_join
+from voltlane.plans.joins import IntervalTree, interval_join
 from voltlane.sources import readers
 from voltlane.streaming import operators as streaming
 
@@ -67,11 +67,47 @@ def test_interval_join_paths_agree(spark, how):
         + [("b", datetime(1970, 1, 1, 3), datetime(1970, 1, 2, 3))], "station string, start_ts timestamp, end_ts timestamp",
     )
     results = []
-    for settings in ({}, {"max_broadcast_rows": 0}, {"max_broadcast_rows": 0, "bucket_seconds": 86400, "salts": 3}):
+    for settings in ({}, {"max_broadcast_rows": 0}, {"max_broadcast_rows": 0, "bucket_seconds": 86400, "hot_rows": 50}, {"bucket_seconds": 60}, {"max_broadcast_rows": 0, "bucket_seconds": 60, "hot_rows": 40}):
         out = interval_join(points, df, how, **settings)
         columns = ["id", "start_ts"] if "start_ts" in out.columns else ["id"]
         results.append(sorted(tuple(str(v) for v in r) for r in out.select(*columns).collect()))
-    assert results[0] == results[1] == results[2] and results[0]
+    assert results[0] and all(r == results[0] for r in results)
+
+
+def test_interval_covers_are_short_and_disjoint(spark):
+    """Covers of any length: nodes that do not overlap, together just the interval's buckets, and O(log n) of them."""
+    hour = lambda h: datetime(1970, 1, 1) + timedelta(hours=h)
+    ranges = [(0, 0), (0, 15), (0, 16), (5, 300), (-40, 40), (255, 4097), (7, 7 + 24 * 365 * 100), (-500_000, 3_000_000)]
+    df = frame(spark, [(str(i), hour(a), hour(b)) for i, (a, b) in enumerate(ranges)], "station string, start_ts timestamp, end_ts timestamp")
+    points = frame(spark, [("0", T0)], "station string, ts timestamp")
+    tree = IntervalTree(points, df, "station", "start_ts", "end_ts", 3600)
+    covers = {}
+    for r in tree.rows.collect():
+        wide = 16 ** r[f"{tree.prefix}_level"]
+        covers.setdefault(int(r[f"{tree.prefix}_station"]), []).append((r[f"{tree.prefix}_node"] * wide, (r[f"{tree.prefix}_node"] + 1) * wide))
+    for i, (a, b) in enumerate(ranges):
+        nodes = sorted(covers[i])
+        assert nodes[0][0] == a and nodes[-1][1] == b + 1 and all(x[1] == y[0] for x, y in zip(nodes, nodes[1:]))
+        assert len(nodes) <= 30 * (1 + len(f"{b - a:x}"))
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_wrong_end_dates_and_clashing_columns(spark, limit):
+    """One downtime that never ends costs a few rows, and points may have the intervals' columns."""
+    points = frame(
+        spark, [(s, T0 + timedelta(days=400 * i), i, "x", T0, "y") for s in ("a", "b") for i in range(-5, 5)],
+        "station string, ts timestamp, id int, start_ts string, end_ts timestamp, _kind string",
+    )
+    df = frame(spark, [("a", T0, datetime(9999, 1, 1)), ("b", T0, T0 + timedelta(hours=1)), ("b", T0 - timedelta(days=36500), T0 - timedelta(days=1500))], "station string, start_ts timestamp, end_ts timestamp")
+    rows = intervals.label_points_by_interval(points, df, max_broadcast_rows=limit).collect()
+    assert {(r.station, r.id) for r in rows if r.anomaly_label} == {("a", i) for i in range(5)} | {("b", 0), ("b", -5), ("b", -4)} and len(rows) == 20
+    assert all(r.start_ts == "x" and r["_kind"] == "y" for r in rows)
+    joined = intervals.readings_in_interval(points, df, max_broadcast_rows=limit).collect()
+    assert {(r.station, r.id) for r in joined} == {(r.station, r.id) for r in rows if r.anomaly_label}
+    assert all(r.interval_start_ts <= r.ts <= r.interval_end_ts and r.start_ts == "x" for r in joined)
+    left = interval_join(points, df, "left", max_broadcast_rows=limit)
+    assert left.count() == 20 and left.where("interval_end_ts IS NULL").count() == 20 - len(joined)
+    assert IntervalTree(points, df, "station", "start_ts", "end_ts", 3600).count < 500
 
 
 def test_zero_duration_is_outside_and_equal_durations_make_one_bin(spark):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.plans.joins import BROADCAST_ROWS, interval_join, small_enough
+from voltlane.plans.joins import BROADCAST_ROWS, inside_any, interval_join, small_enough, unused
 from voltlane.plans.ordering import chunked, null_safe_join, plain, settled, with_index, with_neighbours, with_running
 
 STATION, START, END = "station", "start_ts", "end_ts"
@@ -70,6 +70,15 @@ def interval_durations(intervals: DataFrame, start: str = START, end: str = END)
     return intervals.withColumns({"duration_seconds": seconds, "duration_minutes": seconds / 60})
 
 
+def _merged_small(intervals: DataFrame) -> DataFrame:
+    """``merge_intervals`` for a table known to be small: windows over its stations, without tables in between."""
+    line = Window.partitionBy(STATION).orderBy(START, END)
+    reach = F.max(END).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    opened = intervals.withColumn("_fresh", F.when(F.col(START) <= reach, 0).otherwise(1))
+    island = F.sum("_fresh").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.withColumn("_island", island).groupBy(STATION, "_island").agg(F.min(START).alias(START), F.max(END).alias(END)).drop("_island")
+
+
 def label_points_by_interval(
     points: DataFrame, intervals: DataFrame, label: str = "anomaly_label", *, merged: bool = False,
     max_broadcast_rows: int = BROADCAST_ROWS,
@@ -78,24 +87,28 @@ def label_points_by_interval(
 
     Merging first makes the intervals disjoint, so a point meets at most one. A table of intervals that is small
     enough is joined without moving the points; a larger one is put in order with them, or, where the points are a
-    stream, joined by buckets. Intervals without a station or a bound, or that end before they start, hold no point.
+    stream, joined by the nodes of the covers. Intervals without a station or a bound, or that end before they start, hold
+    no point. The points may have any other columns, those of the intervals included.
     """
-    whole = intervals.where(F.col(STATION).isNotNull() & (F.col(START) <= F.col(END)))
-    disjoint = settled(whole if merged else merge_intervals(whole))
-    if points.isStreaming or small_enough(disjoint, max_broadcast_rows):
-        joined = interval_join(points, disjoint, "left", max_broadcast_rows=max_broadcast_rows)
-        return joined.select(*points.columns, F.col(START).isNotNull().cast("int").alias(label))
-    return _label_in_order(points, disjoint, label)
+    whole = intervals.where(F.col(STATION).isNotNull() & (F.col(START) <= F.col(END))).select(STATION, START, END)
+    whole = settled(whole)
+    if small_enough(whole, max_broadcast_rows):
+        return inside_any(points, whole if merged else _merged_small(whole), label)
+    disjoint = whole if merged else merge_intervals(whole)
+    return inside_any(points, disjoint, label) if points.isStreaming else _label_in_order(points, disjoint, label)
 
 
 def _label_in_order(points: DataFrame, disjoint: DataFrame, label: str) -> DataFrame:
     """Label by the last interval that starts at or before the point: one balanced sort, whatever the skew."""
-    starts = disjoint.select(F.col(STATION), F.col(START).alias("ts"), F.col(END).alias("_end"), F.lit(0).alias("_kind"))
-    both = points.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    cdf = chunked(both, [STATION], ["ts", "_kind"])
-    seen = with_running(cdf, [STATION], {"_open": ("last", "_end")}).where("_kind = 1")
-    inside = F.coalesce(F.col("ts") <= F.col("_open"), F.lit(False))
-    return seen.select(*points.columns, inside.cast("int").alias(label))
+    p = unused("_o", points.columns)
+    row = F.struct(*[F.col(c) for c in points.columns]).alias(f"{p}_row")
+    rows = points.select(STATION, F.col("ts").alias(f"{p}_ts"), F.lit(1).alias(f"{p}_kind"), row)
+    starts = disjoint.select(STATION, F.col(START).alias(f"{p}_ts"), F.lit(0).alias(f"{p}_kind"), F.col(END).alias(f"{p}_end"))
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    cdf = chunked(both, [STATION], [f"{p}_ts", f"{p}_kind"])
+    seen = with_running(cdf, [STATION], {f"{p}_open": ("last", f"{p}_end")}).where(F.col(f"{p}_kind") == 1)
+    inside = F.coalesce(F.col(f"{p}_ts") <= F.col(f"{p}_open"), F.lit(False))
+    return seen.select(*[F.col(f"{p}_row.`{c}`").alias(c) for c in points.columns], inside.cast("int").alias(label))
 
 
 def readings_in_interval(points: DataFrame, intervals: DataFrame, **join: object) -> DataFrame:
