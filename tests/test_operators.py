@@ -287,6 +287,35 @@ def test_huge_windows_give_the_same_features(spark):
             assert list(a[column]) == list(b[column]), column
 
 
+@pytest.mark.parametrize("max_rows", [1_000_000, 10])
+def test_windows_from_panes_equal_windows_from_rows(spark, max_rows):
+    """Panes of gcd(600, 240) seconds: merged moments, co-moments with the row's place, and steps across panes."""
+    rng = np.random.default_rng(21)
+    at = np.sort(rng.choice(4000, 700, replace=False))
+    value = 1e6 + np.cumsum(rng.normal(size=700)) ** 2
+    value[rng.random(700) < 0.1] = np.nan
+    value[300:420] = 5.0
+    rows = [("a", T0 + timedelta(seconds=int(t)), None if np.isnan(v) else float(v)) for t, v in zip(at, value)]
+    df = frame(spark, rows, "station string, ts timestamp, v double").repartition(5)
+    spec = series.SlidingWindows(600, 240, expected=50, max_rows=max_rows)
+    columns = {}
+    for op in (series.window_mean_std, series.window_skew, series.window_change_point, series.window_trend_slope):
+        got = op(df, spec, ["v"]).toPandas().set_index("window_id").sort_index()
+        columns |= {c: got[c] for c in got.columns if c.startswith("v_")}
+    seconds = at - at[0]
+    starts = [k for k in range(100) if k * 240 + 600 <= seconds[-1] and ((seconds >= k * 240) & (seconds < k * 240 + 600)).sum() >= 40]
+    assert list(columns["v_mean"].index) == starts and len(starts) > 10
+    for k in starts:
+        v = value[(seconds >= k * 240) & (seconds < k * 240 + 600)]
+        place, x = np.flatnonzero(~np.isnan(v)), v[~np.isnan(v)]
+        d = x - x.mean()
+        skew = (d**3).mean() / (d**2).mean() ** 1.5 if x.std() > 1e-10 else 0.0
+        slope = np.polyfit(place, x, 1)[0] if x.min() < x.max() else 0.0
+        want = {"v_mean": x.mean(), "v_std": x.std(), "v_skew": skew, "v_trend_slope": slope, "v_change_point_score": np.nanmax(np.r_[0.0, np.abs(np.diff(v))])}
+        for c, w in want.items():
+            np.testing.assert_allclose(columns[c][k], w, rtol=1e-6, atol=1e-7, err_msg=f"{c} {k}")
+
+
 def test_nulls_in_windows_are_left_out_on_both_paths(spark):
     rng = np.random.default_rng(13)
     values = [None if i % 7 == 3 or 600 <= i < 1200 else float("nan") if i % 50 == 1 else float(round(v, 1)) for i, v in enumerate(rng.normal(size=2500))]

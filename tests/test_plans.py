@@ -50,10 +50,12 @@ def test_scans_read_only_what_is_used(spark):
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))]" in text
 
 
-def test_window_statistics_take_one_shuffle(spark):
+def test_window_statistics_move_rows_once(spark):
     spec = series.SlidingWindows(86400, 21600, expected=24)
     rows = series.downsample_time(fixtures.readings(spark, SF), ["value"], 3600)
     text = plan(series.window_change_point(rows, spec, ["value"]))
     tree = text.split("(1) Scan")[0]
-    # one for the slots, one for the windows; the station bounds are a written side table
-    assert tree.count("Exchange") - tree.count("BroadcastExchange") == 2
+    # one for the slots, one for the rows of each pane, one for the panes of each window; the station bounds are a written side table
+    assert tree.count("Exchange") - tree.count("BroadcastExchange") == 3
+    # rows are not multiplied: the one Generate comes after their aggregate into panes
+    assert tree.count("Generate") == 1 and tree.index("Generate") < tree.index("HashAggregate", tree.index("Generate"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +33,16 @@ def assign_windows(
     Windows start at the station's first reading, every ``step``, as long as they end by its last one. The windows
     of a reading follow from its distance to the first, so nothing is searched.
     """
-    size, step = size_seconds * 1_000_000, step_seconds * 1_000_000
-    micros = F.unix_micros(ts)
-    bounds = df.groupBy(station).agg(F.min(micros).alias("_a"), F.max(micros).alias("_b"))
-    placed = null_safe_join(df, settled(bounds), [station], "inner")
-    offset = micros - F.col("_a")
-    first = F.greatest(F.lit(0).cast("long"), F.floor((offset - size) / step).cast("long") + 1)
-    last = F.least(F.floor(offset / step).cast("long"), F.floor((F.col("_b") - F.col("_a") - size) / step).cast("long"))
-    staged = placed.withColumns({"_i": first, "_j": last}).where("_j >= _i")
-    exploded = staged.withColumn("window_id", F.explode(F.sequence("_i", "_j")))
-    start = F.timestamp_micros(F.col("_a") + F.col("window_id") * step)
-    return exploded.withColumn("window_start", start).drop("_a", "_b", "_i", "_j")
+    placed = null_safe_join(df, _bounds(df, station, ts), [station], "inner")
+    return _held(placed, F.unix_micros(ts) - F.col("_a"), size_seconds * 1_000_000, step_seconds * 1_000_000)
 
 
 class SlidingWindows:
     """Settings of a sliding-window table: sizes, the expected rows per window, and the order inside one.
 
-    Windows of up to ``max_rows`` rows may be put in order in one task; larger ones are always spread.
+    Rows are summed up by panes, the stretches of ``gcd(size, step)`` seconds of which every window is a whole number, so
+    what is copied into each window that holds it is one row per pane. Panes of up to ``max_rows`` rows may be put in order in
+    one task, and windows of up to ``max_rows`` rows may be arrays; larger ones are always spread.
     """
 
     def __init__(
@@ -68,109 +64,198 @@ class SlidingWindows:
     def keys(self) -> list[str]:
         return [self.station, "window_id", "window_start"]
 
+    @property
+    def pane(self) -> list[str]:
+        return [self.station, "_pane", "_a", "_b"]
+
     def rows(self, df: DataFrame) -> DataFrame:
         return assign_windows(df, self.size_seconds, self.step_seconds, self.station, self.ts)
 
-    def aggregate(self, rows: DataFrame, *columns: Column) -> DataFrame:
-        """Aggregate per window, keeping windows with enough rows."""
-        out = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"), *columns)
-        return out.where(F.col("_rows") >= self.min_rows).drop("_rows")
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Rows with the number of their pane, and the station's first and last time in microseconds."""
+        width = gcd(self.size_seconds, self.step_seconds) * 1_000_000
+        out = null_safe_join(df, _bounds(df, self.station, self.ts), [self.station], "inner")
+        return out.withColumn("_pane", F.floor((F.unix_micros(self.ts) - F.col("_a")) / width).cast("long"))
 
-    def usable(self, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Rows of the windows with enough rows: those a task can hold, and those it cannot (None if there are none)."""
-        rows = self.rows(df)
-        counts = rows.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_rows"))
-        counts = settled(counts.where(F.col("_rows") >= self.min_rows))
-        chosen = lambda condition: null_safe_join(rows, counts.where(condition).select(*self.keys), self.keys, "left_semi")
-        huge = F.col("_rows") > self.max_rows
-        return chosen(~huge), None if counts.where(huge).isEmpty() else chosen(huge)
-
-    def order_in_task(self, rows: DataFrame, channels: list[str]) -> DataFrame:
-        """Add the position and each channel's previous value; each window is sorted in one task."""
-        line = Window.partitionBy(*self.keys).orderBy(self.ts, *self.tie)
-        added = {"_pos": (F.row_number().over(line) - 1).cast("double")}
-        return rows.withColumns(added | {f"_prev_{c}": F.lag(c).over(line) for c in channels})
-
-    def order_spread(self, rows: DataFrame, channels: list[str]) -> DataFrame:
-        """The same from balanced chunks, for windows that no task can hold."""
-        cdf = with_index(chunked(rows, self.keys, [self.ts, *self.tie]), self.keys, "_pos")
-        spread = with_neighbours(cdf, self.keys, {f"_prev_{c}": c for c in channels})
-        return plain(spread).withColumn("_pos", F.col("_pos").cast("double"))
-
-    def in_order(self, df: DataFrame, channels: list[str]) -> DataFrame:
-        """Rows of the windows with their position and each channel's previous value."""
-        rows, huge = self.usable(df)
-        out = self.order_in_task(rows, channels)
-        return out if huge is None else out.unionByName(self.order_spread(huge, channels))
+    def in_windows(self, panes: DataFrame) -> DataFrame:
+        """One row per pane and window that holds it."""
+        width = gcd(self.size_seconds, self.step_seconds) * 1_000_000
+        return _held(panes, F.col("_pane") * width, self.size_seconds * 1_000_000, self.step_seconds * 1_000_000)
 
+    def aggregate(self, panes: DataFrame, *columns: Column) -> DataFrame:
+        """Aggregate per window over its panes, keeping windows with enough rows (``_n`` of a pane)."""
+        out = self.in_windows(panes).groupBy(*self.keys).agg(F.sum("_n").alias("_rows"), *columns)
+        return out.where(F.col("_rows") >= self.min_rows).drop("_rows")
 
-def sliding_windows(df: DataFrame, spec: SlidingWindows) -> DataFrame:
-    """The windows that hold enough rows, with their row count and end."""
-    counted = spec.aggregate(spec.rows(df), F.count(F.lit(1)).alias("n_rows"))
-    end = F.timestamp_micros(F.unix_micros("window_start") + spec.size_seconds * 1_000_000)
-    return counted.withColumn("window_end", end)
+    def counted(self, placed: DataFrame) -> tuple[DataFrame, int]:
+        """``keys, _rows`` of the windows with enough rows, and the largest of these numbers."""
+        panes = settled(placed.groupBy(*self.pane).agg(F.count(F.lit(1)).alias("_n")))
+        counts = self.in_windows(panes).groupBy(*self.keys).agg(F.sum("_n").alias("_rows")).where(F.col("_rows") >= self.min_rows)
+        return counts, counts.agg(F.max("_rows")).first()[0] or 0
 
+    def huge_rows(self, df: DataFrame, counts: DataFrame) -> DataFrame:
+        """Rows of the windows that no task can hold, with their window."""
+        huge = settled(counts.where(F.col("_rows") > self.max_rows).select(*self.keys))
+        return null_safe_join(self.rows(df), huge, self.keys, "left_semi")
 
-def label_column(label: str = LABEL, share: float = 0.3) -> Column:
-    return (F.avg(label) >= share).cast("int").alias(label)
+    def ordered(self, placed: DataFrame, channels: list[str], spread: bool) -> DataFrame:
+        """Rows with their position in the pane and each channel's previous value there; ``spread`` orders them in balanced chunks."""
+        if spread:
+            cdf = with_index(chunked(placed, self.pane, [self.ts, *self.tie]), self.pane, "_pos")
+            return plain(with_neighbours(cdf, self.pane, {f"_prev_{c}": c for c in channels}))
+        line = Window.partitionBy(*self.pane).orderBy(self.ts, *self.tie)
+        added = {"_pos": F.row_number().over(line) - 1} | {f"_prev_{c}": F.lag(c).over(line) for c in channels}
+        return placed.withColumns(added)
 
 
-def midpoint_column(ts: str = TS) -> Column:
-    low, high = F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))
-    return F.timestamp_micros(low + F.floor((high - low) / 2).cast("long")).alias("midpoint")
+def _bounds(df: DataFrame, station: str, ts: str) -> DataFrame:
+    micros = F.unix_micros(ts)
+    return settled(df.groupBy(station).agg(F.min(micros).alias("_a"), F.max(micros).alias("_b")))
 
 
-def mean_std_columns(channels: list[str]) -> list[Column]:
-    return [x for c in channels for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))]
+def _held(rows: DataFrame, offset: Column, size: int, step: int) -> DataFrame:
+    """Rows at ``offset`` after the station's first time ``_a``, once for each window that holds them."""
+    first = F.greatest(F.lit(0).cast("long"), F.floor((offset - size) / step).cast("long") + 1)
+    last = F.least(F.floor(offset / step).cast("long"), F.floor((F.col("_b") - F.col("_a") - size) / step).cast("long"))
+    staged = rows.withColumns({"_i": first, "_j": last}).where("_j >= _i")
+    exploded = staged.withColumn("window_id", F.explode(F.sequence("_i", "_j")))
+    start = F.timestamp_micros(F.col("_a") + F.col("window_id") * step)
+    return exploded.withColumn("window_start", start).drop("_a", "_b", "_i", "_j")
 
 
-def change_point_columns(channels: list[str]) -> list[Column]:
-    return [
-        F.coalesce(F.max(F.abs(F.col(c) - F.col(f"_prev_{c}"))), F.lit(0.0)).alias(f"{c}_change_point_score") for c in channels
-    ]
+def sliding_windows(df: DataFrame, spec: SlidingWindows) -> DataFrame:
+    """The windows that hold enough rows, with their row count and end."""
+    panes = spec.placed(df).groupBy(*spec.pane).agg(F.count(F.lit(1)).alias("_n"))
+    counted = spec.aggregate(panes, F.sum("_n").alias("n_rows"))
+    end = F.timestamp_micros(F.unix_micros("window_start") + spec.size_seconds * 1_000_000)
+    return counted.withColumn("window_end", end)
 
 
-def skew_columns(channels: list[str]) -> list[Column]:
-    return [
-        F.when(F.stddev_pop(c) > 1e-10, F.skewness(c)).otherwise(F.lit(0.0)).alias(f"{c}_skew") for c in channels
-    ]
+class WindowStatistics:
+    """Statistics of windows from summaries of their panes, merged by the formulas for central moments and co-moments.
 
+    A pane keeps the count, mean, second and third central sums of each channel, its extremes, and where rows are in order the
+    first and last value, the largest step, and the co-moments with the position. The mean of a window is known
+    before its panes are merged, so nothing is lost by subtracting large sums.
+    """
 
-def slope_columns(channels: list[str]) -> list[Column]:
-    return [
-        F.when(F.min(c) == F.max(c), F.lit(0.0)).otherwise(F.coalesce(F.regr_slope(c, "_pos"), F.lit(0.0))).alias(f"{c}_trend_slope")
-        for c in channels
-    ]
+    def __init__(self, spec: SlidingWindows, channels: list[str], ordered: bool = False, label: str | None = None, share: float = 0.3):
+        self.spec, self.channels, self.is_ordered, self.label, self.share = spec, channels, ordered, label, share
+
+    def panes(self, rows: DataFrame, *more: Column) -> DataFrame:
+        ts, out = F.unix_micros(self.spec.ts), [F.count(F.lit(1)).alias("_n")]
+        out += [F.min(ts).alias("_t0"), F.max(ts).alias("_t1")]
+        if self.label:
+            out += [F.sum(self.label).alias("_hits"), F.count(self.label).alias("_known")]
+        for c in self.channels:
+            n, var = F.count(c), F.var_pop(c)
+            cubed = F.coalesce(F.skewness(c), F.lit(0.0)) * F.pow(var, F.lit(1.5)) * n
+            out += [n.alias(f"_n_{c}"), F.avg(c).alias(f"_m_{c}"), (var * n).alias(f"_s2_{c}"), cubed.alias(f"_s3_{c}"), F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}")]
+            if self.is_ordered:
+                pos = F.when(F.col(c).isNotNull(), F.col("_pos").cast("double"))
+                out += [F.avg(pos).alias(f"_pm_{c}"), (F.var_pop(pos) * n).alias(f"_p2_{c}"), (F.covar_pop(c, pos) * n).alias(f"_pc_{c}")]
+                out.append(F.max(F.abs(F.col(c) - F.col(f"_prev_{c}"))).alias(f"_step_{c}"))
+        if self.is_ordered:
+            ends = F.struct(*[F.col(c) for c in self.channels])
+            out += [F.min_by(ends, "_pos").alias("_first"), F.max_by(ends, "_pos").alias("_last")]
+        return rows.groupBy(*self.spec.pane).agg(*out, *more)
+
+    def windows(self, panes: DataFrame) -> DataFrame:
+        """Panes in their windows, with the window's means and, in order, the rows and the value before each pane."""
+        whole = Window.partitionBy(*self.spec.keys)
+        line = whole.orderBy("_pane")
+        rows = self.spec.in_windows(panes).withColumn("_all", F.sum("_n").over(whole)).where(F.col("_all") >= self.spec.min_rows)
+        mean = lambda x, c: F.sum(F.col(f"_n_{c}") * x).over(whole) / F.nullif(F.sum(f"_n_{c}").over(whole), F.lit(0))
+        rows = rows.withColumns({f"_mean_{c}": mean(F.col(f"_m_{c}"), c) for c in self.channels})
+        if self.is_ordered:
+            before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            rows = rows.withColumns({"_before": before, "_prior": F.lag("_last").over(line)})
+            rows = rows.withColumns({f"_place_{c}": F.col("_before") + F.col(f"_pm_{c}") for c in self.channels})
+            rows = rows.withColumns({f"_mid_{c}": mean(F.col(f"_place_{c}"), c) for c in self.channels})
+        return rows
+
+    def _central(self, c: str) -> tuple[Column, Column, Column]:
+        """Rows, and second and third central sums of a channel in the window."""
+        n, d, s2 = F.col(f"_n_{c}"), F.col(f"_m_{c}") - F.col(f"_mean_{c}"), F.col(f"_s2_{c}")
+        return F.sum(n), F.sum(s2 + n * d * d), F.sum(F.col(f"_s3_{c}") + 3 * d * s2 + n * d * d * d)
+
+    def mean_std(self) -> list[Column]:
+        out = []
+        for c in self.channels:
+            n, m2, _ = self._central(c)
+            out += [F.max(f"_mean_{c}").alias(f"{c}_mean"), F.sqrt(m2 / F.nullif(n, F.lit(0))).alias(f"{c}_std")]
+        return out
+
+    def skew(self) -> list[Column]:
+        out = []
+        for c in self.channels:
+            n, m2, m3 = self._central(c)
+            var = m2 / F.nullif(n, F.lit(0))
+            out.append(F.when(F.sqrt(var) > 1e-10, m3 / n / F.pow(var, F.lit(1.5))).otherwise(F.lit(0.0)).alias(f"{c}_skew"))
+        return out
+
+    def change_point(self) -> list[Column]:
+        step = lambda c: F.greatest(f"_step_{c}", F.abs(F.col(f"_first.`{c}`") - F.col(f"_prior.`{c}`")))
+        return [F.coalesce(F.max(step(c)), F.lit(0.0)).alias(f"{c}_change_point_score") for c in self.channels]
+
+    def slope(self) -> list[Column]:
+        out = []
+        for c in self.channels:
+            n, d, e = F.col(f"_n_{c}"), F.col(f"_m_{c}") - F.col(f"_mean_{c}"), F.col(f"_place_{c}") - F.col(f"_mid_{c}")
+            both, position = F.sum(F.col(f"_pc_{c}") + n * d * e), F.sum(F.col(f"_p2_{c}") + n * e * e)
+            flat = F.min(f"_lo_{c}") == F.max(f"_hi_{c}")
+            out.append(F.when(flat, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(both, position), F.lit(0.0))).alias(f"{c}_trend_slope"))
+        return out
+
+    def midpoint(self) -> Column:
+        low, high = F.min("_t0"), F.max("_t1")
+        return F.timestamp_micros(low + F.floor((high - low) / 2).cast("long")).alias("midpoint")
+
+    def labels(self) -> Column:
+        return (F.try_divide(F.sum("_hits"), F.sum("_known")) >= self.share).cast("int").alias(self.label)
+
+    def table(self, df: DataFrame, columns: Callable[[], list[Column]]) -> DataFrame:
+        """The wanted columns of every window with enough rows."""
+        rows = self.spec.placed(df)
+        if self.is_ordered:
+            rows = self.spec.ordered(rows, self.channels, self.spec.counted(rows)[1] > self.spec.max_rows)
+        return self.windows(self.panes(rows)).groupBy(*self.spec.keys).agg(*columns())
 
 
 def window_label(df: DataFrame, spec: SlidingWindows, label: str = LABEL, share: float = 0.3) -> DataFrame:
     """1 when at least ``share`` of the window's rows are anomalous."""
-    return spec.aggregate(spec.rows(df), label_column(label, share))
+    stats = WindowStatistics(spec, [], label=label, share=share)
+    return stats.table(df, lambda: [stats.labels()])
 
 
 def window_midpoint(df: DataFrame, spec: SlidingWindows) -> DataFrame:
     """Midpoint of the first and last row time."""
-    return spec.aggregate(spec.rows(df), midpoint_column(spec.ts))
+    stats = WindowStatistics(spec, [])
+    return stats.table(df, lambda: [stats.midpoint()])
 
 
 def window_mean_std(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Mean and population deviation per channel."""
-    return spec.aggregate(spec.rows(df), *mean_std_columns(channels))
+    stats = WindowStatistics(spec, channels)
+    return stats.table(df, stats.mean_std)
 
 
 def window_change_point(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Largest absolute step between neighbouring rows."""
-    return spec.aggregate(spec.in_order(df, channels), *change_point_columns(channels))
+    stats = WindowStatistics(spec, channels, ordered=True)
+    return stats.table(df, stats.change_point)
 
 
 def window_skew(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Population skewness, 0 for constant windows."""
-    return spec.aggregate(spec.rows(df), *skew_columns(channels))
+    stats = WindowStatistics(spec, channels)
+    return stats.table(df, stats.skew)
 
 
 def window_trend_slope(df: DataFrame, spec: SlidingWindows, channels: list[str]) -> DataFrame:
     """Least-squares slope over the row position, 0 for constant windows."""
-    return spec.aggregate(spec.in_order(df, channels), *slope_columns(channels))
+    stats = WindowStatistics(spec, channels, ordered=True)
+    return stats.table(df, stats.slope)
 
 
 def blocks_with_halo(

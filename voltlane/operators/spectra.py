@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.functions.signals import detrended, filled, ks_distance, magnitude_features, normal_cdf, welch
-from voltlane.operators.series import LABEL, SlidingWindows, change_point_columns, label_column, mean_std_columns, midpoint_column, skew_columns, slope_columns
+from voltlane.operators.series import LABEL, SlidingWindows, WindowStatistics
 from voltlane.plans.ordering import chunked, null_safe_join, plain, quantiles, settled, with_index, with_neighbours, with_running
 
 _FEATURES = [
@@ -136,13 +136,40 @@ def _spread_features(rows: DataFrame, spec: SlidingWindows, channels: list[str],
     return out.drop(*[f"_n_{c}" for c in channels])
 
 
+def _pane_arrays(spec: SlidingWindows, channels: list[str]) -> list[Column]:
+    return [_ordered_values([spec.ts, *spec.tie], c).alias(f"_v_{c}") for c in channels]
+
+
+def _window_arrays(channels: list[str]) -> list[Column]:
+    """The samples of a window from its panes' arrays; a window of more rows than a task can hold gets none."""
+    pieces = lambda c: F.sort_array(F.collect_list(F.struct("_pane", F.col(f"_v_{c}").alias("v"))))
+    return [F.flatten(F.transform(pieces(c), lambda p: p.getField("v"))).alias(f"_a_{c}") for c in channels]
+
+
 def _sampled_features(df: DataFrame, spec: SlidingWindows, channels: list[str], names: list[str], rate: float = 1.0, standardised: bool = False) -> DataFrame:
     """Features of the ordered samples: arrays for windows a task can hold, spread work for the others."""
-    rows, huge = spec.usable(df)
-    order = [spec.ts, *spec.tie]
-    arrays = rows.groupBy(*spec.keys).agg(*[_ordered_values(order, c).alias(f"_a_{c}") for c in channels])
+    placed = spec.placed(df)
+    counts, largest = spec.counted(placed)
+    if largest > spec.max_rows:
+        counts = settled(counts)
+        placed = _of_small_windows(spec, placed, counts)
+    panes = placed.groupBy(*spec.pane).agg(F.count(F.lit(1)).alias("_n"), *_pane_arrays(spec, channels))
+    arrays = spec.in_windows(panes)
+    if largest > spec.max_rows:
+        arrays = null_safe_join(arrays, counts.where(F.col("_rows") <= spec.max_rows).select(*spec.keys), spec.keys, "left_semi")
+    arrays = arrays.groupBy(*spec.keys).agg(F.sum("_n").alias("_rows"), *_window_arrays(channels)).where(F.col("_rows") >= spec.min_rows)
     out = _expand(arrays, spec.keys, channels, names, rate, standardised)
-    return out if huge is None else out.unionByName(_spread_features(huge, spec, channels, names, rate, standardised))
+    if largest <= spec.max_rows:
+        return out
+    return out.unionByName(_spread_features(spec.huge_rows(df, counts), spec, channels, names, rate, standardised))
+
+
+def _of_small_windows(spec: SlidingWindows, placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of the panes that some window of at most ``max_rows`` rows holds, so that no array is longer."""
+    panes = placed.select(*spec.pane).distinct()
+    small = counts.where(F.col("_rows") <= spec.max_rows).select(*spec.keys)
+    held = settled(null_safe_join(spec.in_windows(panes.withColumns({"_a0": F.col("_a"), "_b0": F.col("_b")})), small, spec.keys, "left_semi").select(spec.station, "_pane").distinct())
+    return null_safe_join(placed, held, [spec.station, "_pane"], "left_semi")
 
 
 def window_ks_normal(df: DataFrame, spec: SlidingWindows, channels: list[str], standardised: bool = False) -> DataFrame:
@@ -163,19 +190,17 @@ def window_welch_features(df: DataFrame, spec: SlidingWindows, channels: list[st
 def window_features(
     df: DataFrame, spec: SlidingWindows, channels: list[str], label: str | None = LABEL, rate: float = 1.0
 ) -> DataFrame:
-    """All statistics of every window, native aggregates and sample arrays, from one shuffle of the rows."""
-    native = [*mean_std_columns(channels), *change_point_columns(channels), *skew_columns(channels), *slope_columns(channels)]
-    native.append(midpoint_column(spec.ts))
-    if label:
-        native.append(label_column(label))
-    rows, huge = spec.usable(df)
-    arrays = [_ordered_values([spec.ts, *spec.tie], c).alias(f"_a_{c}") for c in channels]
-    table = spec.order_in_task(rows, channels).groupBy(*spec.keys).agg(*native, *arrays)
-    out = _expand(table, [c for c in table.columns if not c.startswith("_a_")], channels, _FEATURES, rate, False)
-    if huge is None:
-        return out
-    spread = spec.order_spread(huge, channels).groupBy(*spec.keys).agg(*native)
-    return out.unionByName(null_safe_join(spread, _spread_features(huge, spec, channels, _FEATURES, rate, False), spec.keys, "inner"))
+    """All statistics of every window: one shuffle of the rows puts them into panes, with summaries and samples; windows merge these."""
+    stats = WindowStatistics(spec, channels, ordered=True, label=label)
+    native = [*stats.mean_std(), *stats.change_point(), *stats.skew(), *stats.slope(), stats.midpoint(), *([stats.labels()] if label else [])]
+    placed = spec.placed(df)
+    counts, largest = spec.counted(placed)
+    if largest <= spec.max_rows:
+        panes = stats.panes(spec.ordered(placed, channels, False), *_pane_arrays(spec, channels))
+        table = stats.windows(panes).groupBy(*spec.keys).agg(*native, *_window_arrays(channels))
+        return _expand(table, [c for c in table.columns if not c.startswith("_a_")], channels, _FEATURES, rate, False)
+    table = stats.windows(stats.panes(spec.ordered(placed, channels, True))).groupBy(*spec.keys).agg(*native)
+    return null_safe_join(table, settled(_sampled_features(df, spec, channels, _FEATURES, rate)), spec.keys, "inner")
 
 
 # --- spectra of selected windows -------------------------------------------------------------------------------
