@@ -10,6 +10,9 @@ CLASHES = (
 )
 
 LINE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions"
+#: a word and its complement that many hashes modulo a power of two take for equal
+MORSE = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+ESROM = MORSE.translate(str.maketrans("ab", "ba"))
 ODD = [
     (1, None, "de", "web"),
     (2, "", "de", "web"),
@@ -31,6 +34,10 @@ ODD = [
     (None, "a row without an id " * 5, "en", "c"),
     (None, "a row without an id " * 5, "en", "c"),
     (17, LINE + " " + " ".join(f"w{i}" for i in range(200)), "en", "b"),
+    (18, MORSE, "xx", "b"),
+    (19, ESROM, "xx", "b"),
+    (20, f"{MORSE}\n{ESROM}\n{LINE}\n{MORSE}", "xx", "b"),
+    (21, f"{MORSE} one two {MORSE} three four {ESROM} one two {ESROM}", "xx", "b"),
 ]
 
 

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltlane.llm import bpe, exact, mixing, near, packing, pii, quality, repeats, rollups, secrets
+from tests.llm.conftest import ESROM, MORSE
+from voltlane.llm import bpe, common, exact, mixing, near, packing, pii, quality, repeats, rollups, secrets, tokens
 from voltlane.llm.tokens import public_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,6 +87,66 @@ def test_long_repeats_inside_a_document():
     assert (found["longest_repeat"][0], found["n_covered_words"][0]) == (4300, 5000)
 
 
+def test_memory_for_one_long_repetitive_text():
+    """Memory follows the text, not the length of its repeats."""
+    import tracemalloc
+
+    half = " ".join(f"w{i}" for i in range(120_000))
+    text = np.frombuffer(f"{half} {half}".encode(), np.uint8)
+    tracemalloc.start()
+    found = quality.measure(text, np.array([0, len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["longest_repeat"][0] == 120_000 and peak < 80 * len(text)
+
+
+def test_common_prefixes_equal_a_scan():
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(0, 2**63, 3, dtype=np.uint64)[rng.integers(0, 3, 4000)]
+    tokens[2000:2900] = tokens[500:1400]
+    a, b = rng.integers(0, 4000, 500), rng.integers(0, 4000, 500)
+    a[:5], b[:5] = [500, 501, 0, 3999, 1399], [2000, 2001, 3999, 0, 2899]
+    keep = a != b
+    a, b = a[keep], b[keep]
+    for least in (1, 3):
+        want = []
+        for x, y in zip(a, b):
+            n = 0
+            while max(x, y) + n < 4000 and tokens[x + n] == tokens[y + n]:
+                n += 1
+            want.append(n if n >= least else 0)
+        assert quality.common_prefixes(tokens, a, b, least).tolist() == want
+
+
+def test_slices_are_told_apart_by_their_bytes(monkeypatch):
+    word, other = (np.frombuffer(w.encode(), np.uint8) for w in (MORSE, ESROM))
+    data, cuts = np.concatenate([word, other, word]), np.array([0, 1024, 2048, 3072])
+    for which in range(3):
+        a, b, c = common.slice_hash(common.prefix_hash(data, which), cuts[:-1], cuts[1:], which)
+        assert a == c != b
+    real, seen = common.slice_hash, []
+
+    def broken(prefix, starts, ends, which=0):  # every hash is the same with the first base
+        seen.append(which)
+        return real(prefix, starts, ends, which) * np.uint64(which > 0)
+
+    monkeypatch.setattr(common, "slice_hash", broken)
+    first, _, inverse = common.distinct_slices(data, cuts[:-1], cuts[1:])
+    assert seen == [0, 1] and len(first) == 2 and inverse[0] == inverse[2] != inverse[1]
+
+
+def test_cached_words_are_compared_by_their_bytes(monkeypatch):
+    """Words whose hashes agree are encoded each for itself, in one piece and across pieces."""
+    monkeypatch.setattr("voltlane.llm.tokens.slice_hash", lambda prefix, starts, ends, which=0: np.full(len(starts), 7, np.uint64))
+    vocabulary = tokens.vocabulary()
+    vocabulary.specials = []
+    cache = tokens.WordCache(vocabulary)
+    key, ends = np.array([7], np.uint64), np.array([3])
+    cache.add(key, np.array([1, 2]), np.array([0, 2]), np.frombuffer(b"abc", np.uint8), np.array([0]), ends)
+    assert cache.find(key, np.frombuffer(b"abc", np.uint8), np.array([0]), ends) == [0]
+    assert cache.find(key, np.frombuffer(b"abd", np.uint8), np.array([0]), ends) == [-1] and not len(cache.keys)
+
+
 def test_keep_quality_keeps_rows_whole(odd):
     kept = quality.keep_quality(odd)
     assert kept.schema == odd.schema
@@ -423,8 +484,14 @@ def test_rollup_batches_are_idempotent_and_compact(spark, tmp_path):
     want = [("a", "en", "t", 1, 5, 9), ("a", None, "t", 1, 10, 9)]
     columns = ["source", "lang", "tokenizer", "n_docs", "n_tokens", "n_chars"]
     equal(rollups.totals(spark, path), columns, want)
-    rollups.compact(spark, path, str(tmp_path / "compact"), "1-2")
-    equal(rollups.totals(spark, str(tmp_path / "compact")), columns, want)
+    rollups.compact(spark, path)
+    equal(rollups.totals(spark, path), columns, want)
+    # a batch that comes again after compaction is known by its id
+    assert not rollups.commit_batch(path, "1", rollups.signed_changes(inserted=counts))
+    equal(rollups.totals(spark, path), columns, want)
+    assert rollups.commit_batch(path, "3", rollups.signed_changes(inserted=counts.where("doc_id = 3")))
+    rollups.compact(spark, path)
+    equal(rollups.totals(spark, path), columns, [*want, (None, "en", "t", 1, 1, 2)])
 
 
 def test_encoding_round_trip(both, library):

@@ -18,8 +18,8 @@ from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import binary_array, flat, pieces, worker_store
-from voltlane.llm.tokens import Merges, Ragged, WordCache, distinct_words, encode_piece, gather, merges, ship_vocabulary, split_words
+from voltlane.llm.common import binary_array, distinct_slices, flat, pieces, worker_store
+from voltlane.llm.tokens import Merges, Ragged, WordCache, encode_piece, gather, merges, ship_vocabulary, split_words
 from voltlane.session import materialise, shared_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -142,7 +142,7 @@ def word_counts(docs: DataFrame, shipped) -> DataFrame:
             bounds, _ = split_words(data, offsets, shipped.value)
             if len(bounds) < 2:
                 continue
-            first, _, inverse = distinct_words(data, bounds)
+            first, _, inverse = distinct_slices(data, bounds[:-1], bounds[1:])
             n = np.bincount(inverse, minlength=len(first))
             # no room for longer ones in a lexicon of frequent words
             short = np.flatnonzero(bounds[first + 1] - bounds[first] <= LONGEST_WORD)

@@ -18,7 +18,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE_BYTES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+PRIME = (1 << 61) - 1
+_LOW = np.uint64((1 << 31) - 1)
+_ROLL = 0x9E3779B97F4A7C15
+#: slices beyond this many bytes are summed in parts, so that no sum passes 64 bits
+_LONGEST = 1 << 23
 
 
 def worker_store(name: str) -> dict:
@@ -80,33 +84,115 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime 2**61 - 1, by halves of 31 bits, as 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW, b >> np.uint64(31), b & _LOW
+    middle = a1 * b0 + a0 * b1
+    whole = ((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0
+    return _reduced(whole)
+
+
+def _base(which: int) -> int:
+    from hashlib import sha256
+
+    return int.from_bytes(sha256(f"slices {which}".encode()).digest()[:8], "big") % (PRIME - 2) + 2
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, modulo the prime."""
     store = worker_store("powers")
     have = store.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        base = _BASES[which]
-        store[which] = have = tuple(
-            np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(b))]), dtype=np.uint64)
-            for b in (base, pow(base, -1, 1 << 64))
-        )
+        size, out = max(n, 1 << 16), []
+        for base in (_base(which), pow(_base(which), -1, PRIME)):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, times(table, np.full(1, pow(base, len(table), PRIME), np.uint64))])
+            out.append(table)
+        store[which] = have = tuple(out)
     return have
 
 
 def prefix_hash(data: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial hash modulo 2**64 with ``n + 1`` entries, for ``slice_hash``."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    terms = data.astype(np.uint64)
-    terms += np.uint64(1)
-    terms *= _powers(len(data) + 1, which)[0][: len(data)]
-    np.cumsum(terms, out=total[1:])
+    """Running sums of a polynomial in the bytes, in two halves of its coefficients, for ``slice_hash``."""
+    total = np.zeros((2, len(data) + 1), np.uint64)
+    powers, digits = _powers(len(data) + 1, which)[0][: len(data)], data.astype(np.uint64)
+    digits += np.uint64(1)
+    np.cumsum(digits * (powers & _LOW), out=total[0, 1:])
+    np.cumsum(digits * (powers >> np.uint64(31)), out=total[1, 1:])
+    return total
+
+
+def token_prefix(tokens: np.ndarray) -> np.ndarray:
+    """The same over 64-bit tokens instead of bytes."""
+    total = np.zeros((2, len(tokens) + 1), np.uint64)
+    terms = times(_reduced(tokens), _powers(len(tokens) + 1, 0)[0][: len(tokens)])
+    np.cumsum(terms & _LOW, out=total[0, 1:])
+    np.cumsum(terms >> np.uint64(31), out=total[1, 1:])
     return total
 
 
 def slice_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the slices ``[start, end)``: equal bytes have equal hashes wherever they stand."""
-    inverse = _powers(len(prefix), which)[1]
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts])
+    """Hashes of the slices ``[start, end)``: a polynomial modulo 2**61 - 1, equal for equal bytes wherever they stand.
+
+    Two different slices of n bytes agree for n of 2**61 bases.
+    """
+    starts, ends = np.asarray(starts), np.asarray(ends)
+    value, begin = np.zeros(len(starts), np.uint64), starts
+    for _ in range(max(1, -(-int((ends - starts).max(initial=0)) // _LONGEST))):
+        stop = np.minimum(ends, begin + _LONGEST)
+        low, high = (_reduced(part[stop] - part[begin]) for part in prefix)
+        value = _reduced(value + _reduced(low + times(high, np.full(1, 1 << 31, np.uint64))))
+        begin = stop
+    return mix(times(value, _powers(prefix.shape[1], which)[1][starts]))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether slices of ``data`` have the bytes of slices of ``other``, compared in parts of about 1 MB."""
+    lengths = ends - starts
+    same = lengths == other_ends - other_starts
+    todo = np.flatnonzero(same & ((starts != other_starts) | (data is not other)) & (lengths > 0))
+    for i in todo[lengths[todo] > PIECE_BYTES]:
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[other_starts[i] : other_ends[i]])
+    todo = todo[lengths[todo] <= PIECE_BYTES]
+    upto = np.concatenate([[0], np.cumsum(lengths[todo])])
+    for at in range(0, int(upto[-1]), PIECE_BYTES):
+        part = todo[np.searchsorted(upto[:-1], at) : np.searchsorted(upto[:-1], at + PIECE_BYTES)]
+        size = lengths[part]
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        differ = data[np.repeat(starts[part], size) + place] != other[np.repeat(other_starts[part], size) + place]
+        if differ.any():
+            same[part[np.repeat(np.arange(len(part)), size)[differ]]] = False
+    return same
+
+
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One slice of each content, its 64-bit key in ascending order, and which of them every slice equals.
+
+    Slices with one key are compared byte by byte; should two of them differ, another base is taken.
+    """
+    which = 0
+    while True:
+        keys, first, inverse = np.unique(slice_hash(prefix_hash(data, which), starts, ends, which), return_index=True, return_inverse=True)
+        if same_bytes(data, starts, ends, data, starts[first[inverse]], ends[first[inverse]]).all():
+            return first, keys, inverse
+        which += 1
+
+
+def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """A cheap hash of every window of ``size`` bytes, to choose among windows by; it doesn't stand for their content."""
+    n = max(len(data) - size + 1, 0)
+    base, inverse = np.uint64(_ROLL), np.uint64(pow(_ROLL, -1, 1 << 64))
+    powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), b)]), dtype=np.uint64)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base)[:-1], out=total[1:])
+    return mix((total[size:] - total[: n]) * powers(inverse)[:n]) if n else np.zeros(0, np.uint64)
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -104,9 +104,9 @@ def _round_group(seed: int, last: bool):
 
 
 def copies(rows: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: float = 2.0, seed: int = SEED, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
-    """For written ``row, doc_id, source, size`` rows: their number of copies, and the source table.
+    """For written ``row, doc_id, source, size, mark`` rows: their number of copies, and the source table.
 
-    The result has ``row, doc_id, rank, size, n`` with ``n`` between 0 and ``ceil(limit)``. Equal input gives equal output:
+    ``mark`` deals rows without an id, or with one id, to chunks as well. The result has ``row, doc_id, rank, size, n`` with ``n`` between 0 and ``ceil(limit)``. Equal input gives equal output:
     all draws are hashes of the ids.
     """
     targets = materialise(source_targets(rows, weights, share, limit), "targets")
@@ -117,7 +117,7 @@ def copies(rows: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: flo
     n_chunks = F.ceil(F.col("n_docs") / F.lit(chunk_rows))
     joined = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
         "row", F.col("doc_id").cast("long").alias("doc_id"), "rank",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), n_chunks).cast("long").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), n_chunks).cast("long").alias("chunk"),
         "size", F.floor(rate).cast("long").alias("base"), (rate - F.floor(rate)).alias("p"),
     )
     done, chunks, step = [], -(-most // chunk_rows), 0
@@ -137,7 +137,7 @@ def copies(rows: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, limit: flo
 
 
 def _sized(docs: DataFrame, row) -> DataFrame:
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
 
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from voltlane.llm.common import flat, mix, owner, pieces, prefix_hash, slice_hash, sums, word_bounds
+from voltlane.llm.common import distinct_slices, flat, mix, owner, pieces, slice_hash, sums, token_prefix, word_bounds
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,11 +25,10 @@ MIN_REPEAT_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.3, 100
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, … words, until no two suffixes of a document are equal.
+def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of all suffixes in their order, by ranks of their first 1, 2, 4, … words.
 
-    ``tokens`` are keys that differ between documents. A suffix that ends sorts first. In the last entry all ranks
-    differ, so it is the inverse suffix array.
+    ``tokens`` are keys that differ between documents. A suffix that ends sorts first. Only the last ranks are kept.
     """
     n = len(tokens)
     order = np.argsort(tokens, kind="stable")
@@ -37,7 +36,7 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
     head = np.concatenate([[True], s[1:] != s[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))  # a group's rank is where it begins
-    levels, step = [rank.copy()], 1
+    step = 1
     single = head & np.concatenate([head[1:], [True]])
     active = order[~single]
     while len(active):
@@ -45,8 +44,8 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
         inside = ahead < n
         inside[inside] = doc[ahead[inside]] == doc[active[inside]]
         second = np.full(len(active), -1, np.int64)
-        second[inside] = levels[-1][ahead[inside]]
-        first = levels[-1][active]
+        second[inside] = rank[ahead[inside]]
+        first = rank[active]
         by = np.lexsort((second, first))
         active, first, second = active[by], first[by], second[by]
         new_group = np.concatenate([[True], first[1:] != first[:-1]])
@@ -54,37 +53,56 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
         index = np.arange(len(active))
         base = np.maximum.accumulate(np.where(new_group, index, 0))
         rank[active] = first + np.maximum.accumulate(np.where(new, index, 0)) - base
-        levels.append(rank.copy())
         active = active[~(new & np.concatenate([new[1:], [True]]))]
         step *= 2
-    return levels
+    return rank
+
+
+def common_prefixes(tokens: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Words that the suffixes at ``a`` and ``b`` share, 0 if fewer than ``least``: by hashes of 2**k words, longest first.
+
+    Suffixes of one document never agree beyond its end, as tokens differ between documents.
+    """
+    n, prefix = len(tokens), token_prefix(tokens)
+    common = np.zeros(len(a), np.int64)
+
+    def agree(at: np.ndarray, more: int) -> np.ndarray:
+        x, y = a[at] + common[at], b[at] + common[at]
+        ok = np.maximum(x, y) + more <= n
+        ok[ok] = slice_hash(prefix, x[ok], x[ok] + more) == slice_hash(prefix, y[ok], y[ok] + more)
+        return ok
+
+    live = np.arange(len(a))
+    live = live[agree(live, least)]
+    common[live] = least
+    grow, k = live, 0  # pairs that agree on 2**k words more go on to the next power
+    reach = np.zeros(len(a), np.int64)
+    while len(grow):
+        ok = agree(grow, 1 << k)
+        common[grow[ok]] += 1 << k
+        reach[grow[ok]] = k + 1
+        grow, k = grow[ok], k + 1
+    for k in range(int(reach.max(initial=0)), -1, -1):
+        some = live[reach[live] >= k]
+        ok = agree(some, 1 << k)
+        common[some[ok]] += 1 << k
+    return common
 
 
 def longest_repeats(tokens: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
     """For each word the length of the longest repeat of at least ``least`` words that starts there, else 0.
 
-    Two neighbours of the suffix array share exactly the longest common prefix of the interval between them; it is
-    read off the doubling levels from the longest down.
+    Two neighbours of the suffix array share exactly the longest common prefix of the interval between them.
     """
-    n = len(tokens)
+    n, least = len(tokens), max(least, 1)
     found = np.zeros(n, np.int64)
     if n < 2:
         return found
-    levels = suffix_ranks(tokens, doc)
     array = np.empty(n, np.int64)
-    array[levels[-1]] = np.arange(n)
-    low = min(max(least, 1).bit_length() - 1, len(levels) - 1)
-    grouped = levels[low][array]
-    at = np.flatnonzero(grouped[1:] == grouped[:-1])  # neighbours that share 2**low words at least
+    array[suffix_ranks(tokens, doc)] = np.arange(n)
+    at = np.flatnonzero(tokens[array[1:]] == tokens[array[:-1]])
     left, right = array[at], array[at + 1]
-    a, b, common = left.copy(), right.copy(), np.zeros(len(at), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        ok = (a < n) & (b < n)
-        ok[ok] = levels[k][a[ok]] == levels[k][b[ok]]
-        a[ok] += 1 << k
-        b[ok] += 1 << k
-        common[ok] += 1 << k
-    common[common < least] = 0
+    common = common_prefixes(tokens, left, right, least)
     np.maximum.at(found, left, common)
     np.maximum.at(found, right, common)
     return found
@@ -104,7 +122,6 @@ def measure(data: np.ndarray, offsets: np.ndarray, least: int = MIN_REPEAT_WORDS
     symbol[list(SYMBOLS)] = True
     out["n_symbols"] = sums(symbol[data], offsets)
 
-    prefix = prefix_hash(data)
     salt = mix(np.arange(1, n_docs + 1, dtype=np.uint64))
     # lines: from a document's start or a \n to the next \n or the document's end
     breaks = np.flatnonzero(data == 10)
@@ -117,13 +134,15 @@ def measure(data: np.ndarray, offsets: np.ndarray, least: int = MIN_REPEAT_WORDS
     wordy = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[wordy], line_ends[wordy]
     line_doc = owner(line_starts, offsets)
-    lines = slice_hash(prefix, line_starts, line_ends) + salt[line_doc]
+    _, keys, which = distinct_slices(data, line_starts, line_ends)
+    lines = keys[which] + salt[line_doc]
     by = np.lexsort((line_starts, lines))
     again = np.zeros(len(by), bool)
     again[1:] = lines[by][1:] == lines[by][:-1]
     out["n_dup_lines"] = np.bincount(line_doc[by][again], minlength=n_docs)
 
-    tokens = mix(slice_hash(prefix, starts, ends) + salt[doc])
+    _, keys, which = distinct_slices(data, starts, ends)
+    tokens = mix(keys[which] + salt[doc])
     covered = np.zeros(len(tokens), bool)
     if len(tokens) > 2:
         whole = doc[2:] == doc[:-2]

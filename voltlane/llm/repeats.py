@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import flat, mix, owner, prefix_hash, size_hint, slice_hash, sums
+from voltlane.llm.common import flat, mix, owner, prefix_hash, rolling_hash, size_hint, slice_hash, sums
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,9 +50,7 @@ def minimizers(data: np.ndarray, seed: int, length: int) -> np.ndarray:
     """For every window of ``length`` bytes the least hash of its substrings of ``seed`` bytes, scrambled."""
     if len(data) < length:
         return np.zeros(0, np.uint64)
-    prefix = prefix_hash(data)
-    at = np.arange(len(data) - seed + 1)
-    return mix(sliding_min(slice_hash(prefix, at, at + seed), length - seed + 1))
+    return mix(sliding_min(rolling_hash(data, seed), length - seed + 1))
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -410,7 +408,7 @@ def _shipments(docs: DataFrame, length: int, group_bytes: int | None, shard_byte
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # equal rows get equal numbers, which is all the order within a group needs
     row = F.xxhash64("doc_id", "text")
-    grouped = texts.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("long").alias("group"), row.alias("row"), "doc_id", "text")
+    grouped = texts.select(F.pmod(F.when(F.col("doc_id").isNull(), row).otherwise(F.xxhash64("doc_id")), F.lit(n_groups)).cast("long").alias("group"), row.alias("row"), "doc_id", "text")
 
     def fingerprints(key: tuple, table: pa.Table) -> pa.Table:
         g = key[0].as_py()

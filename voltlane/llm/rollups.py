@@ -1,14 +1,19 @@
 """Token counts by source, language and tokenizer version, kept up to date by signed changes.
 
 A batch brings changes of documents: an insert adds its counts, a delete takes them away, and a revised count does
-both. Totals are additive, so a batch is summed first and then added; nothing already counted is read again. Every
-batch is committed under its own key as a table of partial sums: writing a batch again replaces the same table, so a
-batch that is retried, or delivered twice, counts once.
+both. Totals are additive, so a batch is summed first and then added; nothing already counted is read again.
+
+A ledger names the tables of sums that count, each with the ids of the batches in it. A commit writes its table aside and
+then puts a new ledger in the place of the old one by a rename, so readers and lost drivers see it whole or not at all. A batch
+that is delivered again replaces its table; once it is compacted with others it is known by its id and left out. So
+every batch counts once, however often it comes.
 """
 
 from __future__ import annotations
 
+import json
 import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,28 +77,78 @@ def batch_sums(changes: DataFrame) -> DataFrame:
     return counted.where(" OR ".join(f"{c} <> 0" for c in COUNTS))
 
 
-def commit_batch(path: str, batch_id: str, changes: DataFrame) -> None:
-    """Write a batch's sums under its id; committing the same id again replaces them."""
-    batch_sums(changes).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+class Ledger:
+    """Which tables below a folder count: ``[{"table": name, "ids": [batch ids]}]`` in one small file."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.of = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self.files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.of("").toUri(), conf)
+        self.store = self.of("").getFileSystem(conf)
+
+    def entries(self) -> list[dict]:
+        if not self.store.exists(self.of("_ledger")):
+            return []
+        stream = self.store.open(self.of("_ledger"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def replace(self, entries: list[dict]) -> None:
+        aside = f"_ledger-{uuid.uuid4().hex}"
+        stream = self.store.create(self.of(aside))
+        try:
+            stream.write(bytearray(json.dumps(entries).encode()))
+        finally:
+            stream.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        self.files.rename(self.of(aside), self.of("_ledger"), options)
+
+    def write(self, sums_: DataFrame) -> str:
+        name = f"sums-{uuid.uuid4().hex}"
+        sums_.write.parquet(f"{self.path}/{name}")
+        return name
+
+
+def commit_batch(path: str, batch_id: str, changes: DataFrame) -> bool:
+    """Commit a batch's sums under its id; whether it counts anew. The same id again replaces them, and one that was compacted does nothing.
+
+    One writer at a time: the ledger is replaced, not merged.
+    """
+    ledger = Ledger(changes.sparkSession, path)
+    entries = ledger.entries()
+    if any(batch_id in e["ids"] for e in entries if e.get("compact")):
+        return False
+    table = ledger.write(batch_sums(changes))
+    ledger.replace([e for e in entries if e["ids"] != [batch_id]] + [{"table": table, "ids": [batch_id]}])
+    return True
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """The totals of all committed batches; keys without documents are left out."""
-    batches = spark.read.schema(SUMS + ", batch string").parquet(path)
+    tables = [f"{path.rstrip('/')}/{e['table']}" for e in Ledger(spark, path).entries()]
+    batches = spark.read.schema(SUMS).parquet(*tables) if tables else spark.createDataFrame([], SUMS)
     summed = batches.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in COUNTS])
     return summed.where(" OR ".join(f"{c} <> 0" for c in COUNTS))
 
 
-def compact(spark: SparkSession, path: str, target: str, batch_id: str) -> None:
-    """Put the sums of all batches below ``path`` into one batch of another folder."""
-    totals(spark, path).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+def compact(spark: SparkSession, path: str) -> None:
+    """Put the sums of all batches into one table, which keeps their ids. The old tables stay until their readers are done."""
+    ledger = Ledger(spark, path)
+    ids = [i for e in ledger.entries() for i in e["ids"]]
+    ledger.replace([{"table": ledger.write(totals(spark, path)), "ids": ids, "compact": True}])
 
 
 def maintained_totals(docs: DataFrame, *, tokenizer_path: str | None = None) -> DataFrame:
     """Totals over all documents, brought about by changes: ``source, lang, tokenizer`` and the three sums.
 
     All documents come in with their number of characters as a first count, which is then revised, twice under one
-    key as a retry would; documents with odd ids are deleted and come in again. An empty table gives no rows; repeated
+    key as a retry would; documents with odd ids are deleted, the batches are compacted, the deletion is delivered once more, and
+    the documents come in again. An empty table gives no rows; repeated
     rows count as often as they occur; a null or empty text adds a document without tokens.
     """
     spark = docs.sparkSession
@@ -105,5 +160,7 @@ def maintained_totals(docs: DataFrame, *, tokenizer_path: str | None = None) ->
     for _ in range(2):
         commit_batch(path, "0002", signed_changes(revised=(first, counts)))
     commit_batch(path, "0003", signed_changes(deleted=odd))
-    commit_batch(path, "0004", signed_changes(inserted=odd))
+    compact(spark, path)
+    for again in ("0003", "0004"):
+        commit_batch(path, again, signed_changes(deleted=odd) if again == "0003" else signed_changes(inserted=odd))
     return totals(spark, path)

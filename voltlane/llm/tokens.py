@@ -17,12 +17,13 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-from voltlane.llm.common import prefix_hash, slice_hash, worker_store
+from voltlane.llm.common import PIECE_BYTES, distinct_slices, prefix_hash, same_bytes, slice_hash, worker_store
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 CACHED_WORDS = 1_000_000
+MOST_IDS = (1 << 16) - 1
 Ragged = tuple[np.ndarray, np.ndarray]
 
 
@@ -38,6 +39,8 @@ def vocabulary(path: str | None = None) -> SimpleNamespace:
     Plain values only: broadcasts are unpickled by executors that may lack this package.
     """
     raw = Path(path or public_vocabulary()).read_bytes()
+    if max(json.loads(raw)["model"]["vocab"].values()) > MOST_IDS:
+        raise ValueError(f"ids are kept in 16 bits: a vocabulary may have ids up to {MOST_IDS}")
     specials = [(t["content"].encode(), t["id"]) for t in json.loads(raw)["added_tokens"]]
     return SimpleNamespace(raw=raw, specials=specials, classes=character_classes())
 
@@ -147,22 +150,8 @@ def gather(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> Ragged:
     return values[index], ends
 
 
-def distinct_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One occurrence of each distinct word, its 64-bit hash, and which of them every word is.
-
-    A second hash tells whether two different words share the first; then both are used together.
-    """
-    a, b = bounds[:-1], bounds[1:]
-    keys, check = slice_hash(prefix_hash(data), a, b), slice_hash(prefix_hash(data, 1), a, b, 1)
-    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    if (check[first[inverse]] != check).any():
-        keys = keys ^ (check * np.uint64(0x9E3779B97F4A7C15))
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return first, unique, inverse
-
-
 class WordCache:
-    """Ids of words met before, by hash and length, in sorted arrays of bounded size."""
+    """Ids and bytes of words met before, by hash in sorted arrays of bounded size; a hit is one only if the bytes are equal."""
 
     def __init__(self, vocabulary: SimpleNamespace, limit: int = CACHED_WORDS):
         self.limit, self.vocabulary = limit, vocabulary
@@ -171,25 +160,41 @@ class WordCache:
     def _empty(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.offsets = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.text, self.text_offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         for content, number in self.vocabulary.specials:
             word = np.frombuffer(content, np.uint8)
-            key = slice_hash(prefix_hash(word), np.array([0]), np.array([len(word)]))
-            self.add(key, np.array([number]), np.array([0, 1]))
+            ends = np.array([len(word)])
+            key = slice_hash(prefix_hash(word), np.array([0]), ends)
+            self.add(key, np.array([number]), np.array([0, 1]), word, np.array([0]), ends)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
+    def full(self, words: int, size: int) -> bool:
+        return len(self.keys) + words > self.limit or len(self.text) + size > 64 * PIECE_BYTES
+
+    def find(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of the words, -1 where there is none. A key with other bytes empties the cache."""
         if not len(self.keys):
             return np.full(len(keys), -1, np.int64)
-        return np.where(self.keys[at] == keys, self.rows[at], -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        rows = np.where(self.keys[at] == keys, self.rows[at], -1)
+        hit = np.flatnonzero(rows >= 0)
+        if not same_bytes(data, starts[hit], ends[hit], self.text, self.text_offsets[rows[hit]], self.text_offsets[rows[hit] + 1]).all():
+            self._empty()
+            rows[:] = -1
+        return rows
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Add sorted new keys; the rows they got."""
         rows = np.arange(len(keys)) + len(self.offsets) - 1
         where = np.searchsorted(self.keys, keys)
         self.keys, self.rows = np.insert(self.keys, where, keys), np.insert(self.rows, where, rows)
         self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
         self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+        lengths = ends - starts
+        upto = np.cumsum(lengths)
+        index = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - upto + lengths, lengths)
+        self.text = np.concatenate([self.text, data[index]])
+        self.text_offsets = np.concatenate([self.text_offsets, upto + self.text_offsets[-1]])
         return rows
 
 
@@ -198,19 +203,18 @@ def encode_piece(data: np.ndarray, offsets: np.ndarray, new_words: Callable[[np.
     bounds, doc_words = split_words(data, offsets, cache.vocabulary)
     if len(bounds) < 2:
         return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
-    first, keys, inverse = distinct_words(data, bounds)
-    rows = cache.find(keys)
+    first, keys, inverse = distinct_slices(data, bounds[:-1], bounds[1:])
+    starts, ends = bounds[first], bounds[first + 1]
+    rows = cache.find(keys, data, starts, ends)
+    if cache.full((rows < 0).sum(), (ends - starts)[rows < 0].sum()):  # it starts anew: encode what it forgets again
+        cache._empty()
+        rows = cache.find(keys, data, starts, ends)
     missing = np.flatnonzero(rows < 0)
     if len(missing):
-        ids, ends = new_words(data, bounds[first[missing]], bounds[first[missing] + 1])
-        if len(cache.keys) + len(missing) > cache.limit:  # the cache will start anew: encode what it forgets again
-            cache._empty()
-            rows = cache.find(keys)
-            missing = np.flatnonzero(rows < 0)
-            ids, ends = new_words(data, bounds[first[missing]], bounds[first[missing] + 1])
-        rows[missing] = cache.add(keys[missing], ids, ends)
-    flat_ids, ends = gather(cache.ids, cache.offsets, rows[inverse])
-    return flat_ids, ends[doc_words]
+        ids, upto = new_words(data, starts[missing], ends[missing])
+        rows[missing] = cache.add(keys[missing], ids, upto, data, starts[missing], ends[missing])
+    flat_ids, upto = gather(cache.ids, cache.offsets, rows[inverse])
+    return flat_ids, upto[doc_words]
 
 
 def library_words(raw: bytes) -> Callable[[np.ndarray, np.ndarray, np.ndarray], Ragged]:
