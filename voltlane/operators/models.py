@@ -50,17 +50,68 @@ def fit_random_forest(
     ).fit(rows)
 
 
+BOOSTING = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8}
+FIRST_ROUNDS, PATIENCE = 64, 30
+
+
+def stopped(losses: list[float], patience: int) -> tuple[int, int | None]:
+    """Best round so far (from 0), and the round at which ``patience`` rounds have passed without a better one, if there is one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best, i
+    return best, None
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` trees."""
+    context = model._java_obj
+    sc = SparkSession.active().sparkContext
+    jvm, new = sc._jvm, sc._gateway.new_array
+    trees, weights = new(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n), new(jvm.double, n)
+    every = context.trees()
+    for i in range(n):
+        trees[i], weights[i] = every[i], float(model.treeWeights[i])
+    cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2))
+    return cut._resetUid(model.uid)._set(**{p.name: model.getOrDefault(p) for p in model.params if model.isSet(p)})
+
+
+def boost_with_patience(
+    train: DataFrame, features: list[str], validation: DataFrame, label: str = LABEL, positive_weight: float = 1.0, seed: int = 42,
+    patience: int = PATIENCE, **params,
+) -> tuple[GBTClassificationModel, list[float]]:
+    """Boosted trees up to the round with the least validation loss, and the loss after each round that was looked at.
+
+    Boosting goes on until ``patience`` rounds bring no better loss or ``maxIter`` rounds are done. A fit cannot be taken up
+    again, but its rounds do not depend on how many follow, so it is repeated with twice the rounds until it has gone far
+    enough: less than twice the work of the last fit. One pass over the validation rows gives the losses of all rounds.
+    """
+    settings = {**BOOSTING, **params}
+    most = settings.pop("maxIter")
+    rows = materialise(assemble(with_class_weight(train, label, {0: 1.0, 1: positive_weight}), features).select("_features", "_weight", label), "train")
+    held = assemble(validation, features).select("_features", label, F.lit(1.0).alias("_weight"))
+    held = materialise(held, "validation")
+    rounds = min(most, max(FIRST_ROUNDS, patience + 1))
+    while True:
+        model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed, maxIter=rounds, **settings).fit(rows)
+        losses = list(model.evaluateEachIteration(held))
+        best, end = stopped(losses, patience)
+        if end is not None or rounds == most:
+            return first_trees(model, best + 1), losses[: (len(losses) if end is None else end + 1)]
+        rounds = min(most, 2 * rounds)
+
+
 def fit_boosted_trees(
     train: DataFrame, features: list[str], validation: DataFrame | None = None, label: str = LABEL,
-    positive_weight: float = 1.0, seed: int = 42, **params,
+    positive_weight: float = 1.0, seed: int = 42, patience: int = PATIENCE, **params,
 ) -> GBTClassificationModel:
-    """Boosted trees with a weight on positives; with validation rows the iterations stop early."""
-    settings = {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, **params}
+    """Boosted trees with a weight on positives, up to 300 rounds; with validation rows they end at the best round, see ``boost_with_patience``."""
     if validation is not None:
-        train = train.withColumn("_validation", F.lit(False)).unionByName(validation.withColumn("_validation", F.lit(True)))
-        settings["validationIndicatorCol"] = "_validation"
+        return boost_with_patience(train, features, validation, label, positive_weight, seed, patience, **params)[0]
     rows = assemble(with_class_weight(train, label, {0: 1.0, 1: positive_weight}), features)
-    return GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed, **settings).fit(rows)
+    return GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed, **{**BOOSTING, **params}).fit(rows)
 
 
 def fit_linear(train: DataFrame, features: list[str], label: str = LABEL, **params) -> dict[str, float]:
