@@ -1,5 +1,6 @@
 """Hand-written frames for the quirks and edges of the operators."""
 
+import itertools
 import math
 from datetime import datetime, timedelta
 
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from voltlane.functions.columns import title_case
 from voltlane.functions import signals
-from voltlane.operators import cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
+from voltlane.operators import attributions, cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
 from voltlane.plans.joins import IntervalTree, interval_join
-from voltlane.sources import readers
+from voltlane.sources import catalogue, readers
 from voltlane.streaming import operators as streaming
 
 T0 = datetime(2024, 1, 1)
@@ -287,6 +288,78 @@ def test_huge_windows_give_the_same_features(spark):
             assert list(a[column]) == list(b[column]), column
 
 
+def brute_shapley(nodes, x):
+    """Mean effect of each feature of one row over all orders, by the expectation of the trees with some features known."""
+    n = len(x)
+
+    def expected(rows, at, known):
+        r = rows[at]
+        if r["leftChild"] < 0:
+            return r["value"]
+        left, right = r["leftChild"], r["rightChild"]
+        if r["featureIndex"] in known:
+            return expected(rows, left if x[r["featureIndex"]] <= r["cut"] else right, known)
+        return (rows[left]["cover"] * expected(rows, left, known) + rows[right]["cover"] * expected(rows, right, known)) / r["cover"]
+
+    value = {s: sum(expected(rows, 0, set(s)) for rows in nodes) for k in range(n + 1) for s in itertools.combinations(range(n), k)}
+    out = []
+    for j in range(n):
+        others = [i for i in range(n) if i != j]
+        out.append(sum(
+            math.factorial(k) * math.factorial(n - k - 1) / math.factorial(n) * (value[tuple(sorted((*s, j)))] - value[s])
+            for k in range(n) for s in itertools.combinations(others, k)
+        ))
+    return out, value[()]
+
+
+def test_tree_attributions_equal_brute_force_and_add_up(spark):
+    rng = np.random.default_rng(31)
+    x = rng.integers(0, 8, (300, 4)).astype(float)
+    x[rng.random(300) < 0.05, 3] = np.nan
+    y = ((x[:, 0] > 3) & (x[:, 1] < 5)) ^ (rng.random(300) < 0.1)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(*map(float, r), int(t), i) for i, (r, t) in enumerate(zip(x, y))], "a double, b double, c double, d double, label int, i int")
+    whole = df.where("NOT isnan(d)")  # missing values are predicted, but not fitted
+    for model in (models.fit_boosted_trees(whole, names, maxIter=6, maxDepth=4), models.fit_random_forest(whole, names, numTrees=5, maxDepth=5)):
+        boosted = hasattr(model, "evaluateEachIteration")
+        got = attributions.tree_attributions(model, df, names)
+        out = models.predict(model, got, names).withColumn("margin", F.log(F.col("score") / (1 - F.col("score"))) / 2)
+        rows = out.orderBy("i").toPandas()
+        total = rows[[f"{f}_contribution" for f in names]].sum(axis=1) + rows["base"]
+        np.testing.assert_allclose(total, rows["margin" if boosted else "score"], atol=1e-9)
+        nodes = []
+        for tree, part in attributions.stored_nodes(model, spark).groupby("treeID"):
+            w = model.treeWeights[tree] if boosted else 1 / model.getNumTrees
+            keep = {}
+            for r in part.itertuples():
+                s = r.impurityStats
+                keep[r.id] = {"leftChild": r.leftChild, "rightChild": r.rightChild, "featureIndex": r.featureIndex, "cover": s[0] if boosted else sum(s),
+                              "cut": r.leftCategoriesOrThreshold[0] if r.leftChild >= 0 else None, "value": w * (r.prediction if boosted else s[1] / sum(s))}
+            nodes.append(keep)
+        for i in (0, 7, 100, int(np.flatnonzero(np.isnan(x[:, 3]))[0])):
+            want, base = brute_shapley(nodes, x[i])
+            np.testing.assert_allclose(rows.loc[i, [f"{f}_contribution" for f in names]].astype(float), want, atol=1e-9)
+            np.testing.assert_allclose(rows.loc[i, "base"], base, atol=1e-9)
+
+
+def test_boosting_goes_on_until_patience_ends_and_keeps_the_best_rounds(spark, monkeypatch):
+    assert models.stopped([3, 2, 2.5, 2.4, 1.9, 2], 3) == (4, None)
+    assert models.stopped([3, 2, 2.5, 2.4, 2.2, 1], 3) == (1, 4)
+    rng = np.random.default_rng(33)
+    x = rng.normal(size=(600, 2))
+    y = x.sum(1) + 0.5 * rng.normal(size=600) > 0
+    df = spark.createDataFrame([(float(a), float(b), int(t), i) for i, ((a, b), t) in enumerate(zip(x, y))], "a double, b double, label int, i int")
+    train, held = df.where("i < 400"), df.where("i >= 400")
+    monkeypatch.setattr(models, "FIRST_ROUNDS", 4)
+    model, losses = models.boost_with_patience(train, ["a", "b"], held, patience=3, maxIter=20, maxDepth=2, stepSize=0.4, subsamplingRate=1.0)
+    best = int(np.argmin(losses))
+    assert model.getNumTrees == best + 1 and (len(losses) == best + 4 or len(losses) == 20) and len(losses) > 4
+    whole = models.fit_boosted_trees(train, ["a", "b"], maxIter=best + 1, maxDepth=2, stepSize=0.4, subsamplingRate=1.0)
+    a, b = ([r.score for r in models.predict(m, held, ["a", "b"]).orderBy("i").collect()] for m in (model, whole))
+    assert a == b  # rounds do not depend on how many follow
+    assert abs(model.featureImportances.toArray().sum() - 1) < 1e-9
+
+
 @pytest.mark.parametrize("max_rows", [1_000_000, 10])
 def test_windows_from_panes_equal_windows_from_rows(spark, max_rows):
     """Panes of gcd(600, 240) seconds: merged moments, co-moments with the row's place, and steps across panes."""
@@ -349,6 +422,29 @@ def test_files_are_chosen_by_their_schema(spark, tmp_path):
     assert readers.scan_parquet_tree(spark, root, "absent").count() == 0
 
 
+def test_scans_open_the_files_that_the_catalogue_chooses(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "daily")
+    rows = [(s, f"2024-01-{d:02d}", T0 + timedelta(days=d), i) for i, (s, d) in enumerate([("a b", 3), ("a b", 4), ("c=d+", 2), ("c=d+", 9), (None, 5)])]
+    df = frame(spark, rows, "station string, day string, ts timestamp, id int")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(1).write.partitionBy("station", "day").parquet(root)
+    listed = {r.parts["day"]: r.parts["station"] for r in catalogue.list_files(spark, root).collect()}
+    assert listed == {"2024-01-03": "a b", "2024-01-04": "a b", "2024-01-02": "c=d+", "2024-01-09": "c=d+", "2024-01-05": None}
+    first, last = readers.scan_one_file_per_station(spark, root), readers.latest_snapshot(spark, root)
+    assert sorted(r.id for r in first.collect()) == [0, 2] and sorted(r.id for r in last.collect()) == [1, 3]
+    assert len(first.inputFiles()) == len(last.inputFiles()) == 2
+    for direct in (catalogue.DIRECT, {}):  # in other stores Spark reads the files for the tasks
+        monkeypatch.setattr(catalogue, "DIRECT", direct)
+        found = catalogue.footers(spark, root, "ts").collect()
+        assert sorted(r.low.replace(tzinfo=None) for r in found) == sorted(r[2].replace(tzinfo=None) for r in rows) and {tuple(r.columns) for r in found} == {("ts", "id")} and all(r.n_rows == 1 and r.low == r.high for r in found)
+        low, high = (str(T0 + timedelta(days=d)) for d in (3, 5))
+        between = catalogue.scan_between(spark, root, "ts", low, high)
+        assert sorted(r.id for r in between.collect()) == [0, 1, 4] and len(between.inputFiles()) == 3
+    assert catalogue.scan_between(spark, root, "ts", "1999-01-01", "1999-01-02").count() == 0
+    with pytest.raises(ValueError):
+        readers.latest_snapshot(spark, root, "line")
+
+
 def test_streams_are_labelled_beyond_the_broadcast_limit(spark, tmp_path):
     points = frame(spark, [("a", T0 + timedelta(minutes=i), i) for i in range(10)], "station string, ts timestamp, id int")
     points.write.parquet(str(tmp_path / "in"))

@@ -7,6 +7,7 @@ from voltlane.plans.ordering import ordered_index
 from voltlane.queries import fixtures as fx
 from voltlane.queries.registry import query
 from voltlane.session import shared_path
+from voltlane.sources import catalogue as ca
 from voltlane.sources import readers as rd
 from voltlane.sources import writers as wr
 
@@ -95,8 +96,7 @@ def scan_in_batches(spark, d):
 
 def _daily(spark, d):
     rows = fx.readings(spark, d).withColumn("day", F.to_date("ts"))
-    path = wr.sink_parquet(rows, shared_path(spark, "daily"), ("station", "day"))
-    return rd.scan_parquet(spark, path)
+    return wr.sink_parquet(rows, shared_path(spark, "daily"), ("station", "day"))
 
 
 @query(
@@ -105,7 +105,7 @@ def _daily(spark, d):
     (SELECT min(CAST(ts AS DATE)) FROM readings q WHERE q.station = r.station)""",
 )
 def scan_one_file_per_station(spark, d):
-    return rd.scan_one_file_per_station(_daily(spark, d)).select("event_id", "station", "value")
+    return rd.scan_one_file_per_station(spark, _daily(spark, d)).select("event_id", "station", "value")
 
 
 @query(
@@ -114,7 +114,17 @@ def scan_one_file_per_station(spark, d):
     (SELECT max(CAST(ts AS DATE)) FROM readings q WHERE q.station = r.station)""",
 )
 def latest_snapshot(spark, d):
-    return rd.latest_snapshot(_daily(spark, d)).select("event_id", "station", "value")
+    return rd.latest_snapshot(spark, _daily(spark, d)).select("event_id", "station", "value")
+
+
+@query("scan_between", f"WITH {fx.READINGS} SELECT event_id, station, ts, value FROM readings WHERE ts BETWEEN '2024-01-05' AND '2024-01-06 12:00:00'")
+def scan_between(spark, d):
+    """A stretch of time from files in time order, found by the bounds in their footers."""
+    folder = shared_path(spark, "ordered")
+    # written as 64-bit times, whose bounds are in the footers
+    rows = fx.readings(spark, d).select("event_id", "station", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    rows.repartitionByRange(16, "ts").write.parquet(folder)
+    return ca.scan_between(spark, folder, "ts", "2024-01-05", "2024-01-06 12:00:00")
 
 
 _MONTHS = ", ".join(f"'{m}'" for m in rd.MONTH_NAMES)

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from voltlane.functions.columns import column_intersection
 from voltlane.operators.cleaning import missing_report, require_columns
-from voltlane.plans.ordering import settled
+from voltlane.sources.catalogue import footers, list_files, scan_paths
 
 # fixed values: month names in the file names of the energy data
 MONTH_NAMES = [
@@ -69,9 +69,9 @@ def scan_parquet_tree(spark: SparkSession, root: str, column: str | None = None)
     df = reader.parquet(root)
     if column is None:
         return df
-    # one footer per file; the listing is the planner's own
-    chosen = [f for f in df.inputFiles() if column in spark.read.parquet(f).columns]
-    return spark.read.option("mergeSchema", "true").parquet(*chosen) if chosen else df.where("false")
+    having = footers(spark, root).where(F.array_contains("columns", column)).select("path")
+    chosen = scan_paths(spark, root, having, merge=True)
+    return df.where("false") if chosen is None else chosen
 
 
 def scan_parquet_file_or_dir(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
@@ -79,24 +79,24 @@ def scan_parquet_file_or_dir(spark: SparkSession, path: str, order: list[str]) -
     return spark.read.parquet(path).orderBy(*order)
 
 
-def _folder_of_file(df: DataFrame) -> DataFrame:
-    return df.select("*", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_folder"))
+def _one_folder(spark: SparkSession, root: str, station: str, pick) -> DataFrame:
+    """The rows of one folder of each station, chosen from the list of files; no other file is opened."""
+    listed = list_files(spark, root).withColumn("_station", F.element_at("parts", station))
+    chosen = listed.where("_station IS NOT NULL").groupBy("_station").agg(pick("folder").alias("folder")).select("folder")
+    rows = scan_paths(spark, root, chosen)
+    if rows is None:
+        raise ValueError(f"no folders {station}=... below {root}")
+    return rows
 
 
-def _one_folder(df: DataFrame, station: str, pick) -> DataFrame:
-    marked = _folder_of_file(df)
-    chosen = settled(marked.groupBy(station).agg(pick("_folder").alias("_folder")))  # one row per station
-    return marked.join(chosen, [station, "_folder"], "left_semi").drop("_folder")
+def scan_one_file_per_station(spark: SparkSession, root: str, station: str = "station") -> DataFrame:
+    """Rows of the first month (or day) folder by name of every station, for profiling; ``station`` is a partition column."""
+    return _one_folder(spark, root, station, F.min)
 
 
-def scan_one_file_per_station(df: DataFrame, station: str = "station") -> DataFrame:
-    """Rows of the first month (or day) folder by name of every station, for profiling."""
-    return _one_folder(df, station, F.min)
-
-
-def latest_snapshot(df: DataFrame, station: str = "station") -> DataFrame:
+def latest_snapshot(spark: SparkSession, root: str, station: str = "station") -> DataFrame:
     """Rows of the newest folder by name of every station."""
-    return _one_folder(df, station, F.max)
+    return _one_folder(spark, root, station, F.max)
 
 
 def month_name(month: Column) -> Column:
