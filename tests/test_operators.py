@@ -288,6 +288,36 @@ def test_huge_windows_give_the_same_features(spark):
             assert list(a[column]) == list(b[column]), column
 
 
+def test_nearest_neighbour_information_equals_brute_force(spark):
+    rng = np.random.default_rng(41)
+    y = rng.integers(0, 3, 500)
+    y[499] = 9  # a class of one row is left out
+    x = {"near": y * 2 + rng.normal(size=500), "ties": rng.integers(0, 40, 500) + 3.0 * (y == 1), "noise": rng.normal(size=500), "same": np.ones(500)}
+    x["near"][rng.random(500) < 0.05] = np.nan
+    df = spark.createDataFrame(pd.DataFrame({"label": y, **x})).repartition(3)
+
+    def psi(n):
+        return -0.5772156649015329 + sum(1 / i for i in range(1, int(n)))
+
+    want = {}
+    for name, values in x.items():
+        known = ~np.isnan(values)
+        known &= np.array([(y[known] == c).sum() > 1 for c in y])
+        v, c, terms = values[known], y[known], []
+        for i in range(len(v)):
+            mine = np.sort(np.abs(np.delete(v, i)[np.delete(c, i) == c[i]] - v[i]))
+            k = min(3, len(mine))
+            d = mine[k - 1]
+            m = (np.abs(v - v[i]) < d - 1e-12).sum() if d > 0 else (v == v[i]).sum()
+            terms.append(psi(k) - psi(len(mine) + 1) - psi(m))
+        want[name] = max(0.0, psi(len(v)) + np.mean(terms))
+    for block_rows in (4096, 16):
+        got = {r.feature: r.mutual_info for r in ranking.mutual_information_nearest(df, list(x), block_rows=block_rows).collect()}
+        assert got.keys() == want.keys()
+        np.testing.assert_allclose([got[f] for f in want], list(want.values()), atol=1e-9)
+    assert want["near"] > 0.1 and want["same"] == 0
+
+
 def brute_shapley(nodes, x):
     """Mean effect of each feature of one row over all orders, by the expectation of the trees with some features known."""
     n = len(x)

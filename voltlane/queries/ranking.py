@@ -28,6 +28,42 @@ def mutual_information(spark, d):
     return op.mutual_information(fx.features(spark, d), fx.FEATURES).withColumn("mutual_info", F.round("mutual_info", 9))
 
 
+def _digamma(n: str) -> str:
+    x = f"({n} + 10.0::DOUBLE)"
+    back = " + ".join(f"1 / ({n} + {i}.0::DOUBLE)" for i in range(10))
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6) - ({back}))"
+
+
+_NEAR = " UNION ALL ".join(
+    f"SELECT feature, label, v, n, class_n, abs({side}(v, {i}) OVER w - v) AS d, {side}(v, {i}) OVER w AS far, {side}(n, {i}) OVER w AS copies FROM counted "
+    "WINDOW w AS (PARTITION BY feature, label ORDER BY v)" for side in ("lag", "lead") for i in (1, 2, 3)
+)
+
+
+@query(
+    "mutual_information_nearest",
+    f"WITH {fx.FEATURE_ROWS}, long AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS feature, label, {c} AS v FROM feature_rows" for c in fx.FEATURES)
+    + f"""), counted AS (SELECT *, CAST(sum(n) OVER (PARTITION BY feature, label) AS BIGINT) AS class_n
+      FROM (SELECT feature, label, v::DOUBLE AS v, count(*) AS n FROM long GROUP BY ALL)),
+    near AS (SELECT *, sum(copies) OVER (PARTITION BY feature, label, v ORDER BY d, far ROWS UNBOUNDED PRECEDING) AS upto
+      FROM ({_NEAR}) WHERE far IS NOT NULL),
+    far AS (SELECT feature, label, v, any_value(n) AS n, any_value(class_n) AS class_n,
+      CASE WHEN any_value(n) > 3 THEN v ELSE arg_min(far, upto) FILTER (WHERE upto >= 4 - n) END AS far FROM near GROUP BY feature, label, v),
+    bounds AS (SELECT *, CASE WHEN far < v THEN far ELSE v - (far - v) END AS low, CASE WHEN far > v THEN far ELSE v + (v - far) END AS high FROM far),
+    line AS (SELECT feature, v, sum(n) OVER (PARTITION BY feature ORDER BY v) AS upto FROM (SELECT feature, v, sum(n) AS n FROM counted GROUP BY ALL)),
+    a AS (SELECT b.*, coalesce(l.upto, 0) AS c_low FROM bounds b ASOF LEFT JOIN line l ON l.feature = b.feature AND b.low >= l.v),
+    z AS (SELECT a.*, coalesce(l.upto, 0) AS c_high FROM a ASOF LEFT JOIN line l ON l.feature = a.feature AND a.high > l.v),
+    own AS (SELECT feature, v, sum(n) AS n_all FROM counted GROUP BY ALL),
+    m AS (SELECT z.*, CASE WHEN far = v THEN n_all ELSE c_high - c_low END AS m FROM z JOIN own USING (feature, v)),
+    scores AS (SELECT feature, greatest(0, any_value(p) + {_digamma('3')} - sum(n * {_digamma('class_n')}) / sum(n) - sum(n * {_digamma('m')}) / sum(n)) AS mi
+      FROM m JOIN (SELECT feature, {_digamma('sum(n)')} AS p FROM m GROUP BY feature) USING (feature) GROUP BY feature)
+    SELECT feature, round(mi, 7) AS mutual_info, CAST(rank() OVER (ORDER BY mi DESC) AS INTEGER) AS rank FROM scores""",
+)
+def mutual_information_nearest(spark, d):
+    return op.mutual_information_nearest(fx.features(spark, d), fx.FEATURES).withColumn("mutual_info", F.round("mutual_info", 7))
+
+
 _METHODS = ["quantity", "price", "tax"]
 _SCORES = """WITH parts AS (SELECT 'p' || l_partkey AS feature, sum(l_quantity) AS quantity, max(l_extendedprice) AS price,
     CASE WHEN l_partkey % 7 <> 0 THEN max(l_tax) END AS tax FROM lineitem GROUP BY l_partkey),
