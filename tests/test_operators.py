@@ -484,6 +484,36 @@ def test_streams_are_labelled_beyond_the_broadcast_limit(spark, tmp_path):
     assert sorted(r.id for r in out.where("anomaly_label = 1").collect()) == [2, 3, 4, 5, 6] and out.count() == 10
 
 
+def test_batches_go_on_after_a_failure(spark, tmp_path):
+    """Stopped in its third batch and run again, with a file that came in between: every row once."""
+    folder, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for i in range(4):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.range(1).schema
+    failing = lambda rows: rows.select(F.when(F.col("id") == 25, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        streaming.scan_in_batches(spark, folder, schema, target, state, failing)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == list(range(20))
+    spark.range(40, 50).coalesce(1).write.mode("append").parquet(folder)
+    again = streaming.scan_in_batches(spark, folder, schema, target, state, lambda rows: rows.select("id"))
+    assert sorted(r.id for r in again.collect()) == list(range(50))
+    assert streaming.scan_in_batches(spark, folder, schema, target, state, lambda rows: rows.select("id")).count() == 50
+
+
+def test_intervals_that_come_between_two_batches_are_used(spark, tmp_path):
+    folder, target, state, table = (str(tmp_path / n) for n in ("in", "out", "state", "intervals"))
+    points = frame(spark, [("a", T0 + timedelta(minutes=i), i) for i in range(10)], "station string, ts timestamp, id int")
+    spans(spark, [("a", 1, 2)]).write.parquet(table)
+    known = lambda: spark.read.parquet(table)
+    points.where("id < 5").write.parquet(folder)
+    stream = streaming.stream_readings(spark, folder, points.schema)
+    streaming.label_as_they_come(stream, known, target, state)
+    spans(spark, [("a", 3, 7)]).write.mode("append").parquet(table)
+    points.where("id >= 5").write.mode("append").parquet(folder)
+    out = streaming.label_as_they_come(stream, known, target, state)
+    assert sorted((r.id, r.anomaly_label) for r in out.collect()) == [(i, int(i in (1, 2, 5, 6, 7))) for i in range(10)]
+
+
 def test_balanced_samples_take_the_first_of_each_class(spark):
     df = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, 1).when(F.col("id") % 10 < 9, 0).alias("label"))
     taken = sampling.balanced_sample(df, ["id"], 30, 0.2).groupBy("label").count().collect()

@@ -10,6 +10,7 @@ from voltlane.session import shared_path
 from voltlane.sources import catalogue as ca
 from voltlane.sources import readers as rd
 from voltlane.sources import writers as wr
+from voltlane.streaming import operators as st
 
 
 @query("scan_csv_monthly", f"WITH {fx.READINGS} SELECT * FROM readings")
@@ -89,9 +90,23 @@ def scan_parquet_file_or_dir(spark, d):
 
 @query("scan_in_batches", f"WITH {fx.LABELLED} SELECT event_id, station, ts, value, k, anomaly_label FROM labelled")
 def scan_in_batches(spark, d):
-    """Scan, label and append to one output: one distributed job instead of batches."""
-    labelled = iv.label_points_by_interval(fx.readings(spark, d), fx.intervals(spark, d))
-    return spark.read.parquet(wr.sink_parquet(labelled, shared_path(spark, "labelled")))
+    """Scan, label and append two files at a time; a second run takes up the files that came after the first."""
+    folder, target, state = (shared_path(spark, n) for n in ("arrivals", "labelled", "state"))
+    rows, known = fx.readings(spark, d), fx.intervals(spark, d)
+    label = lambda part: iv.label_points_by_interval(part, known)
+    for part in (0, 1):
+        rows.where(F.col("event_id") % 2 == part).repartition(3).write.mode("append").parquet(folder)
+        out = st.scan_in_batches(spark, folder, rows.schema, target, state, label, 2)
+    return out
+
+
+@query("label_as_they_come", f"WITH {fx.LABELLED} SELECT event_id, station, ts, value, k, anomaly_label FROM labelled")
+def label_as_they_come(spark, d):
+    """The intervals are there before the readings, so labels are those of the whole table."""
+    folder, target, state = (shared_path(spark, n) for n in ("arrivals", "labelled", "state"))
+    rows = fx.readings(spark, d)
+    rows.repartition(2).write.parquet(folder)
+    return st.label_as_they_come(st.stream_readings(spark, folder, rows.schema, 1), lambda: fx.intervals(spark, d), target, state)
 
 
 def _daily(spark, d):
