@@ -208,8 +208,8 @@ def attribution_extremes(
     return high.unionByName(low)
 
 
-def _mean_silhouette(sums: DataFrame) -> DataFrame:
-    """``_key, label, other, total, n`` (self left out) to the mean silhouette."""
+def _silhouettes(sums: DataFrame) -> DataFrame:
+    """``_key, label, other, total, n`` (self left out) to ``label, worth`` per row; rows without another class are left out."""
     own = F.col("label") == F.col("other")
     per_row = sums.groupBy("_key", "label").agg(
         F.max(F.when(own, F.try_divide("total", "n"))).alias("a"),
@@ -219,22 +219,20 @@ def _mean_silhouette(sums: DataFrame) -> DataFrame:
     worth = F.when(F.col("_own") == 0, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     )
-    return per_row.where("b is not null").agg(F.avg(worth).alias("silhouette"), F.count(F.lit(1)).alias("rows"))
+    return per_row.where("b is not null").select("label", worth.alias("worth"))
 
 
-def silhouette_by_label(df: DataFrame, key: str, vector: str, label: str = LABEL, block_rows: int = 2048) -> DataFrame:
-    """Mean Euclidean silhouette of the given classes; null with one class.
+def _mean_silhouette(sums: DataFrame) -> DataFrame:
+    return _silhouettes(sums).agg(F.avg("worth").alias("silhouette"), F.count(F.lit(1)).alias("rows"))
 
-    The mean of distances has no shortcut, so every pair of row blocks is one small matrix product; only sums per
-    row and class leave a task. The work is quadratic: use it on a sample as the embedding reports do, and
-    ``silhouette_squared`` on whole tables.
-    """
-    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_x"))
-    blocks = max(1, -(-rows.count() // block_rows))
-    placed = rows.withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = placed.select("*", F.col("_b").alias("_i")).withColumn("_j", every)
-    right = placed.select("*", F.col("_b").alias("_j")).withColumn("_i", every)
+
+def _distance_sums(some: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
+    """Sums of distances from each of ``some`` rows to every class: every pair of row blocks is one small matrix product."""
+    blocks = {side: max(1, -(-df.count() // block_rows)) for side, df in (("_i", some), ("_j", rows))}
+    placed = lambda df, side: df.withColumn(side, F.pmod(F.xxhash64("_key"), F.lit(blocks[side])))
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[side] - 1).cast("long")))
+    left = placed(some, "_i").withColumn("_j", every("_j"))
+    right = placed(rows, "_j").withColumn("_i", every("_i"))
     label_type = dict(rows.dtypes)["label"]
     schema = f"_key {dict(rows.dtypes)['_key']}, label {label_type}, other {label_type}, total double, n long"
 
@@ -253,8 +251,40 @@ def silhouette_by_label(df: DataFrame, key: str, vector: str, label: str = LABEL
         return pd.concat(out)
 
     pieces = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(block_sums, schema)
-    sums = pieces.groupBy("_key", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return _mean_silhouette(sums)
+    return pieces.groupBy("_key", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def silhouette_by_label(df: DataFrame, key: str, vector: str, label: str = LABEL, block_rows: int = 2048) -> DataFrame:
+    """Mean Euclidean silhouette of the given classes; null with one class.
+
+    The mean of distances has no shortcut, so the work is quadratic, in blocks of which only sums per row and class are left. Use it
+    on a sample as the embedding reports do, and ``silhouette_sampled`` or ``silhouette_squared`` on whole tables.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_x"))
+    return _mean_silhouette(_distance_sums(rows, rows, block_rows))
+
+
+def silhouette_sampled(
+    df: DataFrame, key: str, vector: str, label: str = LABEL, per_class: int = 1000, deviations: float = 3.29, block_rows: int = 2048, seed: int = 42
+) -> DataFrame:
+    """``silhouette, low, high, sampled, rows``: the mean Euclidean silhouette from about ``per_class`` rows of each class.
+
+    A drawn row has its exact silhouette, by its distances to all rows, so the work is linear. Classes count by their sizes; the
+    interval is ``deviations`` standard errors of such a stratified mean on either side (3.29: 99.9 %), and has no width where all rows are
+    drawn. Draws are hashes of the key.
+    """
+    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_x"))
+    sizes = settled(rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
+    drawn = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.lit(per_class) / F.col("_n")
+    some = settled(rows.join(sizes, "label").where(drawn).select("_key", "label", "_x"))
+    worth = _silhouettes(_distance_sums(some, rows, block_rows))
+    classes = worth.groupBy("label").agg(F.count(F.lit(1)).alias("_m"), F.avg("worth").alias("_mean"), F.coalesce(F.var_samp("worth"), F.lit(0.0)).alias("_var"))
+    whole = F.sum("_n").over(Window.partitionBy())  # one row per class
+    shares = classes.join(sizes, "label").withColumn("_w", F.col("_n") / whole)
+    error = F.sqrt(F.sum(F.col("_w") * F.col("_w") * F.col("_var") / F.col("_m") * (1 - F.col("_m") / F.col("_n"))))
+    found = shares.agg(F.sum(F.col("_w") * F.col("_mean")).alias("silhouette"), error.alias("_e"), F.sum("_m").alias("sampled"), F.sum("_n").alias("rows"))
+    off = F.lit(deviations) * F.col("_e")
+    return found.select("silhouette", (F.col("silhouette") - off).alias("low"), (F.col("silhouette") + off).alias("high"), "sampled", "rows")
 
 
 def silhouette_squared(df: DataFrame, key: str, vector: str, label: str = LABEL) -> DataFrame:

@@ -243,6 +243,20 @@ def silhouette_by_label(spark, d):
     return rounded(op.silhouette_by_label(_points(spark, d), "vec_id", "embedding"))
 
 
+_EXACT = _SILHOUETTE.format(d="list_distance(p.x, q.x)")
+
+
+@query("silhouette_sampled", f"SELECT silhouette, rows, TRUE AS holds, TRUE AS narrow FROM ({_EXACT})")
+def silhouette_sampled(spark, d):
+    """The exact value lies in the interval that a sample of some forty rows a class gives; a draw of all rows is exact."""
+    points = _points(spark, d)
+    exact = op.silhouette_sampled(points, "vec_id", "embedding", per_class=1 << 40).select(F.round("silhouette", 6).alias("silhouette"), "rows")
+    sample = op.silhouette_sampled(points, "vec_id", "embedding", per_class=40)
+    both = scalar_join(exact, sample.select("low", "high"))
+    holds = (F.col("silhouette") >= F.col("low")) & (F.col("silhouette") <= F.col("high"))
+    return both.select("silhouette", "rows", holds.alias("holds"), (F.col("high") - F.col("low") < 0.2).alias("narrow"))
+
+
 @query("silhouette_squared", _SILHOUETTE.format(d="list_distance(p.x, q.x) ** 2"))
 def silhouette_squared(spark, d):
     return rounded(op.silhouette_squared(_points(spark, d), "vec_id", "embedding"))
