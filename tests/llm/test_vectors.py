@@ -106,10 +106,10 @@ def test_near_vectors(odd):
 
 def test_near_vectors_by_leaves_blocks_and_cores(spark, monkeypatch):
     """Small leaves, so that trees split, and a dense group in many blocks: no link is counted twice, and few are lost."""
-    monkeypatch.setattr(forest, "LEAF", 32)
-    rows = clusters(11, 1500, 0.12)
+    monkeypatch.setattr(forest, "LEAF", 64)
+    rows = clusters(11, 600, 0.12)
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = {r[0]: r for r in links_of(forest.near_vectors(frame, largest=64))}
+    got = {r[0]: r for r in links_of(forest.near_vectors(frame, largest=128, trees=4))}
     want = {r[0]: r for r in linked(rows, 0.93)}
     assert all(got[i][1] <= want[i][1] for i in want)
     assert sum(r[1] for r in got.values()) >= 0.99 * sum(r[1] for r in want.values())
