@@ -452,6 +452,22 @@ def test_files_are_chosen_by_their_schema(spark, tmp_path):
     assert readers.scan_parquet_tree(spark, root, "absent").count() == 0
 
 
+def test_months_are_looked_up_by_range(spark):
+    """Readings of the event's station and month file between its ends; of an event that runs into the next month the first file only."""
+    day = lambda m, d, h=0: datetime(2024, m, d, h)
+    rows = [("a", day(1, 30, h), h) for h in range(24)] + [("a", day(2, 1), 90), ("b", day(1, 30, 3), 91), (None, day(1, 30, 3), 92)]
+    monthly = frame(spark, rows, "station string, ts timestamp, id int").withColumns({"year": F.year("ts"), "month": F.month("ts"), "note": F.lit("r")})
+    events = frame(
+        spark, [("a", day(1, 30, 5), day(2, 3), "x"), ("a", day(1, 30, 2), day(1, 30, 3), "y"), (None, day(1, 30), day(1, 31), "z")],
+        "station string, start_ts timestamp, end_ts timestamp, note string",
+    )
+    found = readers.month_partition_lookup(events, monthly, on=("station",), end="end_ts")
+    assert found.columns == ["station", "year", "month", "start_ts", "end_ts", "interval_note", "file", "ts", "id", "note"]
+    assert sorted((r.interval_note, r.id) for r in found.collect()) == [("x", h) for h in range(5, 24)] + [("y", 2), ("y", 3)]
+    assert {r.file for r in found.collect()} == {"Januar_2024"}
+    assert readers.month_partition_lookup(events.drop("note"), monthly, on=("station",)).count() == 2 * 24
+
+
 def test_scans_open_the_files_that_the_catalogue_chooses(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "daily")
     rows = [(s, f"2024-01-{d:02d}", T0 + timedelta(days=d), i) for i, (s, d) in enumerate([("a b", 3), ("a b", 4), ("c=d+", 2), ("c=d+", 9), (None, 5)])]

@@ -8,6 +8,8 @@ from pyspark.sql.types import StructType
 
 from voltlane.functions.columns import column_intersection
 from voltlane.operators.cleaning import missing_report, require_columns
+from voltlane.plans.joins import interval_join, unused
+from voltlane.plans.ordering import settled
 from voltlane.sources.catalogue import footers, list_files, scan_paths
 
 # fixed values: month names in the file names of the energy data
@@ -108,13 +110,27 @@ def month_partition_lookup(
 ) -> DataFrame:
     """Rows of the month file of each event's start; with ``end`` those between start and end only, as a preview shows them.
 
-    ``monthly`` is partitioned by ``year, month`` (and ``on``, e.g. the station), so the event side prunes the
-    folders that are read. The file name follows the month, e.g. ``Januar_2024``.
+    ``monthly`` is partitioned by ``year, month`` (and ``on``, e.g. the station), so the months of the events prune the
+    folders that are read. With ``end`` readings meet only the events of their station and month whose range covers them, by a
+    range join; a column of the events that the readings have too then becomes ``interval_<name>``. Null keys match nothing.
+    The file name follows the month, e.g. ``Januar_2024``.
     """
+    keys = [*on, "year", "month"]
     keyed = events.withColumns({"year": F.year(start), "month": F.month(start)})
     named = keyed.withColumn("file", F.concat_ws("_", month_name(F.col("month")), F.col("year")))
-    joined = named.join(monthly, [*on, "year", "month"])
-    return joined if end is None else joined.where(F.col(ts).between(F.col(start), F.col(end)))
+    if end is None:
+        return named.join(monthly, keys)
+    p = unused("_mp", [*named.columns, *monthly.columns])
+    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keys])).alias(f"{p}_key")
+    known = lambda df: df.dropna("any", subset=keys)
+    time = lambda c, name: F.col(c).cast("timestamp").alias(f"{p}_{name}")
+    months = settled(named.select("year", "month").distinct())
+    readings = known(monthly.join(months, ["year", "month"], "left_semi")).select("*", key, time(ts, "at"))
+    rest = [c for c in named.columns if c not in keys]
+    sides = known(named).select(key, time(start, "from"), time(end, "to"), *rest)
+    found = interval_join(readings, sides, station=f"{p}_key", ts=f"{p}_at", start=f"{p}_from", end=f"{p}_to")
+    shown = [f"interval_{c}" if c in monthly.columns else c for c in rest]
+    return found.select(*keys, *shown, *[c for c in monthly.columns if c not in keys])
 
 
 def scan_feature_list(spark: SparkSession, path: str) -> DataFrame:
