@@ -117,3 +117,14 @@ def test_release_deletes_a_written_table(spark):
     path = shared_path(spark, "gone")
     spark.range(3).write.parquet(path)
     assert release(spark, path) and not release(spark, path)
+
+
+def test_numbers_are_permuted_without_a_sort(spark):
+    for n in (1, 2, 7, 100, 1023):
+        rows = spark.range(n).select("id", *[o.shuffled(F.col("id"), n, seed).alias(f"s{seed}") for seed in (1, 2)]).collect()
+        for seed in (1, 2):
+            assert sorted(r[f"s{seed}"] for r in rows) == list(range(n))
+        if n > 50:
+            a, b = ([r[f"s{seed}"] for r in rows] for seed in (1, 2))
+            assert a != b and sum(x == i for i, x in enumerate(a)) < 10
+            assert abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.35

@@ -18,7 +18,7 @@ from voltlane.operators.metrics import (
 )
 from voltlane.operators.profiles import class_weights
 from voltlane.operators.sampling import sequential_split
-from voltlane.plans.ordering import chunked, hash_key, plain, with_index
+from voltlane.plans.ordering import chunked, plain, shuffled, with_index
 from voltlane.session import materialise
 
 LABEL, SCORE = "label", "score"
@@ -149,20 +149,17 @@ def permutation_importance(
 ) -> DataFrame:
     """Accuracy minus the mean accuracy after shuffling one feature, over several shuffles.
 
-    A shuffle pairs every row with the row at its place in a hash order, so it is an equi join of two indexes. All
-    features share the pairs of a round, and each is swapped in its own copy of the row.
+    Rows are numbered once. A shuffle sends every number to another one by a keyed permutation, so all rounds are one equi join of
+    the numbered rows with themselves. All features share the pairs of a round, and each is swapped in its own copy of the row.
     """
     slim = df.select(*key, label, *features)
     base = materialise(plain(with_index(chunked(slim, [], key), [], "_at")), "rows")
     hit = lambda t: F.avg((F.col("prediction") == F.col(label)).cast("double")).alias(t)
     baseline = model.transform(assemble(base, features)).agg(hit("baseline"))
-    donor_columns = [F.col(f).alias(f"_d_{f}") for f in features]
-    rounds = None
-    for r in range(repeats):
-        hashed = base.withColumn("_hash", hash_key(*key, seed=seed + r))
-        donors = plain(with_index(chunked(hashed.select("_hash", *key, *donor_columns), [], ["_hash", *key]), [], "_at"))
-        pairs = base.join(donors.drop("_hash", *key), "_at").withColumn("_repeat", F.lit(r))
-        rounds = pairs if rounds is None else rounds.unionByName(pairs)
+    donors = base.select(F.col("_at").alias("_from"), *[F.col(f).alias(f"_d_{f}") for f in features])
+    numbered = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    numbered = numbered.withColumn("_from", shuffled(F.col("_at"), max(base.count(), 1), F.col("_repeat") + seed))
+    rounds = numbered.join(donors, "_from")
     copies = rounds.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
     swapped = copies.select(
         label, "feature", "_repeat",

@@ -269,3 +269,27 @@ def quantiles(df: DataFrame, part: Sequence[str], value: str, shares: dict[str,
 def hash_key(*columns: str, seed: int = 42) -> Column:
     """A reproducible pseudo-random ordering key."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def shuffled(index: Column, n: int, seed: Column | int, rounds: int = 4) -> Column:
+    """A reproducible pseudo-random permutation of ``0 .. n - 1``, row by row and without a sort.
+
+    A number is a place in a table of about root of n rows and columns; each round moves the row by a hash of the column and then
+    the column by one of the row, which can be undone, so no two places meet. Places beyond ``n`` are sent on until they are
+    inside; there are fewer of them than columns.
+    """
+    wide = max(1, int(n**0.5))
+    high = max(1, -(-n // wide))
+    key = seed if isinstance(seed, Column) else F.lit(seed)
+
+    def step(x: Column) -> Column:
+        state = F.struct(F.floor(x / wide).cast("long").alias("a"), (x % wide).cast("long").alias("b"))
+        for r in range(rounds):
+            state = F.transform(F.array(state), lambda s, r=r: F.struct(F.pmod(s["a"] + F.pmod(F.xxhash64(s["b"], key, F.lit(2 * r)), F.lit(high)), F.lit(high)).alias("a"), s["b"].alias("b")))[0]
+            state = F.transform(F.array(state), lambda s, r=r: F.struct(s["a"].alias("a"), F.pmod(s["b"] + F.pmod(F.xxhash64(s["a"], key, F.lit(2 * r + 1)), F.lit(wide)), F.lit(wide)).alias("b")))[0]
+        return F.transform(F.array(state), lambda s: s["a"] * wide + s["b"])[0].cast("long")
+
+    walk = lambda x, i: F.when((i > 0) & (x < n), x).otherwise(step(x))
+    # from a place inside, the walk comes back inside; each step leaves with a chance of at most one in the number of rows
+    state = F.aggregate(F.sequence(F.lit(0), F.lit(39)), index.cast("long"), walk)
+    return F.when(state < n, state).otherwise(F.raise_error(F.lit("the walk did not end")).cast("long"))
