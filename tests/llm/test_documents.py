@@ -540,6 +540,65 @@ def test_secrets(both):
             assert sha(",".join(s for s in r.spans.split(",") if not s.startswith("novel")).encode()) == r.base_sha256
 
 
+def plain_windows(text):
+    """Strings of 12 and more characters from a sensitive word to the end of the next line, by marking every place."""
+    inside = [False] * (len(text) + 1)
+    for m in re.finditer("(?ia)" + "|".join(secrets.SENSITIVE_WORDS), text):
+        breaks = 0
+        for i in range(m.end(), len(text)):
+            breaks += text[i] == "\n"
+            if breaks == 2:
+                break
+            inside[i] = True
+    shown = "".join(c if inside[i] else "\n" for i, c in enumerate(text))
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=.~-]+", shown):
+        a = m.start() + len(m[0]) - len(m[0].lstrip("=.-"))
+        if m.end() - a >= 12:
+            out.append((a, m.end()))
+    return out
+
+
+def test_candidates_reach_to_the_end_of_the_next_line(rows):
+    texts = [t or "" for _, t, *_ in rows] + [
+        "secret on one line\nAbcdefghijklmnop here\nQrstuvwxyzabcdef not here", "token" * 50 + "\n" + "abcdefghijkl " * 9,
+        "password a secret abcdefghijklmnop\nsecret ponmlkjihgfedcba\nabcdabcdabcd\nefghefghefgh", "nothing\nabcdefghijklmnop",
+    ]
+    assert [secrets.candidates(t) for t in texts] == [plain_windows(t) for t in texts]
+
+
+def test_every_candidate_is_measured(spark, rows):
+    """The reported strings are those whose added bytes reach the rate, with the bounds of plain words counted over all rows."""
+    more = [(1_000 + i, t) for i, t in enumerate((
+        "bearer: QwErTzUiOpAsDfGhJkLyXcVbNmQwErTy", "my secret is in a place that is more than forty characters away from here:\nZk9qX2v7Lr4TnW8sYb3cPd1f",
+        "token is 8204917356120483", "the password hereunderstanding is thereafterwards",
+        "hereunderstanding and thereafterwards are words that others know: thereafterwards, hereunderstanding",
+    ))]
+    table = [(i, t) for i, t, *_ in rows] + more
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    dictionary = secrets.identifier_dictionary(secrets.name_counts(frame))
+    novelty, known, seen = secrets.Novelty(dictionary), set(dictionary.decode().split("\n")), defaultdict(list)
+    rate = lambda t, a, b: novelty.added(t[max(0, a - 200) : a] + t[b : b + 200], t[a:b]) / (b - a)
+    for _, t in table:
+        windows = plain_windows(t or "")
+        for m in secrets.PLAIN.finditer(t or ""):
+            if m[0] not in known and m.span() not in windows:
+                seen[sum(m.end() - m.start() >= x for x in (16, 24, 32))].append(rate(t, *m.span()))
+    bounds = secrets.plain_word_rates(frame, dictionary)
+    for k, bound in enumerate(bounds):
+        assert sum(r >= bound for r in seen[k]) <= 0.01 * len(seen[k])
+        assert not seen[k] or sum(r >= bound - 0.011 for r in seen[k]) > 0.01 * len(seen[k])
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("novel")] for r in secrets.secret_spans(frame).collect()}
+    for i, t in table:
+        want = []
+        for a, b in plain_windows(t or ""):
+            least = 0.6 if any(c.isdigit() for c in t[a:b]) else max(0.6, bounds[sum(b - a >= x for x in (16, 24, 32))])
+            if rate(t, a, b) >= least and not any(x <= a and b <= y for x, _, y in secrets.fixed_spans(t)):
+                want.append((a, b))
+        assert got[i] == want
+    assert [len(got[1_000 + i]) for i in range(4)] == [1, 1, 1, 0]
+
+
 def test_novel_strings_are_found_and_known_ones_left(spark):
     names = "\n".join(f"service_account_number_{i % 3} = value" for i in range(30))
     rows = [

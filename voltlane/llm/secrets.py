@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and strings that zstandard finds novel where secrets are kept.
 
-Candidates are strings next to a sensitive word. For each one zstandard, primed with the surrounding text and with a
-dictionary of the corpus's own identifiers, tells how many bytes the string adds: names, paths and repeated
-placeholders cost next to nothing, random material cannot be compressed and is reported. The dictionary is counted over
-all documents and has a fixed size, which is the most that is sent to executors.
+Candidates are all strings from a sensitive word to the end of the next line. For each one zstandard, primed with the
+surrounding text and with a dictionary of the corpus's own identifiers and long words, tells how many bytes the string adds:
+names, paths and repeated placeholders cost next to nothing, random material cannot be compressed and is reported. Words
+that no dictionary holds cost something too, so strings without digits must add more than nearly all such words of the
+corpus do. Dictionary and bounds are counted over all documents and have a fixed size, which is the most that is sent to
+executors.
 """
 
 from __future__ import annotations
@@ -21,9 +23,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltlane.session import materialise
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DICTIONARY_BYTES, CONTEXT, LEAST_LENGTH, LEAST_RATE = 64 << 10, 200, 12, 0.6
+#: share of plain words that may cost as much as a string of letters that is reported, and lengths from which bounds are told apart
+PLAIN_SHARE, STEPS = 0.01, (12, 16, 24, 32)
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(?ia:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,6 +43,7 @@ SENSITIVE_WORDS = (
 )
 SENSITIVE = re.compile("(?ia)" + "|".join(SENSITIVE_WORDS))
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+PLAIN = re.compile(r"(?<![A-Za-z0-9+/_=.~-])[A-Za-z]{12,64}(?![A-Za-z0-9+/_=~-])")
 IDENTIFIER = re.compile(r"(?a)[A-Za-z_][A-Za-z0-9_]{2,63}(?=[\"']?\x20*[:=(])")
 
 
@@ -59,6 +66,8 @@ class Novelty:
 
         raw = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0)
+        if raw:
+            raw.precompute_compress(compression_params=params)
         self.compressor = zstandard.ZstdCompressor(compression_params=params, dict_data=raw) if raw else zstandard.ZstdCompressor(compression_params=params)
 
     def size(self, payload: bytes) -> int:
@@ -70,38 +79,49 @@ class Novelty:
         return self.size(context + string.encode()) - self.size(context)
 
 
-def candidates(text: str, near: int = 40) -> list[tuple[int, int]]:
-    """Runs of secret-like characters that begin within ``near`` characters after a sensitive word, each once."""
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Runs of secret-like characters that begin after a sensitive word, to the end of the next line, each once."""
     lower = text.lower()
     if not any(w in lower for w in SENSITIVE_WORDS):
         return []
-    found, upto = [], 0
+    found, line, upto = [], -1, 0
     for word in SENSITIVE.finditer(text):
-        begin, stop = max(upto, word.end()), word.end() + near
-        while begin <= stop and (first := RUN.search(text, begin, stop + 1)):
-            a, b = RUN.match(text, first.start()).span()  # to its end, beyond the window as well
-            begin = upto = b
-            a += len(text[a:b]) - len(text[a:b].lstrip("=.-"))
+        if word.end() > line:
+            line = text.find("\n", word.end())
+            line = len(text) if line < 0 else line
+            stop = text.find("\n", line + 1)
+            stop = len(text) if stop < 0 else stop
+        for run in RUN.finditer(text, max(upto, word.end()), stop):
+            a, b = run.span()
+            a += b - a - len(run.group().lstrip("=.-"))
             if b - a >= LEAST_LENGTH:
                 found.append((a, b))
+        upto = max(upto, stop)
     return found
 
 
-def novel_spans(text: str, novelty: Novelty, least_rate: float = LEAST_RATE) -> list[tuple[int, int]]:
-    """Candidates that mix letters and digits and add at least ``least_rate`` bytes per character."""
+def step(length: int) -> int:
+    """The number of the length's class."""
+    return max(0, bisect_right(STEPS, length) - 1)
+
+
+def novel_spans(text: str, novelty: Novelty, least_rate: float = LEAST_RATE, plain_rates: tuple[float, ...] = ()) -> list[tuple[int, int]]:
+    """Candidates that add at least ``least_rate`` bytes per character, those without digits ``plain_rates`` (by length) as well."""
     out = []
     for a, b in candidates(text):
         string = text[a:b]
-        if not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
-            continue
+        rate = max(least_rate, plain_rates[step(b - a)]) if plain_rates and not any(c.isdigit() for c in string) else least_rate
         around = text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT]
-        if novelty.added(around, string) >= least_rate * len(string):
+        if novelty.added(around, string) >= rate * len(string):
             out.append((a, b))
     return out
 
 
-def identifier_counts(docs: DataFrame) -> DataFrame:
-    """``name, n``: names before ``=``, ``:`` or ``(`` over all documents, put together per batch before the shuffle."""
+def name_counts(docs: DataFrame) -> DataFrame:
+    """``name, plain, n``: names before ``=``, ``:`` or ``(``, and plain words of 12 letters and more, over all documents.
+
+    They are put together per batch before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,26 +129,68 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column(0):
                 value = text.as_py()
                 if value and ("=" in value or ":" in value or "(" in value):
-                    counts.update(IDENTIFIER.findall(value))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["name", "n"])
+                    counts.update((name, False) for name in IDENTIFIER.findall(value))
+                if value:
+                    counts.update((word, True) for word in PLAIN.findall(value))
+            names, plain = [k for k, _ in counts], [p for _, p in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(plain, pa.bool_()), pa.array(list(counts.values()), pa.int64())], ["name", "plain", "n"])
 
-    return docs.select("text").mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "name string, plain boolean, n long").groupBy("name", "plain").agg(F.sum("n").alias("n"))
 
 
-def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES, least: int = 2) -> bytes:
-    """The most frequent identifiers, the commonest last (nearest to the text), in at most ``size`` bytes."""
-    # a name has 3 bytes at least: this many rows always fill the dictionary
-    top = identifier_counts(docs).where(F.col("n") >= least).orderBy(F.col("n").desc(), "name").limit(size // 4).collect()
+def identifier_dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES, least: int = 2) -> bytes:
+    """The most frequent identifiers and, in the room they leave, plain words, the commonest last (nearest to the text)."""
     names, used = [], 0
-    for row in top:
-        used += len(row.name) + 1
-        if used > size:
-            break
-        names.append(row.name)
+    for plain, room in ((False, size // 2), (True, size)):
+        # a name has 3 bytes at least: this many rows always fill the dictionary
+        top = counts.where((F.col("n") >= least) & (F.col("plain") == plain)).orderBy(F.col("n").desc(), "name").limit(size // 4).collect()
+        for row in top:
+            if used + len(row.name) + 1 > room:
+                break
+            used += len(row.name) + 1
+            names.append(row.name)
     return "\n".join(reversed(names)).encode()
 
 
-def secret_spans(docs: DataFrame, *, dictionary_bytes: int = DICTIONARY_BYTES, least_rate: float = LEAST_RATE) -> DataFrame:
+def plain_word_rates(docs: DataFrame, dictionary: bytes, share: float = PLAIN_SHARE) -> tuple[float, ...]:
+    """Per class of lengths, the bytes per character that at most ``share`` of the plain words outside the dictionary add.
+
+    Every such word of every text is measured in its place, but for candidates; counts by class and hundredth are collected, some hundred rows at any size.
+    """
+    known = set(dictionary.decode().split("\n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty = Novelty(dictionary)
+        for batch in batches:
+            found: Counter = Counter()
+            for value in batch.column(0):
+                text = value.as_py() or ""
+                own = set(candidates(text))
+                for m in PLAIN.finditer(text):
+                    if m.group() not in known and m.span() not in own:
+                        a, b = m.span()
+                        rate = novelty.added(text[max(0, a - CONTEXT) : a] + text[b : b + CONTEXT], m.group()) / (b - a)
+                        found[step(b - a), int(100 * rate) + 1] += 1
+            keys = list(zip(*found)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int32()), pa.array(list(found.values()), pa.int64())], ["step", "rate", "n"])
+
+    rates = docs.select("text").mapInArrow(run, "step int, rate int, n long").groupBy("step", "rate").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for number in range(len(STEPS)):
+        rows = sorted(((r.rate, r.n) for r in rates if r.step == number), reverse=True)
+        left, bound = share * sum(n for _, n in rows), 0.0
+        for rate, n in rows:
+            left -= n
+            if left < 0:
+                bound = rate / 100
+                break
+        out.append(bound)
+    return tuple(out)
+
+
+def secret_spans(
+    docs: DataFrame, *, dictionary_bytes: int = DICTIONARY_BYTES, least_rate: float = LEAST_RATE, plain_share: float = PLAIN_SHARE,
+) -> DataFrame:
     """One row per document: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel``.
 
     Spans are ``kind:start:end`` in code points, by start and then kind; novel ones (kind ``novel``) come after fixed ones
@@ -136,7 +198,10 @@ def secret_spans(docs: DataFrame, *, dictionary_bytes: int = DICTIONARY_BYTES, l
     rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(identifier_dictionary(docs, dictionary_bytes))  # ``dictionary_bytes`` at most
+    counts = materialise(name_counts(docs), "names")
+    dictionary = identifier_dictionary(counts, dictionary_bytes)
+    rates = plain_word_rates(docs, dictionary, plain_share)
+    shipped = spark.sparkContext.broadcast(dictionary)  # ``dictionary_bytes`` at most
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +213,7 @@ def secret_spans(docs: DataFrame, *, dictionary_bytes: int = DICTIONARY_BYTES, l
                 fixed = fixed_spans(text)
                 begins, reach = [s for s, _, _ in fixed], list(accumulate((e for _, _, e in fixed), max))
                 more = []
-                for a, b in novel_spans(text, novelty, least_rate):
+                for a, b in novel_spans(text, novelty, least_rate, rates):
                     at = bisect_right(begins, a)
                     if not at or reach[at - 1] < b:
                         more.append((a, 3, b))
