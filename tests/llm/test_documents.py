@@ -357,6 +357,55 @@ def test_contexts_discover_identifiers(spark):
     assert got[11][0] == 0 and got[12][0] == 0
 
 
+def test_numbers_with_blanks_are_one_instance(spark):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000990139424"]
+    phones = [f"+44 20 7946 09{i:02d}" for i in range(14)]  # four fifths of all numbers in this place are known
+    rows = [(i, f"w{i} please charge card number {c} to it") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"w{i} call me at {p} at night") for i, p in enumerate(phones)]
+    rows += [
+        (10, "w please charge card number 4111 1111 1111 1112 to it"), (11, "call me at (555) 123 4567, or not"),
+        (12, "call me at 555 123 4567 or 1 2 3"), (13, "call me at 5 6 7, in 2024"), (14, "call me at " + "12 34 " * 5_000),
+    ]
+    got = {r.doc_id: r.spans for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(10, 15)] == ["found_card:28:47", "found_phone:11:25", "found_phone:11:23", "", ""]
+
+
+def test_instances_and_contexts_are_whole():
+    def plain(text, taken):
+        words, out, at = [m.span() for m in WORD.finditer(text)], [], 0
+        clear = lambda a, b: all(y <= a or x >= b for x, y in taken)
+        number = lambda w: bool(re.fullmatch(r"[().+-]*[0-9]([0-9().+-]*[0-9)])?", w))
+        while at < len(words):
+            a, b = words[at]
+            at += 1
+            if not clear(a, b) or not re.search("[0-9@]", text[a:b]):
+                continue
+            last = a
+            while at < len(words) and words[at][0] == b + 1 and text[b] == " " and number(text[last:b].lstrip("\"'[{<")):
+                if not number(text[slice(*words[at])].rstrip(",;:!?.\"']}>")) or not clear(*words[at]):
+                    break
+                last, b = words[at]
+                at += 1
+            if "@" in text[a:b] or len(re.findall("[0-9]", text[a:b])) >= 4:
+                left = a + len(text[a:b]) - len(text[a:b].lstrip(pii.STRIP))
+                right = a + len(text[a:b].rstrip(pii.STRIP))
+                out.append((left - (left > a and text[left - 1] == "(" and ")" in text[left:right]), right))
+        return out
+
+    def words(text, strip):
+        return [w for w in WORD.findall(text) if w.strip(strip)]
+
+    rng, long = np.random.default_rng(4), "b" * 700
+    for _ in range(300):
+        text = "".join(rng.choice(["12", "345", "(6)", "7-8", "9.", "1,", " ", " ", "  ", "\n", "a@b", "x", "((", '"', "[", long, "0" * 200]) for _ in range(60))
+        taken = sorted((a, a + 2) for a in rng.choice(max(len(text) // 40, 1), 2, replace=False) * 40)
+        found = pii.identifier_like(text, taken)
+        assert found == plain(text, taken)
+        for a, b in found:
+            before, after = words(text[:a], "\"'([{"), words(text[b:], pii.STRIP)
+            assert pii._words_before(text, a, 2) == before[-2:] and pii._words_after(text, b, 1) == after[:1]
+
+
 def test_exact_groups(both):
     for frame, rows in both:
         groups = defaultdict(list)

@@ -3,7 +3,7 @@
 The entities of the fixed patterns are seeds. The words around them are lexical patterns; Spark scores the graph of
 patterns and instances in turns: a pattern is as good as the share of its instances that are known, an instance as
 good as its patterns together. Identifier-like strings that patterns of high confidence surround are reported too. The
-graph holds only strings with digits or an ``@``, and its shuffles are counts put together before they are sent.
+graph holds only strings with four digits or an ``@``, numbers written with blanks as one, and its shuffles are counts put together before they are sent.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
 GAP = re.compile(r"[\x20\x09-\x0D]")
 STRIP = ".,;:!?()[]{}<>\"'"
-ITEM = "struct<start:int,end:int,instance:string,kind:int,patterns:array<string>>"
+#: a word of a number that is written with blanks, marks before its first and after its last word, and the length from which names are digests
+PART, OPENS, ENDS, LONG = re.compile(r"[().+-]*[0-9](?:[0-9().+-]*[0-9)])?"), "\"'[{<", ",;:!?.\"']}>", 128
+ITEM = "struct<start:int,end:int,instance:string,kind:int,digits:int,dots:int,at:boolean,patterns:array<string>>"
 
 
 def luhn(digits: str) -> bool:
@@ -74,43 +76,104 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _word(text: str, at: int, least: int) -> tuple[int, int]:
+    """The word around a place, not before ``least``."""
+    left = at
+    while left > least and not GAP.match(text[left - 1]):
+        left -= 1
+    right = GAP.search(text, at)
+    return left, right.start() if right else len(text)
+
+
 def identifier_like(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Words with an ``@`` or at least four digits, without marks around them, that overlap no taken span."""
+    """Words with an ``@``, and runs of words with at least four digits in all, that overlap no taken span.
+
+    Words of digits, brackets, dots and hyphens with one blank between them are one run, as in ``(555) 123 4567``; a mark such
+    as a comma ends it. Marks around a span do not belong to it, but for a bracket that closes within.
+    """
     taken, out, at, i = sorted(taken), [], 0, 0
-    while m := HINT.search(text, at):
-        left = m.start()
-        while left > at and not GAP.match(text[left - 1]):
-            left -= 1
-        right = GAP.search(text, m.start())
-        right = right.start() if right else len(text)
-        at, word = right, text[left:right]
-        start = left + len(word) - len(word.lstrip(STRIP))
-        end = left + len(word.rstrip(STRIP))
+
+    def free(left: int, right: int) -> bool:
+        nonlocal i
         while i < len(taken) and taken[i][1] <= left:
             i += 1
-        if (i == len(taken) or taken[i][0] >= right) and end - start <= 128 and ("@" in word or sum(c in "0123456789" for c in word) >= 4):
-            out.append((start, end))
+        return i == len(taken) or taken[i][0] >= right
+
+    while m := HINT.search(text, at):
+        left, right = _word(text, m.start(), at)
+        at = right
+        if not free(left, right):
+            continue
+        n, mail, last = _digits(text[left:right]), "@" in text[left:right], left
+        while text[right : right + 1] == "\x20" and PART.fullmatch(text[last:right].lstrip(OPENS)):
+            end = GAP.search(text, right + 1)
+            end = end.start() if end else len(text)
+            if not PART.fullmatch(text[right + 1 : end].rstrip(ENDS)) or not free(right + 1, end):
+                break
+            n, last, right = n + _digits(text[right + 1 : end]), right + 1, end
+        at = right
+        word = text[left:right]
+        if mail or n >= 4:
+            start, end = left + len(word) - len(word.lstrip(STRIP)), left + len(word.rstrip(STRIP))
+            bracket = start > left and text[start - 1] == "(" and ")" in text[start:end]
+            out.append((start - bracket, end))
     return out
 
 
+def _digits(word: str) -> int:
+    return sum(c in "0123456789" for c in word)
+
+
 def _shape(word: str) -> str:
-    return re.sub("[0-9]", "0", word.lower())
+    """Digits count as one; a very long word is named by its digest."""
+    shape = re.sub("[0-9]", "0", word.lower())
+    return shape if len(shape) <= LONG else sha256(shape.encode()).hexdigest()
+
+
+def _words_before(text: str, at: int, n: int, reach: int = 100) -> list[str]:
+    """The last ``n`` words before a place, whole however long."""
+    while True:
+        low = max(0, at - reach)
+        words = [w for w in GAP.split(text[low:at])[low > 0 :] if w.strip("\"'([{")]
+        if len(words) >= n or not low:
+            return words[-n:]
+        reach *= 4
 
 
-def contexts(text: str, start: int, end: int, reach: int = 100) -> list[str]:
+def _words_after(text: str, at: int, n: int, reach: int = 100) -> list[str]:
+    """The first ``n`` words after a place, whole however long."""
+    while True:
+        high = min(len(text), at + reach)
+        parts = GAP.split(text[at:high])
+        words = [w for w in (parts[:-1] if high < len(text) else parts) if w.strip(STRIP)]
+        if len(words) >= n or high == len(text):
+            return words[:n]
+        reach *= 4
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
     """The patterns of a span: its two words before, and its word before with the one after."""
-    before = [w for w in GAP.split(text[max(0, start - reach) : start]) if w.strip("\"'([{")]
-    after = [w for w in GAP.split(text[end : end + reach]) if w.strip(STRIP)]
-    left = [_shape(w) for w in before[-2:]]
+    left = [_shape(w) for w in _words_before(text, start, 2)]
     left = ["^"] * (2 - len(left)) + left
+    after = _words_after(text, end, 1)
     return [f"L {left[0]} {left[1]}", f"R {left[1]} _ {_shape(after[0]) if after else '$'}"]
 
 
+def _item(text: str, kind: int, start: int, end: int) -> dict:
+    """A node of the graph; a very long instance is named by its digest, and what kinds ask for is counted here."""
+    word = text[start:end].lower()
+    return {
+        "start": start, "end": end, "instance": word if len(word) <= LONG else sha256(word.encode()).hexdigest(), "kind": kind,
+        "digits": _digits(word), "dots": word.count("."), "at": "@" in word, "patterns": contexts(text, start, end),
+    }
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with its fixed spans, and the instances with their patterns; no text goes on."""
     schema = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, items array<{ITEM}>"
     names = ["row", "doc_id", *[f"n_{k}" for k in KINDS], "base", "base_sha256", "items"]
-    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("kind", pa.int32()), ("patterns", pa.list_(pa.string()))])
+    whole = [(name, pa.int32()) for name in ("kind", "digits", "dots")]
+    item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), *whole, ("at", pa.bool_()), ("patterns", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +185,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 said = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in found)
                 n = Counter(k for k, _, _ in found)
                 each = [(k, a, b) for k, a, b in found] + [(-1, a, b) for a, b in identifier_like(text, spans)]
-                items = [{"start": a, "end": b, "instance": text[a:b].lower(), "kind": k, "patterns": contexts(text, a, b)} for k, a, b in each]
+                items = [_item(text, k, a, b) for k, a, b in each]
                 rows.append((n[0], n[1], n[2], n[3], said, sha256(said.encode()).hexdigest(), items))
             parts = list(zip(*rows)) or [()] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(item)]
@@ -160,16 +223,16 @@ def confident_patterns(items: DataFrame, *, rounds: int = ROUNDS, least_support:
 def personal_spans(docs: DataFrame, *, rounds: int = ROUNDS, least_support: int = LEAST_SUPPORT, least_confidence: float = LEAST_CONFIDENCE) -> DataFrame:
     """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found``.
 
-    Fixed spans are ``kind:start:end`` in code points; those that contexts find follow them as ``found_kind:start:end``. A null
+    Fixed spans are ``kind:start:end`` in code points; those that contexts find follow them as ``found_kind:start:end``. Found cards
+    have 12 to 19 digits, found phones 7 to 15, so lists of numbers with blanks only between them are neither. A null
     or empty text has none; repeated rows give repeated results, other columns are ignored, an empty table gives no rows.
     """
     scanned = materialise(scan(docs), "scanned")
     items = scanned.select("row", F.inline("items"))
     patterns = confident_patterns(items, rounds=rounds, least_support=least_support, least_confidence=least_confidence)
-    open_items = items.where("kind < 0").select("row", "start", "end", "instance", F.explode(F.array_distinct("patterns")).alias("pattern"))
-    digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    dots, at = F.length(F.regexp_replace("instance", "[^.]", "")), F.col("instance").contains("@")
-    suited = F.element_at(F.array(at, (dots >= 3) & (digits >= 4), digits >= 12, digits.between(7, 15) & ~at), F.col("kind") + 1)
+    open_items = items.where("kind < 0").select("row", "start", "end", "digits", "dots", "at", F.explode(F.array_distinct("patterns")).alias("pattern"))
+    digits, dots, at = F.col("digits"), F.col("dots"), F.col("at")
+    suited = F.element_at(F.array(at, (dots >= 3) & (digits >= 4), digits.between(12, 19), digits.between(7, 15) & ~at), F.col("kind") + 1)
     best = open_items.join(patterns, "pattern").where(suited).groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     names = F.array(*[F.lit(f"found_{k}") for k in KINDS])
     found = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))  # of one document
