@@ -138,13 +138,23 @@ def name_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "name string, plain boolean, n long").groupBy("name", "plain").agg(F.sum("n").alias("n"))
 
 
+def _commonest(counts: DataFrame, rows: int) -> list:
+    """The first rows by count. A histogram of the counts tells from where on they lie, so tasks send little more than these."""
+    level = F.floor(8 * F.log2("n"))
+    left, cut = rows, 0
+    for found in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # some hundred rows
+        left, cut = left - found["count"], found["level"]
+        if left <= 0:
+            break
+    return counts.where(level >= cut).orderBy(F.col("n").desc(), "name").limit(rows).collect()
+
+
 def identifier_dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES, least: int = 2) -> bytes:
     """The most frequent identifiers and, in the room they leave, plain words, the commonest last (nearest to the text)."""
     names, used = [], 0
-    for plain, room in ((False, size // 2), (True, size)):
-        # a name has 3 bytes at least: this many rows always fill the dictionary
-        top = counts.where((F.col("n") >= least) & (F.col("plain") == plain)).orderBy(F.col("n").desc(), "name").limit(size // 4).collect()
-        for row in top:
+    for plain, room, shortest in ((False, size // 2, 3), (True, size, LEAST_LENGTH)):
+        # so many rows always fill the room
+        for row in _commonest(counts.where((F.col("n") >= least) & (F.col("plain") == plain)), room // (shortest + 1) + 1):
             if used + len(row.name) + 1 > room:
                 break
             used += len(row.name) + 1
