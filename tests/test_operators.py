@@ -1,6 +1,7 @@
 """Hand-written frames for the quirks and edges of the operators."""
 
 import itertools
+import json
 import math
 from datetime import datetime, timedelta
 
@@ -642,6 +643,34 @@ def test_models_repeat_and_stay_in_range(spark, tmp_path):
     assert models.fit_linear(train, features)["a"] > 0
 
 
+def test_halving_keeps_the_best_and_finds_what_the_full_search_finds(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, float(a), float(b), int((a + 0.5 * b > 0.7) != (c < 0.1))) for i, (a, b, c) in enumerate(rng.random((500, 3)))]
+    df = frame(spark, rows, "i int, a double, b double, label int")
+    train, rest, space = df.where("i < 350"), df.where("i >= 350"), {"maxDepth": ("int", 1, 4), "stepSize": ("log", 0.02, 0.4)}
+    table, best, model = models.search_by_halving(train, rest, ["a", "b"], space, 4, rounds=8, factor=2)
+    fits = table.collect()
+    assert sorted((r.rung, r.rounds) for r in fits) == [(0, 2)] * 4 + [(1, 4)] * 2 + [(2, 8)]
+    whole, truth = {}, []
+    for trial, drawn in {r.trial: json.loads(r.params) for r in fits if r.rung == 0}.items():
+        full, losses = models.boost_with_patience(train, ["a", "b"], rest, patience=8, maxIter=8, subsamplingRate=0.8, **drawn)
+        whole[trial] = losses
+        truth.append((min(losses), trial, full.getNumTrees, drawn))
+    alive = set(whole)
+    for rung, n in enumerate((2, 1, 1)):
+        here = {r.trial: r for r in fits if r.rung == rung}
+        assert set(here) == alive
+        for trial, r in here.items():
+            assert r.loss == pytest.approx(min(whole[trial][: r.rounds]), rel=1e-12) and whole[trial][r.best_round - 1] == pytest.approx(r.loss)
+        alive = set(sorted(here, key=lambda trial: (here[trial].loss, trial))[:n])
+        assert {trial for trial, r in here.items() if r.goes_on} == alive
+    assert min(truth)[3] == best and min(truth)[2] == model.getNumTrees
+    one = models.search_by_halving(train, rest, ["a"], space, 1, rounds=2)[0].collect()
+    assert [(r.rung, r.rounds, r.goes_on) for r in one] == [(0, 2, True)]
+    with pytest.raises(ValueError):
+        models.search_by_halving(train, rest, ["a"], space, 2, factor=1)
+
+
 def test_draws_stay_in_their_spaces():
     import random
 

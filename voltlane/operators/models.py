@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import math
 import random
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -229,6 +231,50 @@ def search_parameters(
     return spark.createDataFrame(rows, schema), best[1]
 
 
+def search_by_halving(
+    train: DataFrame, validation: DataFrame, features: list[str], space: dict[str, tuple], trials: int, rounds: int = BOOSTING["maxIter"],
+    factor: int = 3, label: str = LABEL, positive_weight: float = 1.0, side_by_side: int = 4, seed: int = 42,
+) -> tuple[DataFrame, dict, GBTClassificationModel]:
+    """Successive halving over boosted trees: trials start with few rounds, and the better ones go on with ``factor`` times as many.
+
+    A trial is judged by the least validation loss of its rounds; of each rung the best ``1 / factor`` go on (ties: the earlier trial),
+    the last one has ``rounds``. A fit cannot be taken up again, so a trial that goes on is fitted anew, which adds at most
+    ``1 / (factor - 1)`` of its last fit. Fits of a rung run side by side, as Spark jobs of several threads.
+
+    Returns a row per fit (``rung, trial, params, rounds, best_round, loss, goes_on``), the best parameters, and their model cut
+    to its best round.
+    """
+    if trials < 1 or factor < 2:
+        raise ValueError("at least one trial, and a factor of two or more")
+    spark, rng = train.sparkSession, random.Random(seed)
+    drawn = [draw(space, rng) for _ in range(trials)]
+    weighted = assemble(with_class_weight(train, label, {0: 1.0, 1: positive_weight}), features)
+    rows = materialise(weighted.select("_features", "_weight", label), "train")
+    held = materialise(assemble(validation, features).select("_features", label, F.lit(1.0).alias("_weight")), "validation")
+    sizes = [trials]
+    while sizes[-1] > 1:
+        sizes.append(max(1, sizes[-1] // factor))
+
+    def fit(trial: int, most: int) -> tuple[float, int, int, GBTClassificationModel]:
+        settings = {**BOOSTING, **drawn[trial], "maxIter": most}
+        model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed, **settings).fit(rows)
+        losses = list(model.evaluateEachIteration(held))
+        best = losses.index(min(losses))
+        return losses[best], trial, best + 1, model
+
+    out, alive, found = [], list(range(trials)), []
+    with ThreadPool(min(side_by_side, trials)) as pool:
+        for rung in range(len(sizes)):
+            most = max(1, rounds // factor ** (len(sizes) - 1 - rung))
+            run = inheritable_thread_target(spark)(lambda trial, most=most: fit(trial, most))
+            found = sorted(pool.map(run, alive, chunksize=1), key=lambda r: r[:2])
+            alive = [r[1] for r in found[: sizes[min(rung + 1, len(sizes) - 1)]]]
+            out += [(rung, t, json.dumps(drawn[t], sort_keys=True), most, n, float(loss), t in alive) for loss, t, n, _ in found]
+    _, trial, best_round, model = found[0]
+    schema = "rung int, trial int, params string, rounds int, best_round int, loss double, goes_on boolean"
+    return spark.createDataFrame(out, schema), drawn[trial], first_trees(model, best_round)
+
+
 def save_model(model: Model, path: str, features: list[str], threshold: float, params: dict, spark: SparkSession) -> str:
     """Model, threshold, feature names and parameters below one path."""
     model.write().overwrite().save(f"{path}/model")

@@ -158,6 +158,22 @@ def search_parameters(spark, d):
     return trials.select("trial", (reduce(and_, shares) & (F.col("adj_f1") >= F.col("f1") - 1e-9)).alias("valid"), (F.col("f1") > 0.75).alias("finds_positives"))
 
 
+@query("search_by_halving", """SELECT rung, n_trials, rounds, n_go_on, TRUE AS best_go_on, TRUE AS ranks_labels
+    FROM (VALUES (0, 9, 3, 3), (1, 3, 9, 1), (2, 1, 27, 1)) t(rung, n_trials, rounds, n_go_on)""")
+def search_by_halving(spark, d):
+    """A row per rung: its fits, whether the ones with the least losses go on, and whether the last model ranks the test rows."""
+    rows = _split(spark, d)
+    space = {"maxDepth": ("int", 2, 6), "stepSize": ("log", 0.05, 0.5), "subsamplingRate": ("float", 0.6, 1.0)}
+    fits, _, model = op.search_by_halving(_part(rows, "train"), _part(rows, "val"), fx.FEATURES, space, 9, rounds=27)
+    scored = op.predict(model, _part(rows, "test"), fx.FEATURES)
+    found = op.evaluation(scored.select("label", "score"), 0.5).select((F.col("auroc") > 0.8).alias("ranks_labels"))
+    rungs = fits.groupBy("rung").agg(
+        F.count(F.lit(1)).cast("int").alias("n_trials"), F.first("rounds").alias("rounds"), F.sum(F.col("goes_on").cast("int")).cast("int").alias("n_go_on"),
+        (F.max(F.when(F.col("goes_on"), F.col("loss"))) <= F.coalesce(F.min(F.when(~F.col("goes_on"), F.col("loss"))), F.lit(float("inf")))).alias("best_go_on"),
+    )
+    return scalar_join(rungs, found)
+
+
 @query("evaluate_saved_model", "SELECT TRUE AS valid, TRUE AS ranks_labels, TRUE AS finds_positives")
 def evaluate_saved_model(spark, d):
     rows = _split(spark, d)
