@@ -8,11 +8,12 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from voltlane.functions.columns import title_case
 from voltlane.functions import signals
-from voltlane.operators import attributions, cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
+from voltlane.operators import attributions, cells, cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
 from voltlane.plans.joins import IntervalTree, interval_join
 from voltlane.sources import catalogue, readers
 from voltlane.streaming import operators as streaming
@@ -373,6 +374,60 @@ def test_tree_attributions_equal_brute_force_and_add_up(spark):
             np.testing.assert_allclose(rows.loc[i, "base"], base, atol=1e-9)
 
 
+def repeated_rows(spark, copies, n=1500):
+    rng = np.random.default_rng(41)
+    x = np.column_stack([rng.integers(0, 6, n), rng.integers(0, 5, n) / 4, rng.integers(0, 3, n)]).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 1] < 0.6)) ^ (rng.random(n) < 0.1)
+    rows = [(*map(float, r), int(t), i) for i, (r, t) in enumerate(zip(x, y))]
+    return frame(spark, rows, "a double, b double, c double, label int, i int").crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
+
+
+def test_fits_on_cells_take_as_many_rows_whatever_the_copies(spark):
+    names = ["a", "b", "c"]
+    sizes = [cells.cells(models.with_class_weight(repeated_rows(spark, n), "label"), names, "label").rows for n in (1, 8)]
+    assert sizes[0].count() == sizes[1].count() <= 180
+    assert sizes[1].agg(F.sum("_n")).first()[0] == 8 * sizes[0].agg(F.sum("_n")).first()[0] == 12_000
+    missing = repeated_rows(spark, 2).withColumn("a", F.when(F.col("i") == 3, F.lit(None)).otherwise(F.col("a")))
+    assert cells.cells(models.with_class_weight(missing, "label"), names, "label") is None
+
+
+def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch):
+    names, df = ["a", "b", "c"], repeated_rows(spark, 3)
+    train, held = df.where("i % 3 > 0"), df.where("i % 3 = 0")
+    settings = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.3, "subsamplingRate": 1.0}
+    found = {}
+    for fewer in (2, 1 << 40):
+        monkeypatch.setattr(cells, "FEWER", fewer)
+        model, losses = models.boost_with_patience(train, names, held, patience=4, positive_weight=2.0, **settings)
+        found[fewer] = losses, [r.score for r in models.predict(model, held, names).orderBy("i", "copy").collect()], model.featureImportances.toArray()
+    for a, b in zip(*found.values()):
+        np.testing.assert_allclose(a, b, rtol=1e-9)
+
+
+def test_forests_on_cells_draw_rows_one_by_one(spark):
+    names, df = ["a", "b", "c"], repeated_rows(spark, 4)
+    one, two = (models.fit_random_forest(df, names, weights={0: 1.0, 1: 1.0}, numTrees=30, maxDepth=4) for _ in range(2))
+    roots = attributions.stored_nodes(one, spark).query("id == 0")["impurityStats"].map(sum)
+    assert abs(roots.mean() - 6000) < 80 and 30 < roots.std() < 140  # Poisson(6000), with a deviation of 77
+    spark_own = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=30, maxDepth=4, featureSubsetStrategy="sqrt", seed=1).fit(models.assemble(df, names))
+    a, b, c = ([r.score for r in models.predict(m, df.where("copy = 0"), names).orderBy("i").collect()] for m in (one, two, spark_own))
+    assert a == b and np.abs(np.subtract(a, c)).max() < 0.12 and np.corrcoef(a, c)[0, 1] > 0.98
+
+
+def test_bins_put_equal_values_below_a_cut_and_missing_ones_on_top(spark):
+    rows = [(0, 0.5), (1, 0.75), (2, 0.7500001), (3, 9.0), (4, float("nan")), (5, None), (6, float("-inf"))]
+    got = cells.binned(frame(spark, rows, "i int, x double"), {"x": [0.5, 0.75]}).orderBy("i").collect()
+    assert [r["_bin_0"] for r in got] == [0, 1, 2, 2, 2, 2, 0]
+
+
+def test_attributions_are_computed_once_for_rows_between_the_same_cuts(spark, monkeypatch):
+    names, df = ["a", "b", "c"], repeated_rows(spark, 4)
+    model, seen = models.fit_boosted_trees(df, names, maxIter=3, maxDepth=3), []
+    monkeypatch.setattr(attributions, "settled", lambda t: seen.append(t.count()) or t)
+    got = attributions.tree_attributions(model, df, names)
+    assert got.count() == 6000 and len(seen) == 1 and seen[0] <= 90 and got.columns == [*df.columns, *[f"{n}_contribution" for n in names], "base"]
+
+
 def test_boosting_goes_on_until_patience_ends_and_keeps_the_best_rounds(spark, monkeypatch):
     assert models.stopped([3, 2, 2.5, 2.4, 1.9, 2], 3) == (4, None)
     assert models.stopped([3, 2, 2.5, 2.4, 2.2, 1], 3) == (1, 4)

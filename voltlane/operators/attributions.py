@@ -21,7 +21,12 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlane.session import release, shared_path
+from voltlane.operators.cells import binned, inside
+from voltlane.plans.joins import unused
+from voltlane.plans.ordering import settled
+from voltlane.session import materialise, release, shared_path
+
+CELLS_IN_TASK = 2048
 
 
 def stored_nodes(model: Model, spark: SparkSession) -> pd.DataFrame:
@@ -66,6 +71,14 @@ class Leaf:
         return out
 
 
+def tree_cuts(model: Model, spark: SparkSession, features: list[str]) -> dict[str, list[float]]:
+    """All places where a tree of the ensemble cuts each feature, ascending."""
+    nodes = stored_nodes(model, spark)
+    nodes = nodes[nodes["leftChild"] >= 0]
+    places = nodes["leftCategoriesOrThreshold"].map(lambda x: float(x[0]))
+    return {f: sorted(set(places[nodes["featureIndex"] == i])) for i, f in enumerate(features)}
+
+
 def flattened(model: Model, spark: SparkSession) -> list[Leaf]:
     """All leaves: of boosted trees with their part of the margin, of a forest with their part of the probability of class 1."""
     nodes, leaves = stored_nodes(model, spark), []
@@ -91,6 +104,12 @@ def flattened(model: Model, spark: SparkSession) -> list[Leaf]:
     return leaves
 
 
+def leaf_cuts(leaves: list[Leaf], feature: int) -> Iterator[float]:
+    for leaf in leaves:
+        at = leaf.features == feature
+        yield from (float(x) for x in (*leaf.low[at], *leaf.high[at]) if np.isfinite(x))
+
+
 def explained(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Contributions (row x feature) to the ensemble's output, and what it is expected to be without any feature."""
     out = np.zeros(x.shape)
@@ -113,15 +132,24 @@ def tree_attributions(model: Model, df: DataFrame, features: list[str]) -> DataF
     """``<feature>_contribution`` for every feature, and ``base``; together they are the model's output for the row.
 
     The output is the margin (raw prediction of class 1) of boosted trees, and the probability of class 1 of a forest. Missing
-    values are explained as the trees treat them.
+    values are explained as the trees treat them. Rows between the same cuts of the trees have the same contributions, so these are
+    computed once for every such cell that occurs, and joined to the rows.
     """
     leaves = flattened(model, df.sparkSession)
     names = [f"{f}_contribution" for f in features]
+    cuts = {f: sorted(set(leaf_cuts(leaves, i))) for i, f in enumerate(features)}
+    prefix = unused("_cell_", df.columns)
+    bins = [f"{prefix}{i}" for i in range(len(features))]
+    placed = binned(df, cuts, prefix)
+    found = materialise(placed.select(*bins).distinct(), "cells")
+    parts = -(-found.count() // CELLS_IN_TASK)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found, base = explained(leaves, frame[features].astype(float).to_numpy())
-            yield frame.assign(**{n: found[:, i] for i, n in enumerate(names)}, base=base)
+            worth, base = explained(leaves, frame[features].to_numpy())
+            yield frame[bins].assign(**{n: worth[:, i] for i, n in enumerate(names)}, base=base)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return df.mapInPandas(run, ", ".join([*fields, *[f"`{n}` double" for n in names], "base double"]))
+    fields = ", ".join(f"`{n}` double" for n in [*bins, *names, "base"])
+    values = found.repartition(max(parts, 1), *bins).select(*bins, *inside(cuts, prefix))
+    worth = settled(values.mapInPandas(run, fields))
+    return placed.join(worth, bins).select(*df.columns, *names, "base")
