@@ -572,6 +572,15 @@ def test_batches_go_on_after_a_failure(spark, tmp_path):
     assert streaming.scan_in_batches(spark, folder, schema, target, state, lambda rows: rows.select("id")).count() == 50
 
 
+def test_readings_at_the_same_time_are_kept_and_repeated_ones_are_not(spark, tmp_path):
+    rows = frame(spark, [(1, "a", at(0), 1.0), (2, "a", at(0), 2.0), (3, "b", at(0), 1.0)], "event_id long, station string, ts timestamp, value double")
+    for _ in range(2):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.stream_readings(spark, str(tmp_path / "in"), rows.schema)
+    got = streaming.run_available(streaming.stream_dedup(stream, key=("event_id",)), str(tmp_path / "out"))
+    assert sorted((r.event_id, r.value) for r in got.collect()) == [(1, 1.0), (2, 2.0), (3, 1.0)]
+
+
 def test_intervals_that_come_between_two_batches_are_used(spark, tmp_path):
     folder, target, state, table = (str(tmp_path / n) for n in ("in", "out", "state", "intervals"))
     points = frame(spark, [("a", T0 + timedelta(minutes=i), i) for i in range(10)], "station string, ts timestamp, id int")

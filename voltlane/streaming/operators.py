@@ -36,9 +36,14 @@ def stream_label(readings: DataFrame, intervals: DataFrame, merged: bool = False
     return label_points_by_interval(readings, intervals, merged=merged)
 
 
-def stream_dedup(readings: DataFrame, delay: str = "10 minutes", station: str = STATION, ts: str = TS) -> DataFrame:
-    """First reading per station and time among those that arrive within the watermark delay."""
-    return readings.withWatermark(ts, delay).dropDuplicatesWithinWatermark([station, ts])
+def stream_dedup(
+    readings: DataFrame, delay: str = "10 minutes", station: str = STATION, ts: str = TS, key: tuple[str, ...] = ()
+) -> DataFrame:
+    """First reading per station and time among those that arrive within the watermark delay.
+
+    ``key`` names what else tells readings apart, where a station may have several at the same time.
+    """
+    return readings.withWatermark(ts, delay).dropDuplicatesWithinWatermark([station, ts, *key])
 
 
 def run_available(stream: DataFrame, path: str, output_mode: str = "append") -> DataFrame:
