@@ -119,6 +119,11 @@ def test_zero_duration_is_outside_and_equal_durations_make_one_bin(spark):
     assert got == {("a", "0-5"): (1, 1), ("a", "5-10"): (1, 1), ("a", "10+"): (1, 1), ("b", "7.0"): (2, 0)}
 
 
+def test_minutes_are_rounded_once(spark):
+    rows = frame(spark, [("a", T0, T0 + timedelta(microseconds=m)) for m in (90_780_000, 60_060_000, 7)], "station string, start_ts timestamp, end_ts timestamp")
+    assert [r.duration_minutes for r in intervals.interval_durations(rows).orderBy("end_ts").collect()] == [7 / 60e6, 1.001, 1.513]
+
+
 def test_regular_grid_keeps_the_last_value(spark):
     df = frame(spark, [("a", at(0), 1.0), ("a", at(3), None), ("a", at(3.5), 4.0), ("a", at(5), 5.0)], "station string, ts timestamp, v double")
     got = [(r["slot"], r["v"]) for r in cleaning.regularise_ffill(df, ["v"], 60).orderBy("slot").collect()]

@@ -65,9 +65,9 @@ def overlap_summary(intervals: DataFrame, part: str = STATION, start: str = STAR
 
 
 def interval_durations(intervals: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """Intervals with their length in seconds and minutes."""
-    seconds = seconds_between(start, end)
-    return intervals.withColumns({"duration_seconds": seconds, "duration_minutes": seconds / 60})
+    """Intervals with their length in seconds and minutes, each rounded once: lengths that are equal to a bound compare as equal."""
+    minutes = (F.unix_micros(end) - F.unix_micros(start)) / 60_000_000.0
+    return intervals.withColumns({"duration_seconds": seconds_between(start, end), "duration_minutes": minutes})
 
 
 def _merged_small(intervals: DataFrame) -> DataFrame:
