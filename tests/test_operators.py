@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import threading
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -15,6 +16,7 @@ from voltlane.functions.columns import title_case
 from voltlane.functions import signals
 from voltlane.operators import attributions, cells, cleaning, intervals, metrics, models, profiles, ranking, sampling, series, spectra
 from voltlane.plans.joins import IntervalTree, interval_join
+from voltlane.session import side_by_side
 from voltlane.sources import catalogue, readers
 from voltlane.streaming import operators as streaming
 
@@ -387,6 +389,18 @@ def repeated_rows(spark, copies, n=1500):
     return frame(spark, rows, "a double, b double, c double, label int, i int").crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
 
 
+def test_jobs_side_by_side_have_their_own_properties(spark):
+    sc, together = spark.sparkContext, threading.Barrier(3, timeout=60)
+
+    def own(i):
+        sc.setLocalProperty("test.own", str(i))
+        together.wait()
+        return sc.getLocalProperty("test.own")
+
+    assert side_by_side(spark, own, range(3), 3) == ["0", "1", "2"]
+    assert sc.getLocalProperty("test.own") is None
+
+
 def test_fits_on_cells_take_as_many_rows_whatever_the_copies(spark):
     names = ["a", "b", "c"]
     sizes = [cells.cells(models.with_class_weight(repeated_rows(spark, n), "label"), names, "label").rows for n in (1, 8)]
