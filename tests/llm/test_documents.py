@@ -308,6 +308,30 @@ def test_maximal_repeats_have_all_occurrences(table, rows, settings):
         assert {(i, j) for i, j in where[text[:50]] if texts[i][j : j + len(text)] == text} == {(i, j) for _, i, j in spots}
 
 
+def test_shards_leave_out_places_inside_a_shared_passage():
+    """A passage that two stretches share says all at its first byte; the places after it need no interval tree."""
+    rng = np.random.default_rng(1)
+    shared, tails = rng.integers(0, 256, 70, np.uint8), rng.integers(0, 256, (2, 10), np.uint8)
+    tails[1, 0] = tails[0, 0] ^ 1
+    lead = np.array([[1], [2]], np.uint8)
+    data = np.concatenate([lead[0], shared, tails[0], lead[1], shared, tails[1]])
+    shard = repeats.Shard(data, np.array([81, 81], np.uint16), np.array([3, 7]), 50)
+    which = shard.which.tolist()
+    assert len(list(shard.repeats())) == 1
+    assert shard.covered_heads() == [(which[1], 1, 71)]
+
+
+def test_rolling_hash_equals_its_polynomial():
+    data = np.random.default_rng(2).integers(0, 256, 100_000, np.uint8)
+    for size in (1, 7, 24, 40):
+        got, base, whole = common.rolling_hash(data, size), 0x9E3779B97F4A7C15, (1 << 64) - 1
+        assert len(got) == len(data) - size + 1
+        for at in (0, 1, 32_767, 32_768, len(got) - 1):
+            value = sum((int(x) + 1) * pow(base, j, 1 << 64) for j, x in enumerate(data[at : at + size])) & whole
+            assert got[at] == common.mix(np.array([value], np.uint64))[0]
+    assert not len(common.rolling_hash(data[:23], 24))
+
+
 def test_interval_tree():
     text = "mississippi"
     suffixes = sorted(range(len(text)), key=lambda i: text[i:])

@@ -23,6 +23,8 @@ _LOW = np.uint64((1 << 31) - 1)
 _ROLL = 0x9E3779B97F4A7C15
 #: slices beyond this many bytes are summed in parts, so that no sum passes 64 bits
 _LONGEST = 1 << 23
+#: bytes that are hashed at once
+_STRETCH = 1 << 15
 
 
 def worker_store(name: str) -> dict:
@@ -186,13 +188,26 @@ def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
 
 
 def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
-    """A cheap hash of every window of ``size`` bytes, to choose among windows by; it doesn't stand for their content."""
+    """A cheap hash of every window of ``size`` bytes, to choose among windows by; it doesn't stand for their content.
+
+    A polynomial in the bytes modulo 2**64, put together from windows of half the size, in stretches that stay in the processor's cache.
+    """
     n = max(len(data) - size + 1, 0)
-    base, inverse = np.uint64(_ROLL), np.uint64(pow(_ROLL, -1, 1 << 64))
-    powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), b)]), dtype=np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base)[:-1], out=total[1:])
-    return mix((total[size:] - total[: n]) * powers(inverse)[:n]) if n else np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, _STRETCH):
+        part, width = data[a : a + _STRETCH + size - 1].astype(np.uint64), 1
+        part += np.uint64(1)
+        done, whole = 0, None
+        while True:
+            if size & width:  # the window's next ``width`` bytes
+                ahead = part[done : done + min(n - a, _STRETCH)] * np.uint64(pow(_ROLL, done, 1 << 64))
+                whole, done = ahead if whole is None else whole + ahead, done + width
+            if done == size:
+                break
+            part = part[: len(part) - width] + part[width:] * np.uint64(pow(_ROLL, width, 1 << 64))
+            width *= 2
+        out[a : a + _STRETCH] = mix(whole)
+    return out
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from voltlane.llm.common import flat, mix, owner, prefix_hash, rolling_hash, siz
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LENGTH, SEED_BYTES, SPLIT_BYTES, CHUNK = 50, 24, 40, 1 << 20
+LENGTH, SEED_BYTES, SPLIT_BYTES, CHUNK, HASHED = 50, 24, 40, 1 << 20, 1 << 15
 GROUP_BYTES, SHARD_BYTES, HOT_GROUPS = (2 << 20, 8 << 20), 4 << 20, 64
 NO_ID = np.iinfo(np.int64).min
 
@@ -91,10 +91,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, seed: int, length: int) -
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each slice; slices are short and in order of their start, so chunks of the data suffice."""
     out = np.zeros((2, len(starts)), np.uint64)
-    cuts = np.searchsorted(starts, np.arange(0, len(data) + CHUNK, CHUNK))
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + HASHED, HASHED))
     for i, (p, q) in enumerate(zip(cuts, cuts[1:])):
         if p < q:
-            a = i * CHUNK
+            a = i * HASHED
             part = data[a : int(ends[p:q].max())]
             for w in (0, 1):
                 out[w, p:q] = slice_hash(prefix_hash(part, w), starts[p:q] - a, ends[p:q] - a, w)
@@ -103,7 +103,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 
 def distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First occurrence of each distinct pair of hashes, and which of them every entry is."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(keys) else np.zeros(0, np.int64)
     if len(first) and (check[first[inverse]] != check).any():
         order = np.lexsort((check, keys))
         new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (check[order][1:] != check[order][:-1])])
@@ -115,10 +120,10 @@ def distinct(keys: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def least_of(group: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest value of each of the ``n`` groups; every group occurs."""
-    order = np.lexsort((values, group))
-    first = np.searchsorted(group[order], np.arange(n))
-    last = np.append(first[1:], len(order)) - 1
-    return values[order][first], values[order][last]
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, group, values)
+    np.maximum.at(high, group, values)
+    return low, high
 
 
 class Group:
@@ -137,7 +142,8 @@ class Group:
 
     def by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The entries of each shard that has some, in a fixed order."""
-        shard = (keys % np.uint64(self.n_shards)).astype(np.int64)
+        # small numbers are sorted by their digits
+        shard = (keys % np.uint64(self.n_shards)).astype(np.uint16 if self.n_shards <= 1 << 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.diff(shard[order])) + 1
         for part in np.split(order, cuts) if len(order) else []:
@@ -285,7 +291,7 @@ class Shard:
         """Suffixes of at least ``length`` bytes that begin like one of another class, in order: class, place, rest, block.
 
         A block holds those with equal first ``length`` bytes, sorted by the rest; ``rest`` has the bytes beyond and, last,
-        their number.
+        their number. Blocks whose suffixes all have the same byte before them are left out.
         """
         starts = self.cut[self.first]
         n = self.cut[self.first + 1] - starts - self.length + 1
@@ -297,6 +303,12 @@ class Shard:
         keys[order], check[order] = span_hashes(self.data, at[order], at[order] + self.length)
         _, block = distinct(keys, check)
         common = np.flatnonzero(np.bincount(block)[block] > 1)
+        # where all have the same byte before them, the block of the suffixes that begin there says all that this one does
+        before, some = self.before(at[common], place[common]), np.zeros(len(block), np.int64)
+        some[block[common]] = before
+        open_ = np.zeros(len(block), bool)
+        open_[block[common][(before < 0) | (before != some[block[common]])]] = True
+        common = common[open_[block[common]]]
         cls, place, at, block = cls[common], place[common], at[common], block[common]
         left = (n[cls] - 1 - place).astype(np.int64)  # bytes beyond the first ``length``
         widest = -(-max(int(left.max()) if len(left) else 0, 1) // 8) * 8
@@ -310,6 +322,10 @@ class Shard:
         order = np.lexsort((left, *words.T[::-1], block))
         return cls[order], place[order], np.concatenate([rest, left.astype(np.uint8)[:, None]], 1)[order], block[order]
 
+    def before(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The byte before each suffix; -1: none."""
+        return np.where(place > 0, self.data[np.maximum(at - 1, 0)].astype(np.int64), -1)
+
     def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]]:
         """For each block with more than one class: classes, places, left bytes (-1: none) and its interval tree."""
         cls, place, rest, block = self.shared_suffixes()
@@ -319,7 +335,7 @@ class Shard:
         same = rest[1:, :width] == rest[:-1, :width]
         beyond = np.where(same.all(1), width, np.argmin(same, 1))
         lcp = self.length + np.minimum(beyond, np.minimum(left[1:], left[:-1]))
-        before = np.where(place > 0, self.data[np.maximum(self.cut[self.first[cls]] + place - 1, 0)].astype(np.int64), -1)
+        before = self.before(self.cut[self.first[cls]] + place, place)
         edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             yield cls[a:b], place[a:b], before[a:b], interval_tree(lcp[a : b - 1].tolist())
