@@ -676,6 +676,26 @@ def test_silhouette_in_blocks(spark):
     assert ranking.silhouette_by_label(df.withColumn("label", F.lit(1)), "i", "x").first()["silhouette"] is None
 
 
+def test_rows_of_distances_travel_to_few_tasks(spark, monkeypatch):
+    """Groups are as large as a task can hold, so that what is shuffled follows the rows, and hold what they are told at most."""
+    copies = lambda n, **sizes: sum(ranking._grid(n, n, **sizes))
+    assert copies(120_000, most=65_536, block_rows=2048, tasks=48) == copies(240_000, most=65_536, block_rows=2048, tasks=48) <= 14
+    assert copies(720_000, most=65_536, block_rows=2048, tasks=48) <= 22
+    assert ranking._grid(2000, 720_000, most=65_536, block_rows=2048, tasks=48) == (1, 48)
+    assert ranking._grid(0, 0, most=10, block_rows=10, tasks=48) == (1, 1)
+    monkeypatch.setattr(ranking, "TASK_BYTES", 8 * 3 * 20)
+    test_silhouette_in_blocks(spark)
+
+
+def test_distances_of_float_vectors_leave_out_missing_labels(spark):
+    rows = [(i, [float(i % 7), float(i % 5)], [0, 1, None][i % 3]) for i in range(50)]
+    whole = frame(spark, rows, "i long, x array<double>, label int")
+    known = whole.where("label IS NOT NULL")
+    got = [ranking.silhouette_by_label(df, "i", "x", block_rows=8).first() for df in (whole, known, known.withColumn("x", F.col("x").cast("array<float>")))]
+    assert got[0]["rows"] == got[1]["rows"] == 34
+    assert got[0]["silhouette"] == pytest.approx(got[1]["silhouette"]) == pytest.approx(got[2]["silhouette"])
+
+
 def test_ranks_share_ties_and_skip_missing(spark):
     rows = [("m", "a", 3.0), ("m", "b", 3.0), ("m", "c", 1.0), ("n", "a", 5.0), ("n", "b", None), ("n", "c", 9.0)]
     got = {r["feature"]: r for r in ranking.rank_and_mean_rank(frame(spark, rows, "method string, feature string, score double"), ["m", "n"]).collect()}

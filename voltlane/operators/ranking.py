@@ -226,41 +226,84 @@ def _mean_silhouette(sums: DataFrame) -> DataFrame:
     return _silhouettes(sums).agg(F.avg("worth").alias("silhouette"), F.count(F.lit(1)).alias("rows"))
 
 
+#: vectors of one side that a task of distances holds, and tasks for each core
+TASK_BYTES, TASKS_A_CORE = 32 << 20, 4
+
+
+def _grid(some: int, rows: int, most: int, block_rows: int, tasks: int) -> tuple[int, int]:
+    """Into how many groups both sides are cut: of ``most`` rows at most, for so many pairs of groups if they have ``block_rows`` rows.
+
+    A row travels once for each group of the other side, so groups are as large as tasks can hold, and the larger ones are cut first.
+    """
+    sizes = (some, rows)
+    cut, finest = ([max(1, -(-n // size)) for n in sizes] for size in (most, block_rows))
+    while cut[0] * cut[1] < tasks and cut != finest:
+        side = max((s for s in (0, 1) if cut[s] < finest[s]), key=lambda s: sizes[s] / cut[s])
+        cut[side] += 1
+    return cut[0], cut[1]
+
+
 def _distance_sums(some: DataFrame, rows: DataFrame, block_rows: int) -> DataFrame:
-    """Sums of distances from each of ``some`` rows to every class: every pair of row blocks is one small matrix product."""
-    blocks = {side: max(1, -(-df.count() // block_rows)) for side, df in (("_i", some), ("_j", rows))}
-    placed = lambda df, side: df.withColumn(side, F.pmod(F.xxhash64("_key"), F.lit(blocks[side])))
-    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[side] - 1).cast("long")))
-    left = placed(some, "_i").withColumn("_j", every("_j"))
-    right = placed(rows, "_j").withColumn("_i", every("_i"))
+    """Sums of distances from each of ``some`` rows to every class: every pair of row groups is a task of small matrix products."""
+    spark = rows.sparkSession
+    width = F.greatest(F.coalesce(F.max(F.size("_x")), F.lit(1)), F.approx_count_distinct("label"), F.lit(1))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), width.alias("width")).first()
+    most = max(block_rows, TASK_BYTES // (8 * found["width"]))
+    groups = dict(zip(("_i", "_j"), _grid(some.count(), found["n"], most, block_rows, TASKS_A_CORE * spark.sparkContext.defaultParallelism)))
+    placed = lambda df, side: df.withColumn(side, F.pmod(F.xxhash64("_key"), F.lit(groups[side])))
+    every = lambda side: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups[side] - 1).cast("long")))
+    # pairs of groups are few bytes but much work, so that partitions are not put together and few of them get two
+    dealt = lambda df: df.repartition(4 * groups["_i"] * groups["_j"], "_i", "_j").groupBy("_i", "_j")
+    left = dealt(placed(some, "_i").withColumn("_j", every("_j")))
+    right = dealt(placed(rows, "_j").withColumn("_i", every("_i")))
     label_type = dict(rows.dtypes)["label"]
     schema = f"_key {dict(rows.dtypes)['_key']}, label {label_type}, other {label_type}, total double, n long"
 
-    def block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def group_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"_key": a["_key"][:0], "label": a["label"][:0], "other": b["label"][:0], "total": [], "n": []})
-        x, y = np.stack(a["_x"].to_numpy()), np.stack(b["_x"].to_numpy())
-        squared = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-        same = a["_key"].to_numpy()[:, None] == b["_key"].to_numpy()[None, :]
-        distance = np.where(same, 0.0, np.sqrt(np.maximum(squared, 0.0)))
-        out = []
-        for other in b["label"].unique():
-            chosen = (b["label"] == other).to_numpy()
-            n = chosen.sum() - (same & chosen).sum(1)
-            out.append(pd.DataFrame({"_key": a["_key"], "label": a["label"], "other": other, "total": distance[:, chosen].sum(1), "n": n}))
-        return pd.concat(out)
-
-    pieces = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(block_sums, schema)
+        b = b[b["label"].notna()].sort_values("label")
+        others, first = np.unique(b["label"].to_numpy(), return_index=True)
+        classes = np.repeat(np.arange(len(others)), np.diff(np.append(first, len(b))))
+        keys = pd.factorize(pd.concat([a["_key"], b["_key"]]))[0]
+        mine, theirs = keys[: len(a)], keys[len(a) :]
+        x, y = (np.stack(df["_x"].to_numpy()).astype(float) if len(df) else np.zeros((0, 1)) for df in (a, b))
+        total, n = np.zeros((len(a), len(others))), np.zeros((len(a), len(others)), np.int64)
+        for p in range(0, len(a), block_rows):
+            at = slice(p, p + block_rows)
+            for q in range(0, len(b), block_rows):
+                to = slice(q, q + block_rows)
+                distance = x[at] @ y[to].T
+                distance *= -2
+                distance += (x[at] * x[at]).sum(1)[:, None]
+                distance += (y[to] * y[to]).sum(1)[None, :]
+                np.sqrt(np.maximum(distance, 0.0, out=distance), out=distance)
+                own = np.nonzero(mine[at, None] == theirs[None, to])
+                distance[own] = 0.0
+                starts = np.flatnonzero(np.diff(classes[to], prepend=-1))
+                total[at, classes[to][starts]] += np.add.reduceat(distance, starts, axis=1)
+                n[at] += np.bincount(classes[to], minlength=len(others))
+                np.subtract.at(n[at], (own[0], classes[to][own[1]]), 1)
+        each = lambda c: np.repeat(a[c].to_numpy(), len(others))
+        return pd.DataFrame({"_key": each("_key"), "label": each("label"), "other": np.tile(others, len(a)), "total": total.ravel(), "n": n.ravel()})
+
+    pieces = left.cogroup(right).applyInPandas(group_sums, schema)
     return pieces.groupBy("_key", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def _points(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """``_key, label, _x``; floats stay floats, which are half as many bytes on the way."""
+    x = F.col(vector) if dict(df.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
+    return df.select(F.col(key).alias("_key"), F.col(label).alias("label"), x.alias("_x"))
+
+
 def silhouette_by_label(df: DataFrame, key: str, vector: str, label: str = LABEL, block_rows: int = 2048) -> DataFrame:
     """Mean Euclidean silhouette of the given classes; null with one class.
 
-    The mean of distances has no shortcut, so the work is quadratic, in blocks of which only sums per row and class are left. Use it
+    The mean of distances has no shortcut, so the work is quadratic, in groups of rows of which only sums per row and class are left. Use it
     on a sample as the embedding reports do, and ``silhouette_sampled`` or ``silhouette_squared`` on whole tables.
     """
-    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_x"))
+    rows = _points(df, key, vector, label)
     return _mean_silhouette(_distance_sums(rows, rows, block_rows))
 
 
@@ -273,7 +316,7 @@ def silhouette_sampled(
     interval is ``deviations`` standard errors of such a stratified mean on either side (3.29: 99.9 %), and has no width where all rows are
     drawn. Draws are hashes of the key.
     """
-    rows = df.select(F.col(key).alias("_key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("_x"))
+    rows = _points(df, key, vector, label)
     sizes = settled(rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
     drawn = F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < F.lit(per_class) / F.col("_n")
     some = settled(rows.join(sizes, "label").where(drawn).select("_key", "label", "_x"))
