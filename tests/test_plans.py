@@ -5,7 +5,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from voltlane.operators import series
+from voltlane.operators import sampling, series
 from voltlane.plans.joins import interval_join
 from voltlane.queries import QUERIES, fixtures
 
@@ -50,6 +50,14 @@ def test_scans_read_only_what_is_used(spark):
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))]" in text
 
 
+def test_copies_are_dropped_before_a_difference_moves_them(spark):
+    rows = spark.range(20).selectExpr("id % 10 AS k")
+    found = sampling.difference_timestamps(rows, rows.where("k > 6"), ["k"])
+    sides = found._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[1]
+    assert sides.count("Aggregate") == 2
+    assert sorted(r.k for r in found.collect()) == list(range(7))
+
+
 def test_window_statistics_move_rows_once(spark):
     spec = series.SlidingWindows(86400, 21600, expected=24)
     rows = series.downsample_time(fixtures.readings(spark, SF), ["value"], 3600)
