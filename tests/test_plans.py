@@ -5,7 +5,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-from voltlane.operators import sampling, series
+from voltlane.operators import ranking, sampling, series
 from voltlane.plans.joins import interval_join
 from voltlane.queries import QUERIES, fixtures
 
@@ -58,6 +58,13 @@ def test_copies_of_removed_keys_are_dropped_before_the_join(spark):
     assert sorted(r.k for r in found.collect()) == list(range(7))
 
 
+def test_neighbours_are_written_before_all_values_are_put_in_order(spark, monkeypatch):
+    seen, within = [], ranking._rows_within
+    monkeypatch.setattr(ranking, "_rows_within", lambda counts, near, label: seen.append(plan(near)) or within(counts, near, label))
+    QUERIES["mutual_information_nearest"](spark, SF)
+    assert len(seen) == 1 and "Window" not in seen[0]
+
+
 def test_window_statistics_move_rows_once(spark):
     spec = series.SlidingWindows(86400, 21600, expected=24)
     rows = series.downsample_time(fixtures.readings(spark, SF), ["value"], 3600)

@@ -95,7 +95,9 @@ def mutual_information_nearest(df: DataFrame, features: list[str], label: str =
     counts = settled(rows.groupBy("column", label, F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
     classes = settled(counts.groupBy("column", label).agg(F.sum("n").alias("class_n")).where("class_n > 1"))
     counts = counts.join(classes, ["column", label])
-    within = _rows_within(counts, _class_neighbours(counts, label, k, block_rows), label)
+    # written first, as the order of all values would compute it once more to find its bounds
+    near = settled(_class_neighbours(counts, label, k, block_rows))
+    within = _rows_within(counts, near, label)
     neighbours = F.least(F.lit(k), F.col("class_n") - 1)
     mean = lambda x: F.sum(F.col("n") * digamma(x)) / F.sum("n")
     score = digamma(F.sum("n")) + mean(neighbours) - mean(F.col("class_n")) - mean(F.col("m"))
