@@ -389,6 +389,15 @@ def repeated_rows(spark, copies, n=1500):
     return frame(spark, rows, "a double, b double, c double, label int, i int").crossJoin(spark.range(copies).select(F.col("id").alias("copy")))
 
 
+def test_predictions_are_made_once_before_they_are_put_in_order(spark, monkeypatch, tmp_path):
+    seen, cut = [], models.chunked
+    monkeypatch.setattr(models, "chunked", lambda df, *rest: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df, *rest))
+    scored = frame(spark, [(i, i % 2, i / 10) for i in range(10)], "idx long, label int, score double")
+    found = models.save_predictions(scored.withColumnRenamed("idx", "at"), 0.5, ["at"], f"file://{tmp_path}/out").orderBy("idx").collect()
+    assert [(r.idx, r.true_label, r.predicted_label) for r in found] == [(i, i % 2, int(i >= 5)) for i in range(10)]
+    assert len(seen) == 1 and seen[0].lstrip().startswith("Relation")
+
+
 def test_jobs_side_by_side_have_their_own_properties(spark):
     sc, together = spark.sparkContext, threading.Barrier(3, timeout=60)
 
