@@ -552,6 +552,21 @@ def test_months_are_looked_up_by_range(spark):
     assert readers.month_partition_lookup(events.drop("note"), monthly, on=("station",)).count() == 2 * 24
 
 
+def test_few_events_of_a_month_are_not_cut_into_pieces_of_time(spark, monkeypatch):
+    """Events of a station's month that has few of them meet its readings as they are, only the others go through a range join; alike."""
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    monthly = frame(spark, [(s, day(d), 100 * s + d) for s in (1, 2) for d in range(1, 29)], "station long, ts timestamp, id int")
+    monthly = monthly.withColumns({"year": F.year("ts"), "month": F.month("ts")})
+    rows = [(1, day(2), day(22))] + [(2, day(d), day(d + 4, 12)) for d in range(1, 13)] + [(2, day(9), day(8)), (3, day(1), day(9)), (1, day(3), None)]
+    events = frame(spark, rows, "station int, start_ts timestamp, end_ts timestamp")
+    joined, join = [], readers.interval_join
+    monkeypatch.setattr(readers, "interval_join", lambda p, i, **k: joined.append(i.count()) or join(p, i, **k))
+    look = lambda e: sorted((r.station, r.start_ts, r.id) for r in readers.month_partition_lookup(e, monthly, on=("station",), end="end_ts").collect())
+    truth = sorted((s, a, 100 * s + d) for s, a, b in rows if s < 3 and b is not None for d in range(1, 29) if a <= day(d) <= b)
+    assert look(events) == truth and joined == [13]
+    assert look(events.where("station = 1")) == [t for t in truth if t[0] == 1] and joined == [13]
+
+
 def test_scans_open_the_files_that_the_catalogue_chooses(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "daily")
     rows = [(s, f"2024-01-{d:02d}", T0 + timedelta(days=d), i) for i, (s, d) in enumerate([("a b", 3), ("a b", 4), ("c=d+", 2), ("c=d+", 9), (None, 5)])]

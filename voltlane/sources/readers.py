@@ -10,6 +10,7 @@ from voltlane.functions.columns import column_intersection
 from voltlane.operators.cleaning import missing_report, require_columns
 from voltlane.plans.joins import interval_join, unused
 from voltlane.plans.ordering import settled
+from voltlane.session import materialise
 from voltlane.sources.catalogue import footers, list_files, scan_paths
 
 # fixed values: month names in the file names of the energy data
@@ -18,6 +19,9 @@ MONTH_NAMES = [
     "Juli", "August", "September", "Oktober", "November", "Dezember",
 ]
 
+#: events of one month file that meet all its readings
+FEW_EVENTS = 8
+
 
 def scan_csv_monthly(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """Union of all CSV files below a station folder, with an explicit schema."""
@@ -111,9 +115,10 @@ def month_partition_lookup(
     """Rows of the month file of each event's start; with ``end`` those between start and end only, as a preview shows them.
 
     ``monthly`` is partitioned by ``year, month`` (and ``on``, e.g. the station), so the months of the events prune the
-    folders that are read. With ``end`` readings meet only the events of their station and month whose range covers them, by a
-    range join; a column of the events that the readings have too then becomes ``interval_<name>``. Null keys match nothing.
-    The file name follows the month, e.g. ``Januar_2024``.
+    folders that are read. With ``end`` readings meet only the events of their station and month whose range covers them; a column
+    of the events that the readings have too then becomes ``interval_<name>``. Null keys match nothing. Up to ``FEW_EVENTS`` events
+    of a month meet its readings as they are, which are so many pairs a reading at most; where a month has more it takes a range join,
+    whose rows an event are some thirty. The file name follows the month, e.g. ``Januar_2024``.
     """
     keys = [*on, "year", "month"]
     keyed = events.withColumns({"year": F.year(start), "month": F.month(start)})
@@ -121,16 +126,26 @@ def month_partition_lookup(
     if end is None:
         return named.join(monthly, keys)
     p = unused("_mp", [*named.columns, *monthly.columns])
-    key = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keys])).alias(f"{p}_key")
+    text = [F.col(c).cast("string").alias(f"{p}_of_{c}") for c in keys]
     known = lambda df: df.dropna("any", subset=keys)
     time = lambda c, name: F.col(c).cast("timestamp").alias(f"{p}_{name}")
-    months = settled(named.select("year", "month").distinct())
-    readings = known(monthly.join(months, ["year", "month"], "left_semi")).select("*", key, time(ts, "at"))
     rest = [c for c in named.columns if c not in keys]
-    sides = known(named).select(key, time(start, "from"), time(end, "to"), *rest)
-    found = interval_join(readings, sides, station=f"{p}_key", ts=f"{p}_at", start=f"{p}_from", end=f"{p}_to")
-    shown = [f"interval_{c}" if c in monthly.columns else c for c in rest]
-    return found.select(*keys, *shown, *[c for c in monthly.columns if c not in keys])
+    columns = [*keys, *[f"interval_{c}" if c in monthly.columns else c for c in rest], *[c for c in monthly.columns if c not in keys]]
+    sides = materialise(known(named).select(*text, time(start, "from"), time(end, "to"), *rest), "events")
+    months = settled(sides.select(*[F.col(f"{p}_of_{c}").cast("int").alias(c) for c in ("year", "month")]).distinct())
+    readings = known(monthly.join(months, ["year", "month"], "left_semi")).select("*", *text, time(ts, "at"))
+    ids = [f"{p}_of_{c}" for c in keys]
+    many = settled(sides.groupBy(*ids).count().where(F.col("count") > FEW_EVENTS).select(*ids))
+    crowded = not many.isEmpty()
+    few = (sides.join(many, ids, "left_anti") if crowded else sides).select(*ids, *[F.col(c).alias(f"{p}_e_{c}") for c in sides.columns if c not in ids])
+    met = readings.join(few, ids).where(F.col(f"{p}_at").between(F.col(f"{p}_e_{p}_from"), F.col(f"{p}_e_{p}_to")))
+    found = met.withColumnsRenamed({f"{p}_e_{c}": f"interval_{c}" if c in monthly.columns else c for c in rest}).select(*columns)
+    if not crowded:
+        return found
+    key = F.to_json(F.struct(*ids)).alias(f"{p}_key")
+    of_many = lambda df: df.join(many, ids, "left_semi").withColumn(f"{p}_key", key).drop(*ids)
+    ranged = interval_join(of_many(readings), of_many(sides), station=f"{p}_key", ts=f"{p}_at", start=f"{p}_from", end=f"{p}_to")
+    return found.unionByName(ranged.select(*columns))
 
 
 def scan_feature_list(spark: SparkSession, path: str) -> DataFrame:
