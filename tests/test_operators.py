@@ -432,6 +432,23 @@ def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-9)
 
 
+def test_a_round_evaluates_the_newest_trees_only(spark, monkeypatch):
+    names, df, sizes = ["a", "b", "c"], repeated_rows(spark, 3), []
+    settings, ensemble = {"maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.8}, models._ensemble
+    monkeypatch.setattr(models, "_ensemble", lambda trees, *rest: sizes.append(len(trees)) or ensemble(trees, *rest))
+    scores = {}
+    for every in (2, 100):  # with 100 each round evaluates all trees
+        monkeypatch.setattr(models.BoostingTable, "MARGINS", every)
+        table = models.BoostingTable(models.with_class_weight(df, "label"), names, df, "label", 7, [settings])
+        table.DRAWS = 5
+        model = table.fit(10, settings, table.fit(7, settings))
+        sizes.clear()
+        model = table.fit(13, settings, model)
+        scores[every], evaluated = table.losses(model), sorted(sizes)
+        assert every == 100 or evaluated == [1, 2, 10, 13]  # three rounds: all known trees once, then those since, then the model
+    np.testing.assert_allclose(scores[2], scores[100], rtol=1e-9)
+
+
 def test_forests_on_cells_draw_rows_one_by_one(spark):
     names, df = ["a", "b", "c"], repeated_rows(spark, 4)
     one, two = (models.fit_random_forest(df, names, weights={0: 1.0, 1: 1.0}, numTrees=30, maxDepth=4) for _ in range(2))
