@@ -432,6 +432,15 @@ def test_boosting_on_cells_equals_boosting_on_rows(spark, monkeypatch):
         np.testing.assert_allclose(a, b, rtol=1e-9)
 
 
+def test_a_split_writes_the_wanted_columns_only(spark):
+    df = frame(spark, [((7 * i) % 20, i % 2, 0.5 * i) for i in range(20)], "at int, s int, x double")
+    whole, kept = sampling.sequential_split(df, ["at"]), sampling.sequential_split(df, ["at"], keep=["x"])
+    assert kept.columns == ["x", "idx", "split"] and sorted(kept.collect()) == sorted(whole.select(*kept.columns).collect())
+    assert all("at" not in spark.read.parquet(path).columns for path in kept.inputFiles())
+    of_part = sampling.sequential_split(df, ["at"], part=("s",), keep=["x"])
+    assert of_part.columns == ["s", "x", "idx", "split"] and of_part.where("idx = 0").count() == 2
+
+
 def test_a_round_evaluates_the_newest_trees_only(spark, monkeypatch):
     names, df, sizes = ["a", "b", "c"], repeated_rows(spark, 3), []
     settings, ensemble = {"maxDepth": 2, "stepSize": 0.3, "subsamplingRate": 0.8}, models._ensemble
