@@ -1,6 +1,7 @@
 """Operators on embeddings against brute force: whole tables, and rows that take no part."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -119,3 +120,20 @@ def test_near_vectors_by_leaves_blocks_and_cores(spark, monkeypatch):
 def test_no_vectors(odd):
     assert forest.near_vectors(odd.where("false")).collect() == []
     assert negatives.hard_negatives(odd.where("false"), F.col("id") % 100 == 0).collect() == []
+
+
+def test_near_vectors_moves_shares_of_the_table_and_leaves_little_behind(spark, monkeypatch):
+    """Leaves in many portions give what one portion gives; tables of vectors go as soon as they are done with."""
+    rows = clusters(13, 700, 0.6) + [(5000 + i, v, lab) for i, v, lab in clusters(17, 200, 0.05)]
+    frame = spark.createDataFrame([*rows, *rows[:40]], SCHEMA).repartition(3)
+    monkeypatch.setattr(forest, "LEAF", 32)
+    want = links_of(forest.near_vectors(frame, largest=64, trees=4))
+    folder = forest.shared_path(spark, "x").rpartition("/")[0].removeprefix("file:")
+    monkeypatch.setattr(forest, "PORTION", 1.0)
+    monkeypatch.setattr(forest, "PORTION_LEAST", 0)
+    moved, before, compare = [], set(os.listdir(folder)), forest._compare
+    monkeypatch.setattr(forest, "_compare", lambda *args: moved.append(1) or compare(*args))
+    got = forest.near_vectors(frame, largest=64, trees=4)
+    left = {name.partition("-")[0] for name in set(os.listdir(folder)) - before}
+    assert links_of(got) == want and len(moved) > 1
+    assert not left & {"rows", "classes", "placed", "routed", "children", "leaves", "large"}
