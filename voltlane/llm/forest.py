@@ -46,7 +46,7 @@ HUBS, HUB_SAMPLE, HUB_LEAST = 16, 1024, 64
 NEIGHBOURS = 4
 AMONG = (1 << NEIGHBOURS) - 1
 #: bytes of vectors that are moved at once: a share of those of the table, and so many at least
-PORTION, PORTION_LEAST = 1.0, 256 << 20
+PORTION, PORTION_LEAST = 0.75, 256 << 20
 #: bytes of hubs that are sent to every task
 HUB_BYTES = 32 << 20
 SEED = 13
@@ -583,7 +583,7 @@ def _near_vectors(embeddings: DataFrame, similarity: float, trees: int, margin:
     row_bytes = 16 * trees + 48 + (size or 0)
     limit = max(PORTION * count, PORTION_LEAST / row_bytes)
 
-    path, parts = shared_path(spark, "classes"), 1 if n * row_bytes <= PORTION_LEAST else 2
+    path, parts = shared_path(spark, "classes"), 1 if n * row_bytes <= PORTION_LEAST else 4
     for k in range(parts):
         share = lambda rows: rows.where(F.pmod(F.xxhash64("u"), F.lit(parts)) == k)  # noqa: B023, E731
         kept = share(wide.select(F.col("row").alias("u"), "vector")).join(share(equal.select("u", "label", "copies")), "u")
